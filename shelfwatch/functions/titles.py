@@ -5,6 +5,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfwatch import constants as K
+from shelfwatch.functions.binding import let
 from shelfwatch.functions.catalog import strip
 
 _UNICODE = "(?U)"
@@ -20,21 +21,33 @@ def clean_title(title: Column) -> Column:
 
 def embedding_text(title: Column, product_type: Column, tags: Column, vendor: Column) -> Column:
     """Type, cleaned title, then up to six tags that add something, at most 400 characters."""
-    kind = F.substring(strip(F.coalesce(product_type, F.lit(""))), 1, 120)
     cleaned = clean_title(title)
-    shown = F.substring(F.when(cleaned != "", cleaned).otherwise(strip(F.coalesce(title, F.lit("")))), 1, 160)
-    brand = F.lower(strip(F.coalesce(vendor, F.lit(""))))
-    words = F.transform(F.coalesce(tags, F.array().cast("array<string>")), strip)
-    keys = F.transform(words, F.lower)
-    taken = F.array(F.lit(""), brand, F.lower(kind), F.lower(shown))
-    extra = F.filter(
-        words,
-        lambda w, i: ~F.array_contains(taken, F.lower(w)) & (F.array_position(keys, F.lower(w)) == i + 1),
+    raw = F.struct(
+        F.substring(strip(F.coalesce(product_type, F.lit(""))), 1, 120).alias("kind"),
+        cleaned.alias("cleaned"), strip(F.coalesce(title, F.lit(""))).alias("title"),
+        F.lower(strip(F.coalesce(vendor, F.lit("")))).alias("brand"),
+        F.transform(F.coalesce(tags, F.array().cast("array<string>")), strip).alias("words"),
     )
-    head = F.filter(
-        F.array(kind, F.when(F.lower(shown) != F.lower(kind), shown).otherwise(F.lit(""))), lambda p: p != ""
-    )
-    return F.substring(F.array_join(F.concat(head, F.slice(extra, 1, 6)), ". "), 1, 400)
+
+    def shown(r: Column) -> Column:
+        text = F.substring(F.when(r["cleaned"] != "", r["cleaned"]).otherwise(r["title"]), 1, 160)
+        return F.struct(
+            r["kind"].alias("kind"), text.alias("shown"), r["words"].alias("words"),
+            F.transform(r["words"], F.lower).alias("keys"),
+            F.array(F.lit(""), r["brand"], F.lower(r["kind"]), F.lower(text)).alias("taken"),
+        )
+
+    def joined(r: Column) -> Column:
+        extra = F.filter(
+            r["words"],
+            lambda w, i: ~F.array_contains(r["taken"], F.get(r["keys"], i))
+            & (F.array_position(r["keys"], F.get(r["keys"], i)) == i + 1),
+        )
+        second = F.when(F.lower(r["shown"]) != F.lower(r["kind"]), r["shown"]).otherwise(F.lit(""))
+        head = F.filter(F.array(r["kind"], second), lambda p: p != "")
+        return F.substring(F.array_join(F.concat(head, F.slice(extra, 1, 6)), ". "), 1, 400)
+
+    return let(let(raw, shown), joined)
 
 
 def is_generic(product_type: Column) -> Column:
