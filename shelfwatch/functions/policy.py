@@ -74,7 +74,7 @@ def decode_cursor(cursor: Column) -> Column:
     """(score, id) of a cursor, NULL when it does not parse."""
     standard = F.translate(cursor, "-_", "+/")
     padded = F.rpad(standard, F.ceil(F.length(standard) / 4).cast("int") * 4, "=")
-    text = F.decode(F.try_to_binary(padded, F.lit("base64")), "utf-8")
+    text = F.try_to_binary(padded, F.lit("base64")).cast("string")
     score = F.get(F.split(text, ":"), F.lit(0)).try_cast("long")
     row_id = F.get(F.split(text, ":"), F.lit(1)).try_cast("long")
     return F.when(score.isNotNull() & row_id.isNotNull(), F.struct(score.alias("score"), row_id.alias("id")))
