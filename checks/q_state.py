@@ -191,11 +191,12 @@ def w10_prune(v):
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-@query(with_views("products", """SELECT product_id, CASE WHEN p_size % 4 = 0 THEN substr(md5(handle), 1, 16) ELSE image_hash END AS image_hash,
-CASE WHEN p_size % 4 = 1 THEN NULL ELSE image_url END AS image_url FROM products"""))
+@query(with_views("products", """SELECT product_id, CASE WHEN image_url IS NOT NULL AND p_size <= 40 THEN substr(md5(handle), 1, 16) ELSE image_hash END AS image_hash,
+CASE WHEN p_size <= 40 THEN image_url END AS image_url FROM products"""))
 def w14_apply_hashes(v):
-    done = v.products.filter("p_size % 4 < 2").select(
-        "product_id", F.when(F.col("p_size") % 4 == 0, F.substring(F.md5(F.col("handle").cast("binary")), 1, 16)).alias("image_hash"))
+    """Every product with an image was tried; the large ones could not be hashed."""
+    done = v.products.filter("image_url IS NOT NULL").select(
+        "product_id", F.when(F.col("p_size") <= 40, F.substring(F.md5(F.col("handle").cast("binary")), 1, 16)).alias("image_hash"))
     return state.apply_hashes(v.products, done).select("product_id", "image_hash", "image_url")
 
 
