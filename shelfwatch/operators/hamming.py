@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from shelfwatch.constants import MAX_HASH_DISTANCE
 from shelfwatch.functions.bits import hamming
+from shelfwatch.operators.joins import join_weighted
 from shelfwatch.session import cut_lineage
 
 MAX_DISTANCE = 7
@@ -131,9 +132,8 @@ def near_pairs(
     # within d agree on at least one group.
     inner = _table([b.inner for b in plan])
     hot = keyed.join(F.broadcast(crowded.select("band", "key")), ["band", "key"])
-    fine = hot.select(
-        "rep", "h", "band", "key",
-        F.posexplode(F.transform(F.get(inner, F.col("band")), lambda m: h.bitwiseAND(m))).alias("part", "sub"),
+    fine = hot.select("rep", "h", "band", "key", F.posexplode(F.get(inner, F.col("band"))).alias("part", "mask")).select(
+        "rep", "h", "band", "key", "part", h.bitwiseAND(F.col("mask")).alias("sub")
     )
     bucket = ["band", "key", "part", "sub"]
     sizes = fine.groupBy(*bucket).agg(F.ceil(F.count(F.lit(1)) / F.lit(bucket_rows)).cast("int").alias("chunks"))
@@ -158,7 +158,6 @@ def near_pairs(
 
 def copy_edges(df: DataFrame, reps: DataFrame, total: int, heaviest: int, row_id: str = "id", value: str = "h") -> DataFrame:
     """Star edges from the smallest id of a hash to every other copy: n - 1 rows for n copies."""
-    from shelfwatch.operators.joins import join_weighted
 
     joined = join_weighted(df.select(row_id, value), reps, value, "copies", total, heaviest)
     return joined.filter(F.col(row_id) != F.col("rep")).select(
