@@ -75,8 +75,14 @@ def _table(rows) -> Column:
     return F.array(*[_longs(r) for r in rows])
 
 
-def _differs_on_all(x: Column, masks: Column) -> Column:
-    return F.forall(masks, lambda m: x.bitwiseAND(m) != 0)
+def _differs_on_all(x: Column, rows: list[tuple[int, ...]], row: Column, below: Column | None = None) -> Column:
+    """Does ``x`` have a bit in every mask of the table row (only those numbered under ``below``, if given)?"""
+    masks = F.get(_table(rows), row)
+    ok = F.lit(True)
+    for i in range(max(map(len, rows), default=0)):
+        hit = F.coalesce(x.bitwiseAND(F.get(masks, F.lit(i))) != 0, F.lit(True))
+        ok = ok & (hit if below is None else (F.lit(i) >= below) | hit)
+    return ok
 
 
 def distinct_hashes(df: DataFrame, row_id: str = "id", value: str = "h") -> DataFrame:
@@ -119,7 +125,7 @@ def near_pairs(
     calm = keyed if crowded is None else keyed.join(F.broadcast(crowded), ["band", "key"], "left_anti")
 
     x = F.col("l.h").bitwiseXOR(F.col("r.h"))
-    owner = _differs_on_all(x, F.get(_table([b.skipped for b in plan]), F.col("l.band")))
+    owner = _differs_on_all(x, [b.skipped for b in plan], F.col("l.band"))
     columns = [
         F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b"),
         hamming(F.col("l.h"), F.col("r.h")).cast("int").alias("distance"),
@@ -146,9 +152,7 @@ def near_pairs(
         F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"),
     )
     same_cell = (F.col("l.lo") < F.col("l.hi")) | (F.col("l.rep") < F.col("r.rep"))
-    inner_owner = _differs_on_all(
-        x, F.slice(F.get(inner, F.col("l.band")), F.lit(1), F.col("l.part"))
-    )
+    inner_owner = _differs_on_all(x, [b.inner for b in plan], F.col("l.band"), F.col("l.part"))
     dense = _pairs(
         cells, [*bucket, "lo", "hi"], distance, same_cell,
         F.col("chunk") == F.col("lo"), F.col("chunk") == F.col("hi"),
