@@ -15,6 +15,7 @@ from shelfwatch.streaming.changes import price_change_stream, read_changes
 from shelfwatch.streaming.counters import hourly_counts, read_counts
 from shelfwatch.streaming.discovery import discovery_stream, read_queue
 from shelfwatch.streaming.limits import backoff_flags
+from shelfwatch.streaming.rate import rate_flags
 
 
 def drain(stream):
@@ -78,3 +79,26 @@ def t7_backoff_flags(v):
         F.when(F.col("event_type") != "error", 200).when(F.col("value") > 10, 503).otherwise(429).alias("status"),
     )
     return backoff_flags(log).select("event_id", "suppressed")
+
+
+def _rate_sql(client: str, limit: int, span: str) -> str:
+    return f"""WITH RECURSIVE e AS (SELECT event_id, event_type AS bucket, {client} AS client, ts FROM events),
+starts(bucket, client, start) AS (SELECT bucket, client, min(ts) FROM e GROUP BY ALL
+  UNION ALL SELECT s.bucket, s.client, min(e.ts) FROM starts s JOIN e ON e.bucket = s.bucket AND e.client = s.client AND e.ts >= s.start + {span}
+  GROUP BY s.bucket, s.client),
+w AS (SELECT e.event_id, e.bucket, e.client, e.ts, s.start FROM e ASOF JOIN starts s ON s.bucket = e.bucket AND s.client = e.client AND e.ts >= s.start)
+SELECT event_id, row_number() OVER (PARTITION BY bucket, client, start ORDER BY ts, event_id) > {limit} AS limited FROM w"""
+
+
+@query(_rate_sql("user_id", 2, "INTERVAL 6 HOUR"))
+def t6_rate_flags(v):
+    """More than two requests of one kind by one user within six hours."""
+    requests = v.table("events").select("event_id", F.col("event_type").alias("bucket"), F.col("user_id").alias("client"), "ts")
+    return rate_flags(requests, 2, 6 * 3600)
+
+
+@query(_rate_sql("0", 3, "INTERVAL 1 HOUR"))
+def t6_rate_flags_one_client(v):
+    """The hourly allowance with every request from the same client."""
+    requests = v.table("events").select("event_id", F.col("event_type").alias("bucket"), F.lit(0).alias("client"), "ts")
+    return rate_flags(requests, 3, 3600)
