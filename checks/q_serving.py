@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 from checks.registry import flat, iso, query, ymd
 from checks.tables_sql import with_views
 from checks.views import AS_OF
-from shelfwatch.functions.policy import encode_cursor
 from shelfwatch.operators.ranking import hash_sample, top_n, value_counts
 from shelfwatch.plans import crawl, details, listing, site_index, stats
 from shelfwatch.schemas import FeedFilter, ProductFilter, StoreFilter
@@ -163,8 +162,7 @@ def f4_feed_facets(v):
 
 @query(with_views("product_view", f"SELECT score, {_PRODUCT_SQL} FROM product_view WHERE image_url IS NOT NULL ORDER BY score DESC, product_id DESC LIMIT 20"))
 def q9_feed_page(v):
-    rows = listing.feed_page(*tables(v))
-    return listing.product_summary(rows).join(rows.select(F.col("product_id").alias("id"), "score"), "id")
+    return listing.product_summary(listing.feed_page(*tables(v)), "score")
 
 
 # A cursor in the middle of the feed, and one that does not parse.

@@ -122,13 +122,19 @@ class Views:
     @cached_property
     def groups(self) -> DataFrame:
         """Parts listed by several stores: the canonical listing is the smallest id."""
-        return self.products.groupBy("part_id").agg(
+        return self.pairs.groupBy("part_id").agg(
             F.min("product_id").alias("canonical_id"), F.count(F.lit(1)).alias("n")
         ).filter("n > 1").select("part_id", "canonical_id")
 
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """Ids of all listings without their attributes."""
+        pairs = self.table("lineitem").select(F.col("l_suppkey").alias("store_id"), F.col("l_partkey").alias("part_id")).distinct()
+        return pairs.withColumn("product_id", F.col("store_id") * 1000000000 + F.col("part_id"))
+
     @cached_property
     def matches(self) -> DataFrame:
-        return self.products.join(self.groups, "part_id").select("product_id", "canonical_id", F.lit(0).alias("distance"))
+        return self.pairs.join(self.groups, "part_id").select("product_id", "canonical_id", F.lit(0).alias("distance"))
 
     @cached_property
     def spread(self) -> DataFrame:

@@ -80,3 +80,9 @@ MAX_HASH_DISTANCE = 6
 SECONDS_PER_EXTRA_STORE = 172800
 FACET_LIMITS = {"country": 60, "currency": 40, "category": 40, "niche": 250, "tld": 30}
 SITE_INDEX_ROWS = 20000
+
+# --- Unicode white space (fixed values) --------------------------------------
+WHITE_SPACE = (
+    " \t\n\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfwatch import constants as K
 from shelfwatch.functions.binding import let
+from shelfwatch.functions.catalog import strip
 
 _WELL_FORMED = r"^(?:[\p{L}\p{N}-]{1,63}\.)+[\p{L}\p{N}-]{2,63}$"
 
@@ -23,7 +24,7 @@ def _ends_in(name: Column, suffixes: list[str]) -> Column:
 
 def normalize_domain(raw: Column) -> Column:
     """Canonical domain of a raw certificate name, NULL when it is not accepted."""
-    name = F.regexp_replace(F.lower(F.regexp_replace(raw, r"^(?U)\s+|\s+$", "")), r"\.+$", "")
+    name = F.regexp_replace(F.lower(strip(raw)), r"\.+$", "")
     return let(F.regexp_replace(name, r"^\*\.", ""), _accepted)
 
 

@@ -13,8 +13,11 @@ _UNICODE = "(?U)"
 
 def clean_title(title: Column) -> Column:
     """Drop measures, model codes and punctuation runs."""
-    text = F.regexp_replace(F.coalesce(title, F.lit("")), f"(?i){_UNICODE}{K.MEASURE_PATTERN}", " ")
-    text = F.regexp_replace(text, _UNICODE + K.MODEL_CODE_PATTERN, " ")
+    title = F.coalesce(title, F.lit(""))
+    measured = F.regexp_replace(title, f"(?i){_UNICODE}{K.MEASURE_PATTERN}", " ")
+    coded = F.regexp_replace(measured, _UNICODE + K.MODEL_CODE_PATTERN, " ")
+    # Both patterns need a digit; most titles have none and skip them.
+    text = F.when(title.rlike(r"\p{Nd}"), coded).otherwise(title)
     text = F.regexp_replace(text, _UNICODE + K.PUNCT_RUN_PATTERN, " ")
     return strip(F.regexp_replace(text, "^[ ,;-]+|[ ,;-]+$", ""))
 

@@ -23,7 +23,6 @@ from shelfwatch.session import cut_lineage
 
 MAX_DISTANCE = 7
 BUCKET_ROWS = 4096
-HOT_BUCKETS = 50_000
 MAX_KEY_SEGMENTS = 4
 
 
@@ -115,14 +114,14 @@ def near_pairs(
     keys = F.array(*[h.bitwiseAND(F.lit(b.mask).cast("long")) for b in plan])
     keyed = reps.select("rep", "h", F.posexplode(keys).alias("band", "key"))
 
-    # Buckets can only be crowded when there are enough hashes to fill one.  Above the
-    # cut there are at most HOT_BUCKETS of them, which bounds the broadcast.
-    cut = max(bucket_rows, n * len(plan) // HOT_BUCKETS)
-    crowded = None
-    if n > cut:
-        found = cut_lineage(keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > cut))
-        crowded = found if not found.isEmpty() else None
-    calm = keyed if crowded is None else keyed.join(F.broadcast(crowded), ["band", "key"], "left_anti")
+    # With fewer hashes than a bucket may hold no bucket can be crowded.  Otherwise every
+    # key learns its bucket size: lone keys drop out, crowded buckets take another way.
+    # The size join and the pair join share one partitioning by (band, key).
+    calm = keyed
+    if n > bucket_rows:
+        sizes = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        sized = keyed.join(sizes, ["band", "key"])
+        calm = sized.filter(F.col("size") <= bucket_rows).drop("size")
 
     x = F.col("l.h").bitwiseXOR(F.col("r.h"))
     owner = _differs_on_all(x, [b.skipped for b in plan], F.col("l.band"))
@@ -131,13 +130,13 @@ def near_pairs(
         hamming(F.col("l.h"), F.col("r.h")).cast("int").alias("distance"),
     ]
     out = _pairs(calm, ["band", "key"], distance).filter(owner).select(*columns)
-    if crowded is None:
+    if n <= bucket_rows:
         return out
 
     # Key crowded buckets again on d + 1 groups of their remaining bits: two members
     # within d agree on at least one group.
     inner = _table([b.inner for b in plan])
-    hot = keyed.join(F.broadcast(crowded.select("band", "key")), ["band", "key"])
+    hot = sized.filter(F.col("size") > bucket_rows)
     fine = hot.select("rep", "h", "band", "key", F.posexplode(F.get(inner, F.col("band"))).alias("part", "mask")).select(
         "rep", "h", "band", "key", "part", h.bitwiseAND(F.col("mask")).alias("sub")
     )

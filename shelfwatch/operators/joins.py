@@ -36,14 +36,13 @@ def latest_prior(current: DataFrame, history: DataFrame, key: str, ts: str, valu
                  name: str = "previous") -> DataFrame:
     """As-of join: each current row with the last history value strictly before ``before``.
 
-    One row per key survives the map-side aggregate, so a long history never
+    One row per key survives the map-side hash aggregate, so a long history never
     travels; rows without any earlier observation drop out (inner join).
     """
     last = (
         history.filter(F.col(ts) < before)
         .groupBy(key)
-        .agg(F.max(F.struct(F.col(ts).alias("t"), F.col(value).alias("v"))).alias("_last"))
-        .select(key, F.col("_last.v").alias(name), F.col("_last.t").alias(f"{name}_on"))
+        .agg(F.max_by(value, ts).alias(name), F.max(ts).alias(f"{name}_on"))
     )
     return current.join(last, key)
 

@@ -138,8 +138,9 @@ def store_summary(df: DataFrame) -> DataFrame:
     )
 
 
-def product_summary(df: DataFrame) -> DataFrame:
+def product_summary(df: DataFrame, *extra: str) -> DataFrame:
     return df.select(
+        *extra,
         F.col("product_id").alias("id"), "title", "handle", "image_url",
         to_units(F.col("price_cents")).alias("price"), to_units(F.col("compare_at_cents")).alias("compare_at_price"),
         "currency", "category", "niche", "vendor", iso(F.col("published_at")).alias("published_at"),

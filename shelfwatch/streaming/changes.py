@@ -50,9 +50,10 @@ def price_change_stream(
         hits.select(*key, "observed_on", "price_cents", "previous").write.mode("overwrite").parquet(
             f"{path}/changes/batch_id={batch_id}"
         )
-        both.groupBy(*key).agg(F.max(F.struct("observed_on", "price_cents")).alias("s")).select(*key, "s.*").write.mode(
-            "overwrite"
-        ).parquet(f"{path}/state/v={batch_id}")
+        last = both.groupBy(*key).agg(
+            F.max("observed_on").alias("observed_on"), F.max_by("price_cents", "observed_on").alias("price_cents")
+        )
+        last.write.mode("overwrite").parquet(f"{path}/state/v={batch_id}")
 
     writer = observations.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -1,8 +1,6 @@
 """Shape of the physical plans."""
-import pytest
 from pyspark.sql import functions as F
 
-from checks.all import QUERIES
 from checks.views import Views
 from conftest import SMALL
 from shelfwatch.functions import domains, titles
@@ -11,20 +9,11 @@ from shelfwatch.operators.rollup import backfill_rollup
 from shelfwatch.plans import listing
 from shelfwatch.schemas import ProductFilter
 
-STREAMS = {n for n in QUERIES if n.startswith("t")}
-
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - STREAMS))
-def test_no_pairing_of_tables(spark, name):
-    text = plan(QUERIES[name](Views(spark, SMALL)))
-    assert "CartesianProduct" not in text
-    assert "BroadcastNestedLoopJoin" not in text
-
-
 def test_text_functions_stay_native(spark):
     df = spark.range(1).select(F.lit("x").alias("t"), F.array(F.lit("a")).alias("g"))
     t = F.col("t")
