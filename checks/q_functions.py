@@ -39,9 +39,9 @@ def x1_normalize_domain(v):
 @query(f"""WITH raws AS (SELECT DISTINCT raw FROM (
 SELECT unnest([w, w || '.com', 'WWW.' || w || '.co.uk.', 'api.' || w || '.com', w || '.gov', w || '.herokuapp.com', '*.a.' || w || '.org', 'xn--' || w || '.de']) AS raw
 FROM (SELECT unnest(regexp_extract_all(text, '[^\\s]+')) AS w FROM documents))), {NORMALIZE}
-SELECT r.raw, x.domain FROM raws r LEFT JOIN normal x USING (raw)""")
+SELECT x.domain, count(*) AS names, min(r.raw) AS first_name FROM raws r LEFT JOIN normal x USING (raw) GROUP BY x.domain""")
 def x1_normalize_words(v):
-    """Every word of every document in eight certificate-name shapes."""
+    """Every word of every document in eight certificate-name shapes, gathered by domain."""
     words = v.table("documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"([^\s]+)"))).alias("w")).distinct()
     w = F.col("w")
     shapes = F.array(
@@ -50,7 +50,8 @@ def x1_normalize_words(v):
         F.concat(F.lit("xn--"), w, F.lit(".de")),
     )
     raws = words.select(F.explode(shapes).alias("raw")).distinct()
-    return raws.select("raw", domains.normalize_domain(F.col("raw")).alias("domain"))
+    found = raws.select("raw", domains.normalize_domain(F.col("raw")).alias("domain"))
+    return found.groupBy("domain").agg(F.count(F.lit(1)).alias("names"), F.min("raw").alias("first_name"))
 
 
 @query(with_views("wire", f"SELECT product_id, price_text, {half_even('mills')} AS cents FROM wire"))

@@ -46,8 +46,8 @@ def _small_star(edges: DataFrame, total: int, min_hot: int) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b", min_hot: int = HOT_MIN_ROWS) -> DataFrame:
     """(node, component) of every node on an edge; component = smallest node id in it.
 
-    Hubs above the hot-key bound join by a bounded broadcast; the lineage is cut with
-    a reliable checkpoint each round.
+    Hubs above the hot-key bound join by a bounded broadcast; each round continues from
+    a written table.
     """
     current = cut_lineage(
         edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).filter("lo < hi").distinct()

@@ -5,8 +5,8 @@ s - d whole segments.  Keying every hash by all combinations of s - d segments
 therefore finds every pair.  More segments give longer, more selective keys.
 
 Nothing is capped.  Copies of one hash are collapsed before the join.  A bucket too
-large for one task is keyed again on its remaining bits, and what is still large is
-split into bounded chunk pairs, each compared by its own task.
+large for one task is keyed again on the bits that vary inside it, and what is still
+large is split into bounded chunk pairs, each compared by its own task.
 """
 from __future__ import annotations
 
@@ -30,18 +30,12 @@ MAX_KEY_SEGMENTS = 4
 class Band:
     mask: int                  # bits forming the key
     skipped: tuple[int, ...]   # earlier segments left out: a pair agreeing on one belongs to an earlier band
-    inner: tuple[int, ...]     # the remaining bits in d + 1 groups, for crowded buckets
 
 
 def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-def _split(bits: list[int], parts: int) -> list[int]:
-    edges = [len(bits) * i // parts for i in range(parts + 1)]
-    return [_signed(sum(1 << p for p in bits[lo:hi])) for lo, hi in zip(edges, edges[1:])]
-
-
 def band_plan(distance: int, segments: int) -> list[Band]:
     """All segment combinations with their key masks, in a fixed order."""
     edges = [64 * i // segments for i in range(segments + 1)]
@@ -50,12 +44,10 @@ def band_plan(distance: int, segments: int) -> list[Band]:
     plan = []
     for combo in combinations(range(segments), size):
         used = [p for s in combo for p in pieces[s]]
-        rest = [p for s in range(segments) if s not in combo for p in pieces[s]]
         skipped = [s for s in range(combo[-1]) if s not in combo]
         plan.append(Band(
             _signed(sum(1 << p for p in used)),
             tuple(_signed(sum(1 << p for p in pieces[s])) for s in skipped),
-            tuple(_split(rest, distance + 1)),
         ))
     return plan
 
@@ -74,30 +66,37 @@ def _table(rows) -> Column:
     return F.array(*[_longs(r) for r in rows])
 
 
-def _differs_on_all(x: Column, rows: list[tuple[int, ...]], row: Column, below: Column | None = None) -> Column:
-    """Does ``x`` have a bit in every mask of the table row (only those numbered under ``below``, if given)?"""
-    masks = F.get(_table(rows), row)
+def _differs_on_all(x: Column, masks: Column, count: int, below: Column | None = None) -> Column:
+    """Does ``x`` have a bit in each of the masks (only those numbered under ``below``, if given)?"""
     ok = F.lit(True)
-    for i in range(max(map(len, rows), default=0)):
+    for i in range(count):
         hit = F.coalesce(x.bitwiseAND(F.get(masks, F.lit(i))) != 0, F.lit(True))
         ok = ok & (hit if below is None else (F.lit(i) >= below) | hit)
     return ok
 
 
+def _deal_bits(bits: Column, groups: int) -> Column:
+    """The set bits dealt out evenly to ``groups`` masks."""
+    positions = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda p: F.getbit(bits, p) == 1)
+
+    def mask(group: int) -> Column:
+        mine = F.filter(positions, lambda p, i: i % groups == group)
+        one = F.lit(1).cast("long")
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda acc, p: acc.bitwiseOR(F.call_function("shiftleft", one, p)))
+
+    return F.array(*[mask(g) for g in range(groups)])
+
+
 def distinct_hashes(df: DataFrame, row_id: str = "id", value: str = "h") -> DataFrame:
     """One row per hash value: smallest id and number of copies."""
     return df.groupBy(value).agg(F.min(row_id).alias("rep"), F.count(F.lit(1)).alias("copies"))
 
 
-def _pairs(keyed: DataFrame, on: list[str], distance: int, extra: Column | None = None,
-           left_side: Column | None = None, right_side: Column | None = None) -> DataFrame:
-    left, right = keyed.alias("l"), keyed.alias("r")
-    if left_side is not None:
-        left, right = keyed.filter(left_side).alias("l"), keyed.filter(right_side).alias("r")
-    cond = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in on]
-    cond.append(extra if extra is not None else F.col("l.rep") < F.col("r.rep"))
-    cond.append(hamming(F.col("l.h"), F.col("r.h")) <= distance)
-    return left.join(right, cond)
+def _pairs(left: DataFrame, right: DataFrame, on: list[str], distance: int, also: list[Column]) -> DataFrame:
+    """Self join of one bucket; the cheap bit count comes first, it rejects almost every candidate."""
+    left, right = left.alias("l"), right.alias("r")
+    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in on]
+    return left.join(right, [*same, hamming(F.col("l.h"), F.col("r.h")) <= distance, *also])
 
 
 def near_pairs(
@@ -114,49 +113,53 @@ def near_pairs(
     keys = F.array(*[h.bitwiseAND(F.lit(b.mask).cast("long")) for b in plan])
     keyed = reps.select("rep", "h", F.posexplode(keys).alias("band", "key"))
 
-    # With fewer hashes than a bucket may hold no bucket can be crowded.  Otherwise every
-    # key learns its bucket size: lone keys drop out, crowded buckets take another way.
-    # The size join and the pair join share one partitioning by (band, key).
-    calm = keyed
-    if n > bucket_rows:
-        sizes = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        sized = keyed.join(sizes, ["band", "key"])
-        calm = sized.filter(F.col("size") <= bucket_rows).drop("size")
-
+    skipped, most = _table([b.skipped for b in plan]), max(len(b.skipped) for b in plan)
     x = F.col("l.h").bitwiseXOR(F.col("r.h"))
-    owner = _differs_on_all(x, [b.skipped for b in plan], F.col("l.band"))
+    ordered = F.col("l.rep") < F.col("r.rep")
+    owner = _differs_on_all(x, F.get(skipped, F.col("l.band")), most)
     columns = [
         F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b"),
         hamming(F.col("l.h"), F.col("r.h")).cast("int").alias("distance"),
     ]
-    out = _pairs(calm, ["band", "key"], distance).filter(owner).select(*columns)
+    # With fewer hashes than a bucket may hold no bucket can be crowded.
     if n <= bucket_rows:
-        return out
-
-    # Key crowded buckets again on d + 1 groups of their remaining bits: two members
-    # within d agree on at least one group.
-    inner = _table([b.inner for b in plan])
-    hot = sized.filter(F.col("size") > bucket_rows)
-    fine = hot.select("rep", "h", "band", "key", F.posexplode(F.get(inner, F.col("band"))).alias("part", "mask")).select(
-        "rep", "h", "band", "key", "part", h.bitwiseAND(F.col("mask")).alias("sub")
+        return _pairs(keyed, keyed, ["band", "key"], distance, [ordered, owner]).select(*columns)
+
+    # Otherwise every key learns the size of its bucket and which bits vary in it.  Lone
+    # keys drop out, and so do buckets whose members all agree on an earlier skipped
+    # segment: every pair in them belongs to an earlier band.  The size join and the
+    # pair join share one partitioning by (band, key).
+    bucket = ["band", "key"]
+    sizes = cut_lineage(keyed.groupBy(*bucket).agg(
+        F.count(F.lit(1)).alias("size"), F.bit_or("h").bitwiseXOR(F.bit_and("h")).alias("varies")
+    ).filter("size > 1").filter(_differs_on_all(F.col("varies"), F.get(skipped, F.col("band")), most)))
+    calm = keyed.join(sizes.filter(F.col("size") <= bucket_rows).select(*bucket), bucket)
+    out = _pairs(calm, calm, bucket, distance, [ordered, owner]).select(*columns)
+
+    # Key crowded buckets again on d + 1 groups of their varying bits: two members within
+    # d agree on at least one group.
+    groups = distance + 1
+    crowded = sizes.filter(F.col("size") > bucket_rows).select(*bucket, _deal_bits(F.col("varies"), groups).alias("masks"))
+    fine = keyed.join(crowded, bucket).select("rep", "h", *bucket, "masks", F.posexplode("masks").alias("part", "mask")).select(
+        "rep", "h", *bucket, "masks", "part", h.bitwiseAND(F.col("mask")).alias("sub")
     )
-    bucket = ["band", "key", "part", "sub"]
-    sizes = fine.groupBy(*bucket).agg(F.ceil(F.count(F.lit(1)) / F.lit(bucket_rows)).cast("int").alias("chunks"))
-    placed = fine.join(sizes, bucket).withColumn(
-        "chunk", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("chunks")).cast("int")
+    place = [*bucket, "part", "sub"]
+    chunks = fine.groupBy(*place).agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select(
+        *place, F.ceil(F.col("size") / F.lit(bucket_rows)).cast("int").alias("chunks")
     )
+    placed = fine.join(chunks, place).withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("chunks")).cast("int"))
     # Chunk i meets chunk j (i <= j) in cell (i, j): bounded work per cell, every pair in exactly one.
     cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "rep", "h", *bucket, "chunk",
+        "rep", "h", *place, "masks", "chunk",
         F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"),
     )
-    same_cell = (F.col("l.lo") < F.col("l.hi")) | (F.col("l.rep") < F.col("r.rep"))
-    inner_owner = _differs_on_all(x, [b.inner for b in plan], F.col("l.band"), F.col("l.part"))
+    same_cell = (F.col("l.lo") < F.col("l.hi")) | ordered
+    first_group = _differs_on_all(x, F.col("l.masks"), groups, F.col("l.part"))
     dense = _pairs(
-        cells, [*bucket, "lo", "hi"], distance, same_cell,
-        F.col("chunk") == F.col("lo"), F.col("chunk") == F.col("hi"),
+        cells.filter(F.col("chunk") == F.col("lo")), cells.filter(F.col("chunk") == F.col("hi")),
+        [*place, "lo", "hi"], distance, [same_cell, owner, first_group],
     )
-    return out.unionByName(dense.filter(owner & inner_owner).select(*columns))
+    return out.unionByName(dense.select(*columns))
 
 
 def copy_edges(df: DataFrame, reps: DataFrame, total: int, heaviest: int, row_id: str = "id", value: str = "h") -> DataFrame:

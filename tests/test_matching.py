@@ -57,14 +57,22 @@ def test_crowded_buckets_are_exact(spark):
     assert {tuple(r) for r in got} == brute(rows, 6)
 
 
-def test_plan_masks_cover_all_bits():
-    for segments in (8, 9, 10):
-        for band in band_plan(6, segments):
-            union = band.mask
-            for m in band.inner:
-                assert union & m == 0
-                union |= m
-            assert union == -1
+def test_plan_keys():
+    assert [len(band_plan(6, s)) for s in (8, 9, 10)] == [28, 84, 210]
+    assert all(band.mask & m == 0 for band in band_plan(6, 9) for m in band.skipped)
+
+
+def test_varying_bits_are_dealt_out(spark):
+    from shelfwatch.operators.hamming import _deal_bits
+
+    values = [-1, 0b1011011, 1 << 62 | 5, -(1 << 63)]
+    df = spark.createDataFrame([(v,) for v in values], "v long").select("v", _deal_bits(F.col("v"), 7).alias("m"))
+    for r in df.collect():
+        union = 0
+        for m in r["m"]:
+            assert union & m == 0
+            union |= m
+        assert union == r["v"] and len(r["m"]) == 7
 
 
 def test_distance_limit(spark):
