@@ -2,12 +2,12 @@
 from __future__ import annotations
 
 import posixpath
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from urllib.parse import urlsplit
 
-import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfwatch.session import tune
 
@@ -26,15 +26,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def map_rows(df: DataFrame, make: Callable[[list[list]], list[list]], schema: str, arrow: pa.Schema) -> DataFrame:
-    """Columns in, columns out, one Arrow batch at a time; ``make`` gets lists of column values."""
+def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """At most ``rows`` rows of ``df``: those of smallest hash of ``key``.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = make([c.to_pylist() for c in batch.columns])
-            yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(out, arrow)], schema=arrow)
-
-    return df.mapInArrow(run, schema)
+    Only hashes meet in one task; the rows themselves are picked by a filter.
+    """
+    h = F.xxhash64(key)
+    cut = df.select(h.alias("h")).orderBy("h").limit(rows).agg(F.max("h").alias("cut")).first()["cut"]
+    return df.filter(h <= F.lit(cut).cast("long")).limit(rows)
 
 
 def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfwatch.llm.byte_bpe import round_trip
 from shelfwatch.llm.common import table
 from shelfwatch.llm.token_counts import token_counts
+from shelfwatch.llm.token_files import read_token_files, write_token_files
+from shelfwatch.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,3 +31,10 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@register
+def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    written = write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), 2, scratch_path(spark, "tokens"))
+    return read_token_files(written, with_ids=False)
