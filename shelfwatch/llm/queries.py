@@ -10,6 +10,7 @@ from shelfwatch.llm.byte_bpe import round_trip
 from shelfwatch.llm.common import table
 from shelfwatch.llm.token_counts import token_counts
 from shelfwatch.llm.token_files import read_token_files, write_token_files
+from shelfwatch.llm.warc import normalise_archives, plan_records, read_archives, write_archives
 from shelfwatch.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +39,12 @@ def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     written = write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), 2, scratch_path(spark, "tokens"))
     return read_token_files(written, with_ids=False)
+
+
+@register
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    streams, members = scratch_path(spark, "warc"), scratch_path(spark, "warc")
+    written = write_archives(plan_records(pages), streams)
+    archives = normalise_archives(spark, written, streams, members)
+    return read_archives(archives, members).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
