@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfwatch.llm.byte_bpe import round_trip
 from shelfwatch.llm.common import table
+from shelfwatch.llm.decontaminate import overlaps
 from shelfwatch.llm.token_counts import token_counts
 from shelfwatch.llm.token_files import read_token_files, write_token_files
+from shelfwatch.llm.url_rules import Rule, judge, link_edges
 from shelfwatch.llm.warc import normalise_archives, plan_records, read_archives, write_archives
 from shelfwatch.session import scratch_path
 
@@ -48,3 +50,24 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     written = write_archives(plan_records(pages), streams)
     archives = normalise_archives(spark, written, streams, members)
     return read_archives(archives, members).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# Rules that the url query judges by: fixed values.
+URL_RULES = (
+    Rule("com", "/", "allow"),
+    Rule("example.com", "/en/", "block"),
+    Rule("www.example.com", "/en/", "allow"),
+    Rule("net", "/es/", "block"),
+    Rule("net", "/fr/", "block"),
+)
+
+
+@register
+def op2_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return judge(pages, link_edges(pages), URL_RULES)
+
+
+@register
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
