@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfwatch.llm.byte_bpe import round_trip
 from shelfwatch.llm.common import table
 from shelfwatch.llm.decontaminate import overlaps
+from shelfwatch.llm.jaccard import near_duplicates
 from shelfwatch.llm.token_counts import token_counts
 from shelfwatch.llm.token_files import read_token_files, write_token_files
 from shelfwatch.llm.url_rules import Rule, judge, link_edges
@@ -71,3 +72,8 @@ def op2_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@register
+def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))

@@ -21,7 +21,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.llm.common import Memo
+from shelfwatch.llm.common import Memo, hash_sample
 
 SAMPLE_DOCS = 1_000
 FREQUENT = 50_000
@@ -97,7 +97,7 @@ def frequent_lengths(docs: DataFrame, path: str, sample: int = SAMPLE_DOCS, size
         yield pa.RecordBatch.from_arrays(
             [pa.array(words, pa.string()), pa.array([cache[w] for w in words], pa.int64())], names=["word", "n"])
 
-    few = docs.select("text", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(sample).select("text").coalesce(1)
+    few = hash_sample(docs, "doc_id", sample).select("text").coalesce(1)
     return {r["word"]: r["n"] for r in few.mapInArrow(top, "word string, n long").orderBy(F.desc("n")).limit(size).collect()}
 
 
