@@ -5,11 +5,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfwatch.llm.byte_bpe import round_trip
 from shelfwatch.llm.common import table
 from shelfwatch.llm.decontaminate import overlaps
 from shelfwatch.llm.jaccard import near_duplicates
+from shelfwatch.llm.quality import held_out, score_documents, train
 from shelfwatch.llm.token_counts import token_counts
 from shelfwatch.llm.token_files import read_token_files, write_token_files
 from shelfwatch.llm.url_rules import Rule, judge, link_edges
@@ -77,3 +79,10 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
+
+
+@register
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, folder, "labels"))
+    return score_documents(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
