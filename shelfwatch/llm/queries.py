@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfwatch.llm.byte_bpe import round_trip
 from shelfwatch.llm.common import table
 from shelfwatch.llm.decontaminate import overlaps
+from shelfwatch.llm.hnsw import near_duplicates as vector_duplicates
 from shelfwatch.llm.jaccard import near_duplicates
 from shelfwatch.llm.quality import held_out, score_documents, train
 from shelfwatch.llm.token_counts import token_counts
@@ -86,3 +87,8 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     model = train(docs, table(spark, folder, "labels"))
     return score_documents(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@register
+def op3_embedding_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_duplicates(table(spark, folder, "embeddings"))
