@@ -14,6 +14,9 @@ from shelfwatch.session import tune
 # Rows of one Arrow batch: texts differ by a factor of 10,000 in length, so a batch stays small.
 BATCH_ROWS = 256
 
+# A side of a join with at most so many rows, of a few numbers each, is broadcast.
+SMALL = 1_000_000
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Runtime settings of every job of this package."""
@@ -36,6 +39,11 @@ def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.filter(h <= F.lit(cut).cast("long")).limit(rows)
 
 
+def small(df: DataFrame, limit: int = SMALL) -> DataFrame:
+    """``df`` with a broadcast hint if a count finds at most ``limit`` rows; else it is shuffled."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a folder every executor can reach (file:, hdfs:, s3: or a plain path)."""
     if not urlsplit(uri).scheme:

@@ -38,13 +38,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.llm.common import Memo
+from shelfwatch.llm.common import SMALL, Memo, small
 from shelfwatch.operators.components import components
 from shelfwatch.session import cut_lineage
 
 N = 5
 PERCENT = 80
-SMALL = 1_000_000
 _UPPER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
@@ -111,11 +110,6 @@ def shingle_sets(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFra
     return rows.mapInArrow(run, "doc_id long, n long, set_id binary, prefix array<long>")
 
 
-def small(df: DataFrame, limit: int = SMALL) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows (of a few numbers each)."""
-    return F.broadcast(df) if df.count() <= limit else df
-
-
 def _shared(rows: DataFrame, limit: int) -> DataFrame:
     """doc_id, token, df of the tokens (doc_id, token) that more than one document holds.
 

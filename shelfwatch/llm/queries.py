@@ -13,6 +13,7 @@ from shelfwatch.llm.decontaminate import overlaps
 from shelfwatch.llm.hnsw import near_duplicates as vector_duplicates
 from shelfwatch.llm.jaccard import near_duplicates
 from shelfwatch.llm.quality import held_out, score_documents, train
+from shelfwatch.llm.substring import removal_report
 from shelfwatch.llm.token_counts import token_counts
 from shelfwatch.llm.token_files import read_token_files, write_token_files
 from shelfwatch.llm.url_rules import Rule, judge, link_edges
@@ -92,3 +93,8 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def op3_embedding_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return vector_duplicates(table(spark, folder, "embeddings"))
+
+
+@register
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return removal_report(table(spark, folder, "documents"))
