@@ -21,6 +21,36 @@ def n3_nearest_in_blocks(v):
     return out.drop("embedding").withColumn("similarity", F.round("similarity", 6))
 
 
+@query(with_views("nearest", "SELECT vec_id, category AS nearest_category, niche AS nearest_niche, example_idx AS nearest_idx, round(similarity, 6) AS similarity FROM nearest"))
+def n3_nearest_in_sparse_blocks(v):
+    """Blocks for single exemplars, about half of them empty."""
+    out = nearest_exemplar(v.table("embeddings").select("vec_id", "embedding"), v.exemplars, "vec_id", cells=64)
+    return out.drop("embedding").withColumn("similarity", F.round("similarity", 6))
+
+
+_ODD = """SELECT vec_id, CASE WHEN usable THEN category END AS nearest_category, CASE WHEN usable THEN niche END AS nearest_niche,
+CASE WHEN usable THEN example_idx END AS nearest_idx, CASE WHEN usable THEN round(similarity, 6) END AS similarity
+FROM (SELECT *, vec_id % 5 <> 0 AND vec_id % 7 <> 0 AS usable FROM nearest)"""
+
+
+def _odd_vectors(v):
+    """Every fifth vector is short, every seventh null."""
+    e = F.when(F.col("vec_id") % 5 == 0, F.slice("embedding", 1, 8)).otherwise(F.col("embedding"))
+    return v.table("embeddings").select("vec_id", F.when(F.col("vec_id") % 7 != 0, e).alias("embedding"))
+
+
+@query(with_views("nearest", _ODD))
+def j5_nearest_of_odd_vectors(v):
+    out = nearest_exemplar(_odd_vectors(v), v.exemplars, "vec_id")
+    return out.drop("embedding").withColumn("similarity", F.round("similarity", 6))
+
+
+@query(with_views("nearest", _ODD))
+def n3_odd_vectors_in_blocks(v):
+    out = nearest_exemplar(_odd_vectors(v), v.exemplars, "vec_id", cells=200)
+    return out.drop("embedding").withColumn("similarity", F.round("similarity", 6))
+
+
 _VOTES = """votes AS (SELECT p.store_id, n.category, round(sum(n.similarity * p.weight), 9) AS vote
   FROM vector_parts p JOIN nearest n ON n.vec_id = p.part_id GROUP BY ALL),
 won AS (SELECT store_id, category, vote / CASE WHEN total = 0 THEN 1 ELSE total END AS confidence FROM (

@@ -30,7 +30,18 @@ def t1_discovery_stream(v):
         F.explode(F.array(host, F.concat(F.lit("*."), F.upper(host)), F.concat(F.lit("www."), host))).alias("name"))
     queue = scratch_path(v.spark, "queue")
     drain(discovery_stream(names, queue, scratch_path(v.spark, "discovery"), "certstream"))
-    return read_queue(v.spark, queue).drop("batch_id")
+    return read_queue(v.spark, queue).select("domain", "source", "status")
+
+
+@query("SELECT lower(replace(c_name, '#', '-')) || '.com' AS domain, 1 AS times FROM customer")
+def t1_restart_without_checkpoint(v):
+    """A second start with a new checkpoint on the same queue and the same input adds nothing."""
+    source, queue = (scratch_path(v.spark, x) for x in ("entries", "queue"))
+    _log_entries(v).repartition(3).write.parquet(source)
+    for _ in range(2):
+        names = read_ct_names(v.spark, source, streaming=True, max_files=1).select(F.explode("names").alias("name"))
+        drain(discovery_stream(names, queue, scratch_path(v.spark, "cp")))
+    return read_queue(v.spark, queue).groupBy("domain").agg(F.count(F.lit(1)).alias("times"))
 
 
 @query("SELECT lower(replace(c_name, '#', '-')) || '.com' AS domain, 1 AS times FROM customer")
@@ -47,19 +58,47 @@ def t3_resume_from_checkpoint(v):
     return read_queue(v.spark, queue).groupBy("domain").agg(F.count(F.lit(1)).alias("times"))
 
 
-@query(with_views("obs", f"""SELECT store_id, part_id, {ymd('observed_on')} AS observed_on, price_cents, previous FROM (
+_CHANGES = with_views("obs", f"""SELECT store_id, part_id, {ymd('observed_on')} AS observed_on, price_cents, previous FROM (
 SELECT *, lag(price_cents) OVER w AS previous, row_number() OVER w AS rn FROM obs WINDOW w AS (PARTITION BY store_id, part_id ORDER BY observed_on))
-WHERE rn > 1 AND price_cents IS DISTINCT FROM previous"""))
-def t4_price_change_stream(v):
-    """Two periods arrive one after the other; the second resumes from the state of the first."""
+WHERE rn > 1 AND price_cents IS DISTINCT FROM previous""")
+
+
+def _changes(v, parts, per_trigger=None):
+    """The changes after each part was appended to the source and drained."""
     source, out, checkpoint = (scratch_path(v.spark, x) for x in ("obs", "changes", "prices"))
     key = ["store_id", "part_id"]
-    early = F.col("observed_on") < day(SPLIT_DAY)
-    for part in (v.obs.filter(early), v.obs.filter(~early)):
+    for part in parts:
         part.write.mode("append").parquet(source)
-        observed = v.spark.readStream.schema(v.obs.schema).parquet(source)
-        drain(price_change_stream(observed, key, out, checkpoint))
-    return flat(read_changes(v.spark, out, v.obs, key).drop("batch_id"))
+        reader = v.spark.readStream.schema(v.obs.schema)
+        if per_trigger:
+            reader = reader.option("maxFilesPerTrigger", per_trigger)
+        drain(price_change_stream(reader.parquet(source), key, out, checkpoint))
+    return flat(read_changes(v.spark, out, v.obs, key))
+
+
+@query(_CHANGES)
+def t4_price_change_stream(v):
+    """Two periods arrive one after the other; the second resumes from the state of the first."""
+    early = F.col("observed_on") < day(SPLIT_DAY)
+    return _changes(v, [v.obs.filter(early), v.obs.filter(~early)])
+
+
+@query(_CHANGES)
+def t4_price_changes_one_batch(v):
+    return _changes(v, [v.obs])
+
+
+@query(_CHANGES)
+def t4_price_changes_shuffled_days(v):
+    """Days of a key spread at random over files that are read one by one, late ones among them."""
+    return _changes(v, [v.obs.repartition(5, F.xxhash64("store_id", "part_id", "observed_on"))], per_trigger=1)
+
+
+@query(_CHANGES)
+def t4_price_changes_backwards(v):
+    """The later period arrives first."""
+    early = F.col("observed_on") < day(SPLIT_DAY)
+    return _changes(v, [v.obs.filter(~early), v.obs.filter(early)])
 
 
 @query(f"SELECT {iso('date_trunc(' + chr(39) + 'hour' + chr(39) + ', ts)')} AS hour, event_type AS kind, count(*) AS n FROM events GROUP BY ALL")
@@ -70,6 +109,16 @@ def t5_hourly_counts(v):
     return flat(read_counts(v.spark, out))
 
 
+@query(f"SELECT {iso('date_trunc(' + chr(39) + 'hour' + chr(39) + ', ts)')} AS hour, event_type AS kind, count(*) AS n FROM events GROUP BY ALL")
+def t5_hourly_counts_out_of_order(v):
+    """Events spread at random over files that are read one by one: most rows are days late."""
+    source, out = scratch_path(v.spark, "events"), scratch_path(v.spark, "hourly")
+    v.table("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type").repartition(4, F.xxhash64("event_id")).write.parquet(source)
+    events = v.spark.readStream.schema("event_id long, ts timestamp, event_type string").option("maxFilesPerTrigger", 1).parquet(source)
+    drain(hourly_counts(events, "ts", "event_type", out, scratch_path(v.spark, "hours")))
+    return flat(read_counts(v.spark, out))
+
+
 @query("""SELECT event_id, coalesce(ts < max(CASE WHEN event_type = 'error' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts
 RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING) + INTERVAL 24 HOUR, FALSE) AS suppressed FROM events""")
 def t7_backoff_flags(v):

@@ -1,4 +1,4 @@
-"""Price changes as observations arrive."""
+"""Price changes as observations arrive, whatever their order and however they are batched."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
@@ -7,7 +7,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from shelfwatch.functions.policy import changed
 from shelfwatch.operators.ranking import prev_value
-from shelfwatch.streaming.discovery import ensure_folder
+from shelfwatch.streaming.folders import batch_folder, ensure_folder
+
+PARTS = 64
 
 
 def _fields(df: DataFrame, key: list[str]) -> str:
@@ -16,44 +18,57 @@ def _fields(df: DataFrame, key: list[str]) -> str:
 
 
 def read_changes(spark: SparkSession, path: str, observations: DataFrame, key: list[str]) -> DataFrame:
-    schema = f"{_fields(observations, key)}, previous long, batch_id long"
-    return spark.read.schema(schema).parquet(f"{path}/changes")
+    """The changes as they stand: of the statements about one key and day the newest counts."""
+    schema = f"{_fields(observations, key)}, previous long, is_change boolean, step long"
+    stated = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{path}/changes")
+    newest = stated.groupBy(*key, "observed_on").agg(F.max_by(F.struct("price_cents", "previous", "is_change"), "step").alias("s"))
+    return newest.filter("s.is_change").select(*key, "observed_on", "s.price_cents", "s.previous")
 
 
 def price_change_stream(
     observations: DataFrame, key: list[str], path: str, checkpoint: str, every: str | None = None,
 ) -> StreamingQuery:
-    """Emit every observation whose price differs from the key's previous one.
+    """Keep, per key and day, whether the lowest price of the day differs from that of the day before it.
 
-    The last observation per key is a versioned table, one version per micro-batch, so
-    a replayed batch reads the same state again.  Days are combined before the window,
-    which bounds a key to one row per day; observations not newer than the stored one
-    are late and ignored.
+    Every micro-batch appends its lowest price per key and day to a log cut into parts by key
+    hash, reads the days known of the keys it touches (their parts only), and states anew
+    each of those days from the batch's earliest one on: a late day corrects the day after it.
+    A day that comes in twice keeps the lower price.  Folders belong to (checkpoint,
+    micro-batch), so a replay overwrites its own rows.
     """
     spark = observations.sparkSession
     schema = _fields(observations, key)
-    ensure_folder(spark, f"{path}/changes", f"{schema}, previous long")
-    ensure_folder(spark, f"{path}/state/v=-1", schema)
+    ensure_folder(spark, f"{path}/changes", f"{schema}, previous long, is_change boolean, step long")
+    ensure_folder(spark, f"{path}/days", schema)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        state = session.read.schema(schema).parquet(f"{path}/state/v={batch_id - 1}")
-        daily = batch.groupBy(*key, "observed_on").agg(F.min("price_cents").alias("price_cents"))
-        known = state.select(*key, F.col("observed_on").alias("_last"))
-        newer = daily.join(known, key, "left").filter(
-            F.col("_last").isNull() | (F.col("observed_on") > F.col("_last"))
-        ).drop("_last")
-        both = state.withColumn("_old", F.lit(True)).unionByName(newer.withColumn("_old", F.lit(False)))
-        lagged = prev_value(both.withColumn("_at", F.lit(1)), key, "observed_on", "price_cents")
-        seen = prev_value(lagged, key, "observed_on", "_at", "_seen")
-        hits = seen.filter(~F.col("_old") & F.col("_seen").isNotNull() & changed(F.col("price_cents"), F.col("previous")))
-        hits.select(*key, "observed_on", "price_cents", "previous").write.mode("overwrite").parquet(
-            f"{path}/changes/batch_id={batch_id}"
-        )
-        last = both.groupBy(*key).agg(
-            F.max("observed_on").alias("observed_on"), F.max_by("price_cents", "observed_on").alias("price_cents")
-        )
-        last.write.mode("overwrite").parquet(f"{path}/state/v={batch_id}")
+        session, folder = batch.sparkSession, batch_folder(batch, batch_id)
+        run = folder.split("/")[0].removeprefix("run=")
+        daily = batch.groupBy(*key, "observed_on").agg(F.min("price_cents").alias("price_cents")).withColumn(
+            "part", F.pmod(F.xxhash64(*key), F.lit(PARTS)).cast("int"))
+        daily.write.mode("overwrite").partitionBy("part").parquet(f"{path}/days/{folder}")
+        log = session.read.schema(f"{schema}, run string, batch_id long, part int").parquet(f"{path}/days")
+        own = (F.col("run") == run) & (F.col("batch_id") == batch_id)
+        fresh = log.filter(own).drop("run", "batch_id")
+        touched = [r["part"] for r in fresh.select("part").distinct().collect()]
+        first = fresh.groupBy(*key).agg(F.min("observed_on").alias("_from"))
+        known = log.filter(F.col("part").isin(touched)).join(first.select(*key), key, "left_semi")
+        days = known.groupBy(*key, "observed_on").agg(F.min("price_cents").alias("price_cents")).withColumn("_at", F.lit(1))
+        lagged = prev_value(prev_value(days, key, "observed_on", "price_cents"), key, "observed_on", "_at", "_seen")
+        stated = lagged.join(first, key).filter(F.col("observed_on") >= F.col("_from"))
+        number = F.lit(_next_step(session, path, schema, folder))
+        stated.select(
+            *key, "observed_on", "price_cents", "previous",
+            (F.col("_seen").isNotNull() & changed(F.col("price_cents"), F.col("previous"))).alias("is_change"), number.alias("step"),
+        ).write.mode("overwrite").parquet(f"{path}/changes/{folder}")
 
     writer = observations.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def _next_step(spark: SparkSession, path: str, schema: str, folder: str) -> int:
+    """One more than the largest number in use outside ``folder``."""
+    stated = spark.read.schema("step long, run string, batch_id long").parquet(f"{path}/changes")
+    run, batch_id = (x.split("=")[1] for x in folder.split("/"))
+    others = stated.filter(~((F.col("run") == run) & (F.col("batch_id") == int(batch_id))))
+    return (others.agg(F.max("step")).first()[0] or 0) + 1

@@ -1,39 +1,35 @@
-"""Hourly throughput counters with bounded state."""
+"""Hourly throughput counters: partial counts per micro-batch, summed when read.
+
+Counts only ever add up, so no row is too late and the result does not depend on how the
+rows were cut into micro-batches.
+"""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from shelfwatch.streaming.discovery import ensure_folder
+from shelfwatch.streaming.folders import batch_folder, ensure_folder
 
 _ROW = "hour timestamp, kind string, n long"
 
 
-def hourly(events: DataFrame, ts: str, kind: str, lateness: str = "1 hour") -> DataFrame:
-    """Counts per hour and kind; the watermark lets closed hours leave the state."""
-    return (
-        events.withWatermark(ts, lateness)
-        .groupBy(F.window(ts, "1 hour").alias("w"), F.col(kind).alias("kind"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.col("w.start").alias("hour"), "kind", "n")
-    )
+def hourly(events: DataFrame, ts: str, kind: str) -> DataFrame:
+    """Counts per hour and kind."""
+    return events.groupBy(F.date_trunc("hour", ts).alias("hour"), F.col(kind).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def hourly_counts(events: DataFrame, ts: str, kind: str, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Write changed counters of each micro-batch to its own folder."""
+    """Write the counts of each micro-batch to its own folder."""
     ensure_folder(events.sparkSession, path, _ROW)
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    def add(batch: DataFrame, batch_id: int) -> None:
+        hourly(batch, ts, kind).write.mode("overwrite").parquet(f"{path}/{batch_folder(batch, batch_id)}")
 
-    writer = hourly(events, ts, kind).writeStream.outputMode("update").foreachBatch(upsert).option(
-        "checkpointLocation", checkpoint
-    )
+    writer = events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
 def read_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Newest value of every counter."""
-    rows = spark.read.schema(f"{_ROW}, batch_id long").parquet(path)
-    return rows.groupBy("hour", "kind").agg(F.max_by("n", "batch_id").alias("n"))
+    """Every counter over all micro-batches."""
+    return spark.read.schema(_ROW).option("recursiveFileLookup", True).parquet(path).groupBy("hour", "kind").agg(F.sum("n").alias("n"))
