@@ -13,8 +13,8 @@
    that a dense group costs bits, not rows: a task returns link counts and a spanning forest.
 6. Forests are united into components.
 
-Rows with a repeated vec_id are one vector per distinct content; they share links and
-component.  A vector that links with nothing is its own component.  Empty tables give an
+Rows that repeat a vec_id with other contents are one vector holding all of them: links are
+summed over the contents, and the component joins them.  A vector that links with nothing is its own component.  Empty tables give an
 empty result.
 """
 from __future__ import annotations
@@ -302,17 +302,20 @@ def link_shards(units: DataFrame, threshold: float = THRESHOLD, shard_rows: int
 def near_duplicates(embeddings: DataFrame, vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD,
                     shard_rows: int = SHARD_ROWS) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of ``embeddings``."""
-    units = cut_lineage(unit_vectors(embeddings, vector, label).withColumn("content", F.xxhash64("label", "unit")).distinct())
-    same = units.groupBy("label", "unit").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    distinct = cut_lineage(same.withColumnRenamed("first", "vec_id"))
-    members = cut_lineage(units.join(distinct.select("label", "unit", F.col("vec_id").alias("first"), "copies"), ["label", "unit"]).select(
-        "vec_id", "first", "copies"))
-    found = cut_lineage(link_shards(distinct, threshold, shard_rows))
-    counts = found.filter("n > 0").groupBy(F.col("a").alias("first")).agg(F.sum("n").alias("n"))
-    links = members.join(counts, "first", "left").groupBy("vec_id").agg(
+    # A node is a distinct content; it is known by the hash of its label and unit vector.
+    units = cut_lineage(unit_vectors(embeddings, vector, label).withColumn("node", F.xxhash64("label", "unit")).distinct())
+    same = units.groupBy("node", "label", "unit").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    distinct = cut_lineage(same)
+    found = cut_lineage(link_shards(distinct.select(F.col("node").alias("vec_id"), "label", "unit", "copies"), threshold, shard_rows))
+    firsts = distinct.select("node", "first", "copies")
+    members = units.select("vec_id", "node").join(firsts, "node")
+    counts = found.filter("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+    links = members.join(counts, "node", "left").groupBy("vec_id").agg(
         F.sum(F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     stars = members.filter("vec_id <> first").select(F.col("first").alias("a"), F.col("vec_id").alias("b"))
-    nodes = components(found.filter("n = 0").select("a", "b").unionByName(stars)).withColumnRenamed("node", "vec_id")
+    edges = found.filter("n = 0").join(firsts.select(F.col("node").alias("a"), F.col("first").alias("x")), "a").join(
+        firsts.select(F.col("node").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    nodes = components(edges.unionByName(stars)).withColumnRenamed("node", "vec_id")
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"))
     return rows.join(links, "vec_id", "left").join(nodes, "vec_id", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")).withColumn(
