@@ -21,6 +21,7 @@ from functools import lru_cache
 from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -208,25 +209,28 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, data binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """Number and digest of the ids of every whole text, and digest of what they decode to; map-only.
 
-    The ids stay inside the task: they take more room than the texts.
+    The ids leave the task only where asked for: they take more room than the texts.
     """
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+                       + [("ids", pa.list_(pa.int32()))] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, decimal = encoder(path, pattern), _decimal(path, pattern)
         for batch in batches:
-            count, id_digest, digest = [], [], []
+            rows, lists = [], []
             for text in batch.column(1).to_pylist():
                 ids = bpe.encode(text or "")
-                count.append(len(ids))
-                id_digest.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
-                digest.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(count, pa.int64()), pa.array(id_digest, pa.string()), pa.array(digest, pa.string())],
-                names=names)
+                rows.append((len(ids), hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest(),
+                             hashlib.sha256(bpe.decode(ids)).hexdigest()))
+                if with_ids:
+                    lists.append(np.array(ids, np.int32))
+            if rows:
+                columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), list(schema)[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), *columns] + [pa.array(lists, pa.list_(pa.int32()))] * with_ids, schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -7,6 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfwatch.llm import sql
 from shelfwatch.llm.byte_bpe import round_trip
 from shelfwatch.llm.common import table
 from shelfwatch.llm.decontaminate import overlaps
@@ -21,7 +22,7 @@ from shelfwatch.llm.warc import normalise_archives, plan_records, read_archives,
 from shelfwatch.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(sql.QUERIES)
 
 
 def register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -279,13 +279,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     profiles = cut_lineage(profile(docs, window))
     spans = cut_lineage(repeated_spans(docs, profiles, window))
-    keys = small(spans.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")))
-    hit = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_h"))
-    untouched = docs.join(keys, hit, "left_anti")
-    touched = docs.join(keys, hit, "left_semi").withColumn("_h", F.xxhash64("text")).withColumn("_id", F.col("doc_id").cast("long"))
-    kept = _cut(touched.select(F.col("_id").alias("doc_id"), F.col("_h").alias("h"), "text").join(spans, ["doc_id", "h"]).select(
-        "doc_id", "h", "text", "spans")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "kept").dropDuplicates(["_id", "_h"])
-    cut = touched.join(kept, ["_id", "_h"]).withColumn("text", F.col("kept"))
+    keys = small(spans.select("doc_id", "h"))
+    # The row travels as one struct, so no column of it can clash with those used here.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"))
+    untouched = rows.join(keys, ["doc_id", "h"], "left_anti").select("row")
+    touched = rows.join(keys, ["doc_id", "h"], "left_semi")
+    texts = touched.select("doc_id", "h", F.col("row.text").alias("text")).join(spans, ["doc_id", "h"])
+    kept = _cut(texts.select("doc_id", "h", "text", "spans")).select("doc_id", "h", "kept").dropDuplicates(["doc_id", "h"])
+    row = F.col("row").withField("text", F.col("kept"))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return untouched.unionByName(cut.select(*docs.columns))
+        row = row.withField("n_chars", F.length("kept").cast(docs.schema["n_chars"].dataType))
+    return untouched.unionByName(touched.join(kept, ["doc_id", "h"]).select(row.alias("row"))).select("row.*")
