@@ -187,54 +187,70 @@ def l4_next_cursor(v):
 
 
 # --- details ---------------------------------------------------------------------
-@query(with_views("stores recent metrics products", f"""
-SELECT s.store_id, s.domain, s.description, s.is_active, coalesce(r.n, 0) AS new_products_7d,
+_SUMMARY_FIELDS = (
+    "id", "title", "handle", "image_url", "price", "compare_at_price", "currency", "category", "niche", "vendor", "published_at",
+    "first_seen_at", "store_domain", "store_name", "store_country", "store_count", "spread_min_price", "spread_max_price",
+)
+_SUMMARY_TEXT = "concat_ws(':', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in (
+    "product_id", "title", "handle", "image_url", "price_cents", "compare_at_cents", "currency", "category", "niche", "vendor",
+    iso("published_at"), iso("first_seen_at"), "store_domain", "store_name", "store_country", "store_count", "spread_min", "spread_max")) + ")"
+
+
+def _text(fields):
+    """Joins the fields of a struct as text, prices in cents and ~ for NULL."""
+    def one(x, name):
+        value = F.round(x[name] * 100).cast("long") if "price" in name else x[name]
+        return F.coalesce(value.cast("string"), F.lit("~"))
+
+    return lambda x: F.concat_ws(":", *[one(x, f) for f in fields])
+
+
+@query(with_views("stores recent metrics products product_view", f"""
+SELECT s.store_id, {_STORE_SQL}, s.description, s.is_active,
 coalesce((SELECT string_agg({ymd('m.observed_on')} || ':' || m.new_products || ':' || m.removed_products || ':' || m.price_changes, '|' ORDER BY m.observed_on)
   FROM metrics m WHERE m.store_id = s.store_id AND m.observed_on >= DATE '{AS_OF}' - 30), '') AS activity,
 coalesce((SELECT string_agg(category || ':' || c, '|' ORDER BY c DESC, category) FROM (SELECT store_id, category, count(*) AS c,
   row_number() OVER (PARTITION BY store_id ORDER BY count(*) DESC, category) AS rn FROM products WHERE category IS NOT NULL GROUP BY store_id, category) x
   WHERE x.store_id = s.store_id AND rn <= 12), '') AS categories,
-coalesce((SELECT string_agg(product_id || ':' || title, '|' ORDER BY rn) FROM (SELECT store_id, product_id, title,
-  row_number() OVER (PARTITION BY store_id ORDER BY published_at DESC NULLS LAST, product_id DESC) AS rn FROM products) y
+coalesce((SELECT string_agg(line, '|' ORDER BY rn) FROM (SELECT store_id, {_SUMMARY_TEXT} AS line,
+  row_number() OVER (PARTITION BY store_id ORDER BY published_at DESC NULLS LAST, product_id DESC) AS rn FROM product_view) y
   WHERE y.store_id = s.store_id AND rn <= 24), '') AS products
 FROM stores s LEFT JOIN recent r USING (store_id) WHERE NOT s.is_hidden"""))
 def p4_store_details(v):
-    text = lambda *parts: F.concat_ws(":", *[p.cast("string") for p in parts])
-    d = details.store_details(v.stores, v.products, v.metrics, AS_OF)
-    return d.select(
-        "store_id", "domain", "description", "is_active", "new_products_7d",
-        F.array_join(F.transform("activity", lambda a: text(a["date"], a["new_products"], a["removed_products"], a["price_changes"])), "|").alias("activity"),
-        F.array_join(F.transform("categories", lambda c: text(c["category"], c["product_count"])), "|").alias("categories"),
-        F.array_join(F.transform("products", lambda p: text(p["id"], p["title"])), "|").alias("products"),
-    )
+    d = details.store_details(v.stores, v.products, v.metrics, v.matches, v.spread, AS_OF)
+    lists = {
+        "activity": ("date", "new_products", "removed_products"), "categories": ("category", "product_count"), "products": _SUMMARY_FIELDS,
+    }
+    points = lambda a: F.concat_ws(":", a["date"], *[a[c].cast("string") for c in ("new_products", "removed_products", "price_changes")])
+    return d.withColumns({
+        name: F.array_join(F.transform(name, points if name == "activity" else _text(fields)), "|") for name, fields in lists.items()})
 
 
-_RANKED = """ranked AS (SELECT m.canonical_id, p.product_id, s.domain, p.price_cents,
+_RANKED = """ranked AS (SELECT m.canonical_id, p.product_id, s.domain, s.name, s.country, s.currency, p.handle, p.first_seen_at, p.price_cents,
   row_number() OVER (PARTITION BY m.canonical_id ORDER BY p.price_cents ASC NULLS LAST, p.product_id) AS rn
   FROM matches m JOIN products p USING (product_id) JOIN stores s ON s.store_id = p.store_id AND NOT s.is_hidden)"""
-
-
-@query(with_views("products stores matches variants spread", f"""WITH {_RANKED},
-siblings AS (SELECT canonical_id, string_agg(product_id || '@' || domain || '=' || price_cents, '|' ORDER BY rn) AS listings FROM ranked WHERE rn <= 60 GROUP BY ALL),
-opts AS (SELECT product_id, string_agg(title || '=' || price_cents || CASE WHEN available THEN '+' WHEN NOT available THEN '-' ELSE '?' END, '|' ORDER BY price_cents, variant_id) AS variants FROM variants GROUP BY ALL),
-past AS (SELECT canonical_id, string_agg({ymd('observed_on')} || '=' || store_count, '|' ORDER BY observed_on) AS spread_history
-  FROM spread WHERE observed_on >= DATE '{AS_OF}' - 30 GROUP BY ALL)
-SELECT p.product_id AS id, p.title, p.product_type, coalesce(m.canonical_id, p.product_id) AS canonical_id, o.variants,
+_LISTING_TEXT = "concat_ws(':', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in (
+    "domain", "name", "country", "product_id", "handle", "price_cents", "currency", iso("first_seen_at"))) + ")"
+_LISTING_FIELDS = ("store_domain", "store_name", "store_country", "product_id", "handle", "price", "currency", "first_seen_at")
+
+
+@query(with_views("products stores matches variants spread product_view", f"""WITH {_RANKED},
+siblings AS (SELECT canonical_id, string_agg({_LISTING_TEXT}, '|' ORDER BY rn) AS listings FROM ranked WHERE rn <= 60 GROUP BY ALL),
+opts AS (SELECT product_id, string_agg(title || ':' || price_cents || ':' || CASE WHEN available THEN 'true' WHEN NOT available THEN 'false' ELSE '~' END, '|' ORDER BY price_cents, variant_id) AS variants FROM variants GROUP BY ALL),
+past AS (SELECT canonical_id, string_agg({ymd('observed_on')} || ':' || store_count, '|' ORDER BY observed_on) AS spread_history
+  FROM spread WHERE observed_on >= DATE '{AS_OF}' - 30 GROUP BY ALL),
+summary AS (SELECT product_type, {_PRODUCT_SQL} FROM product_view)
+SELECT p.*, p.vendor AS tags, coalesce(m.canonical_id, p.id) AS canonical_id, o.variants,
   coalesce(b.listings, '') AS listings, coalesce(h.spread_history, '') AS spread_history
-FROM products p JOIN stores s ON s.store_id = p.store_id AND NOT s.is_hidden LEFT JOIN matches m USING (product_id)
-LEFT JOIN opts o USING (product_id) LEFT JOIN siblings b ON b.canonical_id = coalesce(m.canonical_id, p.product_id)
-LEFT JOIN past h ON h.canonical_id = coalesce(m.canonical_id, p.product_id)"""))
+FROM summary p LEFT JOIN matches m ON m.product_id = p.id
+LEFT JOIN opts o ON o.product_id = p.id LEFT JOIN siblings b ON b.canonical_id = coalesce(m.canonical_id, p.id)
+LEFT JOIN past h ON h.canonical_id = coalesce(m.canonical_id, p.id)"""))
 def p5_product_details(v):
-    cents = lambda units: F.round(units * 100).cast("long").cast("string")
-    mark = lambda a: F.coalesce(F.when(a, "+").when(~a, "-"), F.lit("?"))
     products = v.products.withColumn("tags", F.array(F.col("vendor")))
     d = details.product_details(products, v.stores, v.variants, v.matches, v.spread, AS_OF)
-    return d.select(
-        "id", "title", "product_type", "canonical_id",
-        F.array_join(F.transform("variants", lambda x: F.concat(x["title"], F.lit("="), cents(x["price"]), mark(x["available"]))), "|").alias("variants"),
-        F.array_join(F.transform("listings", lambda x: F.concat(x["product_id"].cast("string"), F.lit("@"), x["store_domain"], F.lit("="), cents(x["price"]))), "|").alias("listings"),
-        F.array_join(F.transform("spread_history", lambda x: F.concat(x["date"], F.lit("="), x["store_count"].cast("string"))), "|").alias("spread_history"),
-    )
+    lists = {"variants": ("title", "price", "available"), "listings": _LISTING_FIELDS, "spread_history": ("date", "store_count")}
+    return d.withColumn("tags", F.array_join("tags", "|")).withColumns(
+        {name: F.array_join(F.transform(name, _text(fields)), "|") for name, fields in lists.items()})
 
 
 @query(with_views("products stores matches", f"""WITH {_RANKED} SELECT p.product_id AS asked_id, r.product_id, r.domain AS store_domain, r.rn AS listing_rank

@@ -6,6 +6,7 @@ from checks.registry import flat, iso, query
 from checks.tables_sql import half_even, with_views
 from shelfwatch.plans.crawl import classify_probes
 from shelfwatch.schemas import DRIVER_TABLES
+from shelfwatch.session import scratch_path
 from shelfwatch.sources import catalog_json, certs, seeds, sitemap, store_meta, taxonomy
 
 
@@ -36,6 +37,27 @@ def q7_normalize_products(v):
     return flat(products.drop("page_no"))
 
 
+def _spoilt_files(v):
+    """The pages with elements of every wrong kind put in front of the good ones, written to files and read again."""
+    junk = ('"text", 5, null, [1], {"id": "7", "title": "Id in quotes", "handle": "q"}, {"id": 8, "title": 5, "handle": "n"}, '
+            '{"id": 9, "title": "No handle"}, ')
+    body = F.replace("body", F.lit('{"products":['), F.lit('{"products":[' + junk))
+    path = scratch_path(v.spark, "pages")
+    v.catalog_pages.select("store_id", "page_no", body.alias("value")).repartition(8, "store_id").write.partitionBy("store_id", "page_no").text(path)
+    return catalog_json.read_catalog_json(v.spark, path)
+
+
+@query(with_views("wire", f"SELECT store_id, product_id AS source_id, handle, title FROM wire WHERE {_KEPT}"))
+def s2_spoilt_catalog_files(v):
+    products, _ = catalog_json.normalize_catalog(catalog_json.parse_catalog_pages(_spoilt_files(v)))
+    return products.select("store_id", "source_id", "handle", "title")
+
+
+@query(with_views("products", "SELECT store_id, part_id // 250 AS page_no, count(*) + 3 AS products, 4 AS rejected FROM products GROUP BY ALL"))
+def s2_rejected_elements(v):
+    return catalog_json.page_report(_spoilt_files(v))
+
+
 @query(with_views("wire", f"""SELECT store_id, product_id AS product_source_id, product_id * 2 + k AS source_id,
 CASE k WHEN 0 THEN 'Small' ELSE 'Large' END AS title,
 CASE k WHEN 0 THEN {half_even('mills')} ELSE {half_even("CAST('9' || replace(price_text, '.', '') AS BIGINT)")} END AS price_cents,

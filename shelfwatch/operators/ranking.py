@@ -4,19 +4,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Spark cuts each group to n rows before the shuffle only up to this n
-# (spark.sql.optimizer.windowGroupLimitThreshold).
-GROUP_LIMIT_MAX = 1000
-
 
 def top_n(df: DataFrame, part: list[str], order: list[Column], n: int, rank: str | None = None) -> DataFrame:
     """First n rows of every group under a total order.
 
-    The rank filter becomes a WindowGroupLimit on both sides of the shuffle, so a
-    hot group sends at most n rows per map task.
+    The rank filter becomes a WindowGroupLimit on both sides of the shuffle, so a hot group
+    sends at most n rows per map task (for n up to
+    spark.sql.optimizer.windowGroupLimitThreshold; a larger n is filtered after the shuffle).
     """
-    if n > GROUP_LIMIT_MAX:
-        raise ValueError(f"n must be at most {GROUP_LIMIT_MAX}")
     name = rank or "_rank"
     out = df.withColumn(name, F.row_number().over(Window.partitionBy(*part).orderBy(*order))).filter(
         F.col(name) <= n

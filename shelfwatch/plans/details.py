@@ -13,7 +13,9 @@ from shelfwatch.functions.catalog import to_units
 from shelfwatch.functions.policy import since
 from shelfwatch.operators.joins import resolve_canonical
 from shelfwatch.operators.ranking import top_n, value_counts
-from shelfwatch.plans.listing import in_visible_stores, iso, iso_day, product_order, with_recent_activity
+from shelfwatch.plans.listing import (
+    in_visible_stores, iso, iso_day, product_order, product_summary, product_view, store_summary_columns, with_recent_activity,
+)
 
 
 def collect_ranked(df: DataFrame, key: str, order: list[Column], n: int, fields: list[Column], name: str) -> DataFrame:
@@ -25,6 +27,12 @@ def collect_ranked(df: DataFrame, key: str, order: list[Column], n: int, fields:
     )
 
 
+def collect_sorted(df: DataFrame, key: str, order: str, fields: list[Column], name: str) -> DataFrame:
+    """(key, name): all rows of a group in order, for groups that the calendar bounds."""
+    packed = F.sort_array(F.collect_list(F.struct(F.col(order).alias("_order"), F.struct(*fields).alias("v"))))
+    return df.groupBy(key).agg(packed.alias("_list")).select(key, F.transform("_list", lambda e: e["v"]).alias(name))
+
+
 def category_share(products: DataFrame, n: int = 12) -> DataFrame:
     """Most frequent categories of every store."""
     return value_counts(products.filter("category IS NOT NULL"), ["store_id"], "category", n, "product_count")
@@ -34,35 +42,41 @@ def activity(metrics: DataFrame, as_of, days: int = CHART_DAYS) -> DataFrame:
     return metrics.filter(since(F.col("observed_on"), days, as_of))
 
 
-def store_details(stores: DataFrame, products: DataFrame, metrics: DataFrame, as_of) -> DataFrame:
-    """One row per given visible store: attributes plus activity[], categories[], products[]."""
+def newest_products(products: DataFrame, stores: DataFrame, matches: DataFrame, spread: DataFrame, n: int) -> DataFrame:
+    """(store_id, products): full summaries of the newest n products of every store."""
+    newest = top_n(products, ["store_id"], product_order("newest"), n, "_rank")
+    shown = product_summary(product_view(newest, stores, matches, spread), "store_id", "_rank")
+    fields = [F.col(c) for c in shown.columns if c not in ("store_id", "_rank")]
+    return collect_sorted(shown, "store_id", "_rank", fields, "products")
+
+
+def store_details(
+    stores: DataFrame, products: DataFrame, metrics: DataFrame, matches: DataFrame, spread: DataFrame, as_of,
+    days: int = CHART_DAYS, n_categories: int = 12, n_products: int = 24,
+) -> DataFrame:
+    """One row per given visible store: its summary, description, activity[], categories[] and products[]."""
     shown = stores.filter("NOT is_hidden")
     ids = shown.select("store_id")
     owned = products.join(ids, "store_id", "left_semi")
-    days = collect_ranked(
-        activity(metrics, as_of).join(ids, "store_id", "left_semi"), "store_id", [F.col("observed_on").asc()],
-        1000, [iso_day(F.col("observed_on")).alias("date"), F.col("new_products"), F.col("removed_products"),
-               F.col("price_changes")], "activity",
+    points = collect_sorted(
+        activity(metrics, as_of, days).join(ids, "store_id", "left_semi"), "store_id", "observed_on",
+        [iso_day(F.col("observed_on")).alias("date"), F.col("new_products"), F.col("removed_products"), F.col("price_changes")],
+        "activity",
     )
     shares = collect_ranked(
-        category_share(owned), "store_id", [F.col("product_count").desc(), F.col("category").asc()], 12,
+        category_share(owned, n_categories), "store_id", [F.col("product_count").desc(), F.col("category").asc()], n_categories,
         [F.col("category"), F.col("product_count")], "categories",
     )
-    newest = collect_ranked(
-        owned, "store_id", product_order("newest"), 24,
-        [F.col("product_id").alias("id"), F.col("title"), to_units(F.col("price_cents")).alias("price")], "products",
-    )
+    newest = newest_products(owned, shown, matches, spread, n_products)
     out = with_recent_activity(shown, metrics, as_of)
-    for bundle in (days, shares, newest):
+    for bundle in (points, shares, newest):
         out = out.join(bundle, "store_id", "left")
-    return out.select(
-        "store_id", "domain", "name", "description", "is_active", "new_products_7d",
-        *[F.coalesce(c, F.array()).alias(c) for c in ("activity", "categories", "products")],
-    )
+    lists = [F.coalesce(c, F.array()).alias(c) for c in ("activity", "categories", "products")]
+    return out.select("store_id", *store_summary_columns(), "description", "is_active", *lists)
 
 
-def store_detail(stores, products, metrics, domain: str, as_of) -> DataFrame:
-    return store_details(stores.filter(F.col("domain") == domain), products, metrics, as_of)
+def store_detail(stores, products, metrics, matches, spread, domain: str, as_of) -> DataFrame:
+    return store_details(stores.filter(F.col("domain") == domain), products, metrics, matches, spread, as_of)
 
 
 def group_listings(matches: DataFrame, products: DataFrame, stores: DataFrame, n: int = 60) -> DataFrame:
@@ -94,35 +108,32 @@ def first_store_count(history: DataFrame) -> DataFrame:
     return history.groupBy("product_id").agg(F.min_by("store_count", "observed_on").alias("was_in_stores"))
 
 
-def product_details(products, stores, variants, matches, spread, as_of) -> DataFrame:
-    """One row per given product of a visible store with variants[], listings[] and spread_history[]."""
-    base = resolve_canonical(in_visible_stores(products, stores), matches)
+def product_details(
+    products, stores, variants, matches, spread, as_of, days: int = CHART_DAYS, n_variants: int = 60, n_listings: int = 60,
+) -> DataFrame:
+    """One row per given product of a visible store: its summary, tags, type, variants[], listings[] and spread_history[]."""
+    base = resolve_canonical(product_view(products, stores, matches, spread), matches)
     options = collect_ranked(
         variants.join(products.select("product_id"), "product_id", "left_semi"), "product_id",
-        [F.col("price_cents").asc_nulls_last(), F.col("variant_id").asc()], 60,
+        [F.col("price_cents").asc_nulls_last(), F.col("variant_id").asc()], n_variants,
         [F.col("title"), to_units(F.col("price_cents")).alias("price"), F.col("available")], "variants",
     )
     # Listings and history belong to the group: build them once per group, then hand them out.
-    groups = base.select("canonical_id").distinct()
-    siblings = collect_ranked(
-        group_listings(matches.join(groups, "canonical_id", "left_semi"), products, stores), "canonical_id",
-        [F.col("listing_rank").asc()], 60,
-        [F.col("store_domain"), F.col("product_id"), F.col("handle"), to_units(F.col("price_cents")).alias("price"),
-         F.col("currency"), iso(F.col("first_seen_at")).alias("first_seen_at")], "listings",
+    groups = resolve_canonical(products.select("product_id"), matches).select("canonical_id").distinct()
+    siblings = collect_sorted(
+        group_listings(matches.join(groups, "canonical_id", "left_semi"), products, stores, n_listings), "canonical_id", "listing_rank",
+        [F.col("store_domain"), F.col("store_name"), F.col("store_country"), F.col("product_id"), F.col("handle"),
+         to_units(F.col("price_cents")).alias("price"), F.col("currency"), iso(F.col("first_seen_at")).alias("first_seen_at")], "listings",
     )
-    history = collect_ranked(
-        spread.filter(since(F.col("observed_on"), CHART_DAYS, as_of)).join(groups, "canonical_id", "left_semi"),
-        "canonical_id", [F.col("observed_on").asc()], 1000,
-        [iso_day(F.col("observed_on")).alias("date"), F.col("store_count")], "spread_history",
+    history = collect_sorted(
+        spread.filter(since(F.col("observed_on"), days, as_of)).join(groups, "canonical_id", "left_semi"),
+        "canonical_id", "observed_on", [iso_day(F.col("observed_on")).alias("date"), F.col("store_count")], "spread_history",
     )
-    return (
-        base.join(options, "product_id", "left").join(siblings, "canonical_id", "left")
-        .join(history, "canonical_id", "left")
-        .select(
-            F.col("product_id").alias("id"), "title", "product_type", "store_domain", "canonical_id",
-            F.coalesce("tags", F.array().cast("array<string>")).alias("tags"),
-            *[F.coalesce(c, F.array()).alias(c) for c in ("variants", "listings", "spread_history")],
-        )
+    full = base.join(options, "product_id", "left").join(siblings, "canonical_id", "left").join(history, "canonical_id", "left")
+    return product_summary(
+        full.withColumn("tags", F.coalesce("tags", F.array().cast("array<string>"))).withColumns(
+            {c: F.coalesce(c, F.array()) for c in ("variants", "listings", "spread_history")}),
+        "canonical_id", "product_type", "tags", "variants", "listings", "spread_history",
     )
 
 

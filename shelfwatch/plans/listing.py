@@ -127,15 +127,19 @@ def product_view(products: DataFrame, stores: DataFrame, matches: DataFrame, spr
 
 # --- projections -------------------------------------------------------------
 def store_summary(df: DataFrame) -> DataFrame:
-    return df.select(
-        "domain", "name", "country", "currency", "language", "tld",
+    return df.select(*store_summary_columns())
+
+
+def store_summary_columns() -> list[Column]:
+    return [
+        *map(F.col, ("domain", "name", "country", "currency", "language", "tld")),
         iso_day(F.col("launch_date")).alias("launch_date"), iso(F.col("first_seen_at")).alias("first_seen_at"),
         F.coalesce("product_count", F.lit(0)).alias("product_count"),
         to_units(F.col("min_price_cents")).alias("min_price"), to_units(F.col("avg_price_cents")).alias("avg_price"),
-        to_units(F.col("max_price_cents")).alias("max_price"), "primary_category",
+        to_units(F.col("max_price_cents")).alias("max_price"), F.col("primary_category"),
         iso(F.col("last_crawled_at")).alias("last_crawled_at"),
         F.coalesce("new_products_7d", F.lit(0)).alias("new_products_7d"),
-    )
+    ]
 
 
 def product_summary(df: DataFrame, *extra: str) -> DataFrame:

@@ -1,26 +1,85 @@
 """Catalog pages ({"products": [...]}) to product and variant rows."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shelfwatch.functions.catalog import (
     clean_text, first_image, parse_tags, parse_ts, product_schema, to_cents,
 )
 
-_PAGE = T.StructType([T.StructField("products", T.ArrayType(product_schema()))])
-
 
 def read_catalog_json(spark: SparkSession, path: str) -> DataFrame:
     """Recorded pages laid out as store_id=<id>/page_no=<n>/<file>, one document per file."""
     return spark.read.option("wholetext", True).text(path).withColumnRenamed("value", "body")
 
 
+def _kind(value: Column) -> Column:
+    """Type of a JSON value: OBJECT<...>, ARRAY<...>, STRING, BIGINT, ... ; NULL where there is none."""
+    return F.schema_of_variant(value)
+
+
+def _part(value: Column, path: str) -> Column:
+    return F.try_variant_get(value, path, "variant")
+
+
+def _text(value: Column, path: str) -> Column:
+    """A JSON string; any other type counts as missing."""
+    return F.when(_kind(_part(value, path)) == "STRING", F.try_variant_get(value, path, "string"))
+
+
+def _integer(value: Column, path: str) -> Column:
+    """A JSON whole number; numbers in quotes count as missing."""
+    return F.when(_kind(_part(value, path)) == "BIGINT", F.try_variant_get(value, path, "long"))
+
+
+def _is_object(value: Column) -> Column:
+    return F.coalesce(_kind(value).startswith("OBJECT"), F.lit(False))
+
+
+def _variant_row(value: Column) -> Column:
+    return F.struct(
+        _integer(value, "$.id").alias("id"), _text(value, "$.title").alias("title"),
+        F.try_variant_get(value, "$.price", "string").alias("price"),
+        F.try_variant_get(value, "$.compare_at_price", "string").alias("compare_at_price"),
+        F.try_variant_get(value, "$.available", "boolean").alias("available"),
+    )
+
+
+def _product(value: Column) -> Column:
+    """One wire product, each field read by itself: a field of another type is NULL and spoils nothing else."""
+    tags, image = _part(value, "$.tags"), _part(value, "$.images[0]")
+    source = F.when(_is_object(image), F.array(F.struct(_text(image, "$.src").alias("src"))))
+    variants = F.filter(F.try_variant_get(value, "$.variants", "array<variant>"), _is_object)
+    return F.struct(
+        _integer(value, "$.id").alias("id"),
+        *[_text(value, f"$.{name}").alias(name) for name in ("title", "handle", "vendor", "product_type")],
+        F.when(_kind(tags).startswith("ARRAY"), F.to_json(tags)).otherwise(_text(value, "$.tags")).alias("tags"),
+        *[_text(value, f"$.{name}").alias(name) for name in ("published_at", "created_at")],
+        source.alias("images"),
+        F.struct(_text(value, "$.image.src").alias("src")).alias("image"),
+        F.transform(variants, _variant_row).alias("variants"),
+    ).cast(product_schema())
+
+
+def _elements(pages: DataFrame) -> DataFrame:
+    """(store_id, page_no, e): every element of the product list of every readable page."""
+    items = F.try_variant_get(F.try_parse_json("body"), "$.products", "array<variant>")
+    return pages.select("store_id", "page_no", F.explode(items).alias("e"))
+
+
 def parse_catalog_pages(pages: DataFrame) -> DataFrame:
-    """(store_id, page_no, body) to one typed product struct per row; broken pages give no rows."""
-    parsed = pages.select("store_id", "page_no", F.from_json("body", _PAGE).alias("doc"))
-    return parsed.select("store_id", "page_no", F.explode("doc.products").alias("p"))
+    """(store_id, page_no, body) to one typed product struct per row.
+
+    Broken pages give no rows; elements that are no objects are left out one by one.
+    """
+    return _elements(pages).filter(_is_object(F.col("e"))).select("store_id", "page_no", _product(F.col("e")).alias("p"))
+
+
+def page_report(pages: DataFrame) -> DataFrame:
+    """Per page: listed products and elements rejected because they are no objects."""
+    good = _is_object(F.col("e"))
+    return _elements(pages).groupBy("store_id", "page_no").agg(F.count_if(good).alias("products"), F.count_if(~good).alias("rejected"))
 
 
 def normalize_catalog(raw: DataFrame) -> tuple[DataFrame, DataFrame]:

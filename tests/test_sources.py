@@ -17,7 +17,8 @@ def test_catalog_files(spark, tmp_path):
          "variants": [{"id": 11, "price": "5.005", "available": None}, {"id": 12, "price": "bad", "compare_at_price": "9"},
                       {"id": "x", "price": "1"}]},
         {"id": "7", "title": "text id", "handle": "x"},
-        {"id": 2, "title": "", "handle": "y"},
+        {"id": 2, "title": "", "handle": "y"}, "junk", 5, None, [1], {"id": 6, "title": 5, "handle": "numeric title"},
+        {"id": 8, "title": "Odd parts", "handle": "o", "vendor": 3, "tags": 4, "images": ["i"], "image": {"src": "i8"}, "variants": ["v", {"id": 81, "title": 1, "price": 2.5}]},
         {"id": 3, "title": "No images", "handle": "z", "tags": "p, q", "images": [{}], "image": {"src": "i3"}},
         {"id": 4, "title": "Single", "handle": "s", "images": [], "image": {"src": "i4"}},
     ]}
@@ -26,11 +27,14 @@ def test_catalog_files(spark, tmp_path):
     raw = catalog_json.parse_catalog_pages(catalog_json.read_catalog_json(spark, str(tmp_path / "c")))
     products, variants = catalog_json.normalize_catalog(raw)
     by = {r["source_id"]: r for r in products.collect()}
-    assert set(by) == {1, 3, 4}
+    assert set(by) == {1, 3, 4, 8}
+    assert (by[8]["vendor"], by[8]["tags"], by[8]["image_url"], by[8]["price_cents"]) == (None, [], "i8", 250)
+    report = catalog_json.page_report(catalog_json.read_catalog_json(spark, str(tmp_path / "c"))).collect()
+    assert [(r["page_no"], r["products"], r["rejected"]) for r in report] == [(1, 7, 4)]
     assert (by[1]["title"], by[1]["tags"], by[1]["image_url"], by[1]["price_cents"], by[1]["compare_at_cents"]) == ("Mug", ["a", "b"], "i1", 500, 900)
     assert by[1]["published_at"].year == 2024
     assert (by[3]["image_url"], by[3]["tags"], by[4]["image_url"]) == (None, ["p", "q"], "i4")
-    assert {(r["source_id"], r["price_cents"], r["available"]) for r in variants.collect()} == {(11, 500, None), (12, None, None)}
+    assert {(r["source_id"], r["price_cents"], r["available"]) for r in variants.collect()} == {(11, 500, None), (12, None, None), (81, 250, None)}
 
 
 def test_sitemap_files(spark, tmp_path):
