@@ -9,6 +9,7 @@ from shelfwatch.operators import rollup
 from shelfwatch.operators.joins import latest_prior
 from shelfwatch.operators.ranking import prev_value
 from shelfwatch.operators.state import replace_keys, snapshot_variants
+from shelfwatch.session import cut_lineage
 
 _D = f"DATE '{DAY}'"
 _CRAWLED = f"""crawled AS (SELECT store_id, max(observed_on) FILTER (observed_on < {_D}) AS previous_on
@@ -90,6 +91,20 @@ def q5_daily_rollup(v):
     return flat(rollup.daily_rollup(crawled(v), products, as_variants(products), history(v), DAY))
 
 
+@query(with_views("obs", f"""WITH {_CRAWLED}, {_STATE}, {_PRIOR},
+newp AS (SELECT store_id, count(*) AS n FROM state WHERE first_on = {_D} GROUP BY ALL),
+gone AS (SELECT s.store_id, count(*) AS n FROM state s JOIN crawled USING (store_id) WHERE last_on < {_D} AND last_on >= previous_on GROUP BY ALL),
+chg AS (SELECT s.store_id, count(*) AS n FROM state s JOIN prior USING (product_id) WHERE s.price_cents IS DISTINCT FROM previous GROUP BY ALL)
+SELECT c.store_id, '{DAY}' AS observed_on, coalesce(newp.n, 0) AS new_products, coalesce(gone.n, 0) AS removed_products,
+  coalesce(chg.n, 0) AS price_changes
+FROM crawled c LEFT JOIN newp USING (store_id) LEFT JOIN gone USING (store_id) LEFT JOIN chg USING (store_id)"""))
+def q5_daily_from_latest(v):
+    """The same day from a stored latest-price table: no history is read."""
+    products = until_day(v)
+    latest = cut_lineage(rollup.latest_prices(history(v).filter(F.col("observed_on") < day(DAY))))
+    return flat(rollup.daily_rollup_from_latest(crawled(v), products, as_variants(products), latest, DAY))
+
+
 @query(with_views("metrics", f"SELECT store_id, {ymd('observed_on')} AS observed_on, new_products, removed_products, price_changes FROM metrics"))
 def q5_backfill_rollup(v):
     return flat(v.metrics)

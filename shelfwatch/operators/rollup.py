@@ -63,17 +63,56 @@ def rollup_join(crawled: DataFrame, new: DataFrame, gone: DataFrame, repriced: D
     )
 
 
-def daily_rollup(crawled: DataFrame, products: DataFrame, variants: DataFrame, history: DataFrame, on_day) -> DataFrame:
-    """store_metrics rows of one day."""
-    return rollup_join(
-        crawled,
-        new_products(products, crawled, on_day),
-        removed_products(products, crawled, on_day),
-        price_changes(products, variants, history, crawled, on_day),
-        on_day,
+def catalog_counts(products: DataFrame, crawled: DataFrame, on_day) -> DataFrame:
+    """(store_id, new_products, removed_products) of one day from one pass over the products."""
+    d = F.lit(_day(on_day))
+    first, last = F.to_date("first_seen_at"), F.to_date("last_seen_at")
+    since = F.col("previous_on") if "previous_on" in crawled.columns else F.date_sub(d, 1)
+    keep = [c for c in ("store_id", "previous_on") if c in crawled.columns]
+    moved = products.filter((first == d) | (last < d)).join(crawled.select(*keep).distinct(), "store_id")
+    return moved.groupBy("store_id").agg(
+        F.count_if(first == d).alias("new_products"), F.count_if((last < d) & (last >= since)).alias("removed_products"))
+
+
+def latest_prices(history: DataFrame) -> DataFrame:
+    """(variant_id, price_cents, observed_on): the last observation of every variant."""
+    return history.groupBy("variant_id").agg(
+        F.max_by("price_cents", "observed_on").alias("price_cents"), F.max("observed_on").alias("observed_on"))
+
+
+def merge_latest(latest: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """The latest-price table after one more snapshot (variant_id, price_cents, observed_on); older rows never win."""
+    columns = ("variant_id", "price_cents", "observed_on")
+    return latest_prices(latest.select(*columns).unionByName(snapshot.select(*columns)))
+
+
+def price_changes_since(products: DataFrame, variants: DataFrame, latest: DataFrame, crawled: DataFrame, on_day) -> DataFrame:
+    """As ``price_changes``, from the latest-price table as it was before the day: no history is read."""
+    owned = _of_crawled(products, crawled).select("product_id", "store_id")
+    current = variants.select("variant_id", "product_id", "price_cents").join(owned, "product_id")
+    before = latest.filter(F.col("observed_on") < F.lit(_day(on_day))).select("variant_id", F.col("price_cents").alias("previous"))
+    return _count(current.join(before, "variant_id").filter(changed(F.col("price_cents"), F.col("previous"))))
+
+
+def _daily(crawled: DataFrame, counts: DataFrame, repriced: DataFrame, on_day) -> DataFrame:
+    out = crawled.select("store_id").distinct().join(counts, "store_id", "left").join(
+        repriced.select("store_id", F.col("n").alias("price_changes")), "store_id", "left")
+    return out.select(
+        "store_id", day(_day(on_day)).alias("observed_on"),
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("new_products", "removed_products", "price_changes")],
     )
 
 
+def daily_rollup(crawled: DataFrame, products: DataFrame, variants: DataFrame, history: DataFrame, on_day) -> DataFrame:
+    """store_metrics rows of one day, where only the price history is at hand."""
+    return _daily(crawled, catalog_counts(products, crawled, on_day), price_changes(products, variants, history, crawled, on_day), on_day)
+
+
+def daily_rollup_from_latest(crawled: DataFrame, products: DataFrame, variants: DataFrame, latest: DataFrame, on_day) -> DataFrame:
+    """store_metrics rows of one day from the latest-price table; ``merge_latest`` then takes the day in."""
+    return _daily(crawled, catalog_counts(products, crawled, on_day), price_changes_since(products, variants, latest, crawled, on_day), on_day)
+
+
 def backfill_rollup(observations: DataFrame) -> DataFrame:
     """store_metrics rows of every crawled store-day from daily observations.
 

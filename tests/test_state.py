@@ -107,3 +107,33 @@ def test_refresh_zeroes_empty_store(spark):
     v = Views(spark, SMALL)
     out = state.refresh_stores(v.stores, v.products.limit(0), v.stores.select("store_id"), AS_OF)
     assert {(r["product_count"], r["min_price_cents"]) for r in out.collect()} == {(0, None)}
+
+
+def test_daily_replay_equals_backfill(spark):
+    """Day after day from the latest-price table gives the rows of the one-pass backfill."""
+    import random
+
+    from shelfwatch.operators import rollup
+
+    rng = random.Random(3)
+    spans = {(s, p): sorted(rng.sample(range(1, 7), 2)) for s in (1, 2) for p in range(9)}
+    rows = [(s, p, f"2024-01-{d:02d}", rng.choice([5, 6, 7])) for (s, p), (a, b) in spans.items() for d in range(a, b + 1)
+            if not (s == 2 and d == 4)]
+    obs = spark.createDataFrame(rows, "store_id long, part_id long, d string, price_cents long").select(
+        "store_id", "part_id", F.to_date("d").alias("observed_on"), "price_cents")
+    want = {tuple(r) for r in rollup.backfill_rollup(obs).select("store_id", "observed_on", "new_products", "removed_products", "price_changes").collect()}
+    days, got = rollup.crawl_days(obs), set()
+    latest = spark.createDataFrame([], "variant_id long, price_cents long, observed_on date")
+    for d in range(1, 7):
+        on = f"2024-01-{d:02d}"
+        seen = obs.filter(F.col("observed_on") <= F.lit(on).cast("date"))
+        products = seen.groupBy((F.col("store_id") * 100 + F.col("part_id")).alias("product_id"), "store_id").agg(
+            F.min("observed_on").alias("first_seen_at"), F.max("observed_on").alias("last_seen_at"))
+        today = seen.filter(F.col("observed_on") == F.lit(on).cast("date")).select(
+            (F.col("store_id") * 100 + F.col("part_id")).alias("variant_id"), "price_cents", "observed_on")
+        variants = today.withColumn("product_id", F.col("variant_id"))
+        crawled = days.filter(F.col("observed_on") == F.lit(on).cast("date")).select("store_id", "previous_on")
+        plan = rollup.daily_rollup_from_latest(crawled, products, variants, latest, on)
+        got |= {tuple(r) for r in plan.select("store_id", "observed_on", "new_products", "removed_products", "price_changes").collect()}
+        latest = spark.createDataFrame(rollup.merge_latest(latest, today).collect(), latest.schema)
+    assert got == want
