@@ -85,6 +85,13 @@ def x5_parse_tags(v):
     return v.table("documents").select("doc_id", F.array_join(catalog.parse_tags(F.col("text")), "|").alias("tags"))
 
 
+@query("SELECT doc_id, lang || '|' || source || ',x|' || substr(' ' || text, 1, 80) AS tags FROM documents")
+def x5_parse_tag_lists(v):
+    """Tags that come as a JSON array: commas and blanks inside an element stay."""
+    listed = F.to_json(F.array(F.col("lang"), F.concat("source", F.lit(",x")), F.concat(F.lit(" "), "text")))
+    return v.table("documents").select("doc_id", F.array_join(catalog.parse_tags(listed), "|").alias("tags"))
+
+
 @query(with_views("products", """SELECT product_id, CASE part_id % 3 WHEN 0 THEN image_url WHEN 1 THEN NULL ELSE image_url END AS image_url FROM products"""))
 def x6_first_image(v):
     src = F.struct(F.col("image_url").alias("src"))

@@ -5,7 +5,7 @@ from checks.registry import flat, iso, query, ymd
 from checks.tables_sql import with_views
 from checks.views import AS_OF
 from shelfwatch.operators.ranking import hash_sample, top_n, value_counts
-from shelfwatch.plans import crawl, details, listing, site_index, stats
+from shelfwatch.plans import categorise, crawl, details, listing, site_index, stats
 from shelfwatch.schemas import FeedFilter, ProductFilter, StoreFilter
 
 _NOW = f"TIMESTAMP '{AS_OF} 00:00:00'"
@@ -117,9 +117,12 @@ def f3_product_facets(v):
     return listing.filter_products(*tables(v), _PRODUCT_FILTER).select("product_id")
 
 
-@query(with_views("product_view", "SELECT product_id FROM product_view WHERE contains(lower(title), 'd_r')"))
+@query(with_views("product_view", "SELECT product_id FROM product_view WHERE product_id % 2 = 0 AND contains(lower(replace(title, ' ', '_')), 'd_r')"))
 def f3_literal_search(v):
-    return listing.filter_products(*tables(v), ProductFilter(q="d_r"), escape=True).select("product_id")
+    """Every second title has underscores for its blanks; only those hold the pattern's own underscore."""
+    title = F.when(F.col("product_id") % 2 == 0, F.replace("title", F.lit(" "), F.lit("_"))).otherwise(F.col("title"))
+    products = v.products.withColumn("title", title)
+    return listing.filter_products(products, v.stores, v.matches, v.spread, ProductFilter(q="d_r"), escape=True).select("product_id")
 
 
 @query(with_views("product_view", "SELECT product_id FROM product_view WHERE title ILIKE '%d_r%' AND store_count >= 2"))
@@ -281,10 +284,10 @@ def a10_category_share(v):
     return details.category_share(v.products)
 
 
-@query("""SELECT source, lang, c FROM (SELECT source, lang, count(*) AS c,
-row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, lang) AS rn FROM documents WHERE lang <> '' GROUP BY source, lang) WHERE rn <= 12""")
+@query(with_views("products", """SELECT store_id, product_type, c FROM (SELECT store_id, product_type, count(*) AS c,
+row_number() OVER (PARTITION BY store_id ORDER BY count(*) DESC, product_type) AS rn FROM products WHERE product_type <> '' GROUP BY store_id, product_type) WHERE rn <= 3"""))
 def a11_top_types(v):
-    return value_counts(v.table("documents").filter("lang <> ''"), ["source"], "lang", 12, "c")
+    return categorise.top_types(v.products, 3)
 
 
 @query(with_views("products", """SELECT store_id, category, n FROM (SELECT store_id, category, count(*) AS n,
