@@ -37,6 +37,49 @@ def j8_close_pairs(v):
     return near_pairs(cut_lineage(reps), distance=3)
 
 
+# Whole 64-bit hashes, about half of them negative: families of parts whose hashes differ in their low bits.
+_FULL = """full_hashes AS (SELECT min(id) AS rep, h FROM (SELECT p_partkey AS id,
+  xor(CAST(CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END AS BIGINT), CAST(pow(2, p_partkey % 23) AS BIGINT) - 1) AS h
+  FROM (SELECT p_partkey, CAST(CAST('0x' || substr(md5(CAST(p_partkey % 97 AS VARCHAR)), 1, 16) AS UBIGINT) AS HUGEINT) AS u FROM part)) GROUP BY h)"""
+_FULL_PAIRS = f"""WITH {_FULL} SELECT a.rep AS a, b.rep AS b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance
+FROM full_hashes a JOIN full_hashes b ON a.rep < b.rep AND bit_count(xor(a.h, b.h)) <= 6"""
+
+
+def _full_hashes(v):
+    k = F.col("p_partkey")
+    base = F.conv(F.substring(F.md5((k % 97).cast("string").cast("binary")), 1, 16), 16, -10).cast("long")
+    h = base.bitwiseXOR(F.pow(F.lit(2), k % 23).cast("long") - 1)
+    return cut_lineage(v.table("part").select(k.alias("id"), h.alias("h")).groupBy("h").agg(F.min("id").alias("rep")))
+
+
+@query(_FULL_PAIRS)
+def j8_signed_hashes(v):
+    return near_pairs(_full_hashes(v), distance=6)
+
+
+@query(_FULL_PAIRS)
+def j8_crowded_buckets(v):
+    """The same pairs with buckets that are cut again from sixteen rows on."""
+    return near_pairs(_full_hashes(v), distance=6, bucket_rows=16)
+
+
+@query(_FULL_PAIRS)
+def j8_nine_segments(v):
+    return near_pairs(_full_hashes(v), distance=6, segments=9, bucket_rows=64)
+
+
+@query(_FULL_PAIRS)
+def j8_ten_segments(v):
+    return near_pairs(_full_hashes(v), distance=6, segments=10)
+
+
+@query(with_views("near", f"WITH {_REACH} SELECT rep AS node, root AS component FROM roots WHERE rep IN (SELECT a FROM edges)", recursive=True))
+def q1_components_with_hubs(v):
+    """Every node counts as a hub, so all joins go by the broadcast of hot keys."""
+    reps = cut_lineage(v.hashes.groupBy("h").agg(F.min("id").alias("rep")))
+    return components(near_pairs(reps), min_hot=1)
+
+
 @query(with_views("near", f"WITH {_REACH} SELECT rep AS node, root AS component FROM roots WHERE rep IN (SELECT a FROM edges)", recursive=True))
 def q1_components(v):
     reps = cut_lineage(v.hashes.groupBy("h").agg(F.min("id").alias("rep")))

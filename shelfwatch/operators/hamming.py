@@ -121,14 +121,10 @@ def near_pairs(
         F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b"),
         hamming(F.col("l.h"), F.col("r.h")).cast("int").alias("distance"),
     ]
-    # With fewer hashes than a bucket may hold no bucket can be crowded.
-    if n <= bucket_rows:
-        return _pairs(keyed, keyed, ["band", "key"], distance, [ordered, owner]).select(*columns)
-
-    # Otherwise every key learns the size of its bucket and which bits vary in it.  Lone
-    # keys drop out, and so do buckets whose members all agree on an earlier skipped
-    # segment: every pair in them belongs to an earlier band.  The size join and the
-    # pair join share one partitioning by (band, key).
+    # Every key learns the size of its bucket and which bits vary in it.  Lone keys drop
+    # out, and so do buckets whose members all agree on an earlier skipped segment: every
+    # pair in them belongs to an earlier band.  The size join and the pair join share one
+    # partitioning by (band, key).
     bucket = ["band", "key"]
     sizes = cut_lineage(keyed.groupBy(*bucket).agg(
         F.count(F.lit(1)).alias("size"), F.bit_or("h").bitwiseXOR(F.bit_and("h")).alias("varies")
