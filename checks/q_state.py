@@ -7,8 +7,9 @@ from checks.tables_sql import with_views
 from checks.views import AS_OF, SPLIT_DAY
 from shelfwatch import constants as K
 from shelfwatch.functions.policy import day
-from shelfwatch.operators import state
+from shelfwatch.operators import buckets, state
 from shelfwatch.plans.categorise import primary_category, refresh_primary
+from shelfwatch.session import scratch_path
 from shelfwatch.sources.certs import distinct_domains
 
 _NOW = f"TIMESTAMP '{AS_OF} 00:00:00'"
@@ -97,6 +98,29 @@ def w2_upsert_products(v):
     return flat(state.upsert_products(_old_products(v), _new_products(v), AS_OF))
 
 
+@query(with_views("obs", f"""WITH o AS ({_split_products('<')}), n0 AS ({_split_products('>=')}),
+n AS (SELECT * REPLACE (CASE WHEN p_size % 5 = 0 THEN title || ' v2' ELSE title END AS title,
+  CASE WHEN p_size % 7 = 0 THEN image_url || '?2' ELSE image_url END AS image_url,
+  CASE WHEN p_size % 3 <> 0 THEN published_at END AS published_at) FROM n0)
+SELECT n.product_id, n.store_id, n.source_id, n.handle, n.title, n.vendor, n.product_type, n.image_url,
+  CASE WHEN n.image_url IS NOT DISTINCT FROM o.image_url THEN o.image_hash END AS image_hash, n.price_cents, n.compare_at_cents,
+  CASE WHEN n.title = o.title THEN o.category END AS category, CASE WHEN n.title = o.title THEN o.niche END AS niche,
+  {iso('coalesce(n.published_at, o.published_at)')} AS published_at,
+  {iso(f'coalesce(o.first_seen_at, {_NOW})')} AS first_seen_at, {iso(_NOW)} AS last_seen_at
+FROM n LEFT JOIN o USING (store_id, source_id)
+UNION ALL SELECT o.product_id, o.store_id, o.source_id, o.handle, o.title, o.vendor, o.product_type, o.image_url, o.image_hash,
+  o.price_cents, o.compare_at_cents, o.category, o.niche, {iso('o.published_at')}, {iso('o.first_seen_at')}, {iso('o.last_seen_at')}
+FROM o ANTI JOIN n USING (store_id, source_id)"""))
+def w2_bucketed_upsert(v):
+    """The same merge into a stored table in buckets of stores, run twice."""
+    old = _old_products(v)
+    path, kinds = scratch_path(v.spark, "products"), ", ".join(f"{n} {t}" for n, t in old.dtypes)
+    buckets.write_buckets(old, path, "store_id")
+    for _ in range(2):
+        buckets.merge_buckets(v.spark, path, kinds, _new_products(v), "store_id", lambda o, n: state.upsert_products(o, n, AS_OF))
+    return flat(buckets.read_buckets(v.spark, path, kinds))
+
+
 @query(with_views("variants", """SELECT variant_id, product_id, source_id,
 CASE WHEN source_id = 1 THEN 'New size' ELSE title END AS title, CASE WHEN source_id = 1 THEN price_cents + 1 ELSE price_cents END AS price_cents,
 CASE WHEN source_id = 1 THEN TRUE ELSE available END AS available FROM variants
@@ -178,6 +202,20 @@ def w9_write_spread(v):
     return flat(state.replace_keys(v.spread, again, ["canonical_id", "observed_on"]), "canonical_id", "observed_on", "store_count")
 
 
+@query(with_views("spread", f"""SELECT canonical_id, {ymd('observed_on')} AS observed_on,
+CASE WHEN observed_on = (SELECT max(observed_on) FROM spread) THEN store_count + 1 ELSE store_count END AS store_count FROM spread"""))
+def w9_overwrite_partition(v):
+    """The newest snapshot is overwritten as a partition, twice; the other days' files stay."""
+    path = scratch_path(v.spark, "spread")
+    state.write_partition(v.spread, path, "observed_on")
+    newest = v.spread.select(F.max("observed_on")).scalar()
+    again = v.spread.filter(F.col("observed_on") == newest).withColumn("store_count", F.col("store_count") + 1)
+    for _ in range(2):
+        state.write_partition(again, path, "observed_on")
+    stored = v.spark.read.schema("canonical_id long, store_count long, observed_on date").parquet(path)
+    return flat(stored, "canonical_id", "observed_on", "store_count")
+
+
 @query(with_views("obs spread queue", f"""SELECT 'history' AS kind, count(*) AS kept FROM obs WHERE observed_on >= DATE '{AS_OF}' - 400
 UNION ALL SELECT 'spread', count(*) FROM spread WHERE observed_on >= DATE '{AS_OF}' - 120
 UNION ALL SELECT 'queue', count(*) FROM queue WHERE NOT coalesce(status IN ('not_shopify', 'error') AND checked_at < {_NOW} - INTERVAL 30 DAY, FALSE)"""))
@@ -200,6 +238,33 @@ def w14_apply_hashes(v):
     return state.apply_hashes(v.products, done).select("product_id", "image_hash", "image_url")
 
 
+@query(with_views("products", """SELECT product_id, CASE WHEN image_url IS NOT NULL AND p_size <= 40 THEN substr(md5(handle), 1, 16) ELSE image_hash END AS image_hash,
+CASE WHEN p_size <= 40 THEN image_url END AS image_url FROM products"""))
+def w14_repeated_results(v):
+    """Results that arrive several times count once."""
+    done = v.products.filter("image_url IS NOT NULL").select(
+        "product_id", F.when(F.col("p_size") <= 40, F.substring(F.md5(F.col("handle").cast("binary")), 1, 16)).alias("image_hash"))
+    return state.apply_hashes(v.products, done.unionByName(done)).select("product_id", "image_hash", "image_url")
+
+
+@query("SELECT vec_id AS product_id, CASE WHEN vec_id % 3 = 0 THEN CAST(-embedding[1] AS DOUBLE) ELSE CAST(embedding[1] AS DOUBLE) END AS first FROM embeddings")
+def j10_apply_embeddings(v):
+    products = v.table("embeddings").select(F.col("vec_id").alias("product_id"), "embedding")
+    new = products.filter("product_id % 3 = 0").withColumn("embedding", F.transform("embedding", lambda e: -e))
+    out = state.apply_embeddings(products, new.unionByName(new))
+    return out.select("product_id", F.get("embedding", F.lit(0)).cast("double").alias("first"))
+
+
+@query(with_views("queue", f"""SELECT domain, CASE length(domain) % 3 WHEN 0 THEN 'shopify' WHEN 1 THEN CASE WHEN attempts + 1 >= 3 THEN 'error' ELSE 'pending' END ELSE status END AS status,
+CASE WHEN length(domain) % 3 < 2 THEN attempts + 1 ELSE attempts END AS attempts,
+{iso(f'CASE WHEN length(domain) % 3 < 2 THEN {_NOW} ELSE checked_at END')} AS checked_at FROM queue"""))
+def x21_finish_checks(v):
+    """A third of the queue is found, a third fails, a third is not checked."""
+    kind = F.length("domain") % 3
+    verdicts = v.queue.filter(kind < 2).select("domain", F.when(kind == 0, "shopify").alias("verdict"))
+    return flat(state.finish_checks(v.queue, verdicts, AS_OF), "domain", "status", "attempts", "checked_at")
+
+
 @query(with_views("requests base_stores", """SELECT s.store_id, s.domain, s.is_hidden OR r.country = 'NATION_3' AS is_hidden,
 CASE WHEN r.country = 'NATION_3' THEN 'done' ELSE r.status END AS status FROM base_stores s JOIN requests r ON r.id = s.store_id"""))
 def w15_resolve_requests(v):

@@ -10,16 +10,20 @@ from pyspark.sql import functions as F
 
 from shelfwatch import constants as K
 from shelfwatch.functions.policy import (
-    active_after_fail, changed, crawl_priority, day, instant, since_interval,
+    active_after_fail, changed, crawl_priority, day, instant, retry_status, since_interval,
 )
 
 
 def dedupe_last(batch: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
-    """One row per key; the highest ``order`` wins.  Map-side combined, so copies never travel together."""
-    if order is None:
-        return batch.dropDuplicates(key)
+    """One row per key: that of the highest ``order``, of equal ones (or without ``order``) the largest row.
+
+    Map-side combined, so copies never travel together.
+    """
     rest = [c for c in batch.columns if c not in key]
-    packed = F.max_by(F.struct(*rest), F.col(order)).alias("_row")
+    if not rest:
+        return batch.distinct()
+    row = F.struct(*rest)
+    packed = (F.max(row) if order is None else F.max_by(row, F.struct(F.col(order), row))).alias("_row")
     return batch.groupBy(*key).agg(packed).select(*key, "_row.*")
 
 
@@ -201,8 +205,12 @@ def replace_keys(table: DataFrame, batch: DataFrame, key: list[str]) -> DataFram
 
 
 def write_partition(df: DataFrame, path: str, column: str) -> None:
-    """Overwrite only the partitions present in ``df``; running it twice changes nothing."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path))
+    """Overwrite only the partitions present in ``df``; running it twice changes nothing.
+
+    Rows are gathered by partition first, a large one over several tasks, so the number of
+    files does not multiply with the number of tasks.
+    """
+    (df.hint("rebalance", column).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path))
 
 
 def prune(df: DataFrame, column: str, keep_days: int, as_of, status: list[str] | None = None) -> DataFrame:
@@ -218,8 +226,11 @@ def prune(df: DataFrame, column: str, keep_days: int, as_of, status: list[str] |
 
 
 def apply_hashes(products: DataFrame, results: DataFrame) -> DataFrame:
-    """Write back hashing results (product_id, image_hash); a NULL hash clears the image URL."""
-    found = results.select("product_id", F.col("image_hash").alias("_hash"), F.lit(True).alias("_done"))
+    """Write back hashing results (product_id, image_hash); a NULL hash clears the image URL.
+
+    Of several results for a product the largest hash counts.
+    """
+    found = dedupe_last(results.select("product_id", "image_hash"), ["product_id"]).select("product_id", F.col("image_hash").alias("_hash"), F.lit(True).alias("_done"))
     joined = products.join(found, "product_id", "left")
     new = {
         "image_hash": F.coalesce("_hash", "image_hash"),
@@ -229,13 +240,37 @@ def apply_hashes(products: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def apply_categories(products: DataFrame, assigned: DataFrame) -> DataFrame:
-    """Write back assigned categories (product_id, category); niche is always cleared."""
-    joined = products.join(assigned.select("product_id", F.col("category").alias("_cat")), "product_id", "left")
+    """Write back assigned categories (product_id, category), the last of several by name; niche is always cleared."""
+    found = dedupe_last(assigned.select("product_id", "category"), ["product_id"])
+    joined = products.join(found.select("product_id", F.col("category").alias("_cat")), "product_id", "left")
     hit = F.col("_cat").isNotNull()
     new = {"category": F.coalesce("_cat", "category"), "niche": F.when(~hit, F.col("niche"))}
     return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in products.columns])
 
 
+def apply_embeddings(products: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Write back vectors (product_id, embedding); products without a new one keep theirs."""
+    found = dedupe_last(vectors.select("product_id", "embedding"), ["product_id"])
+    joined = products.join(found.select("product_id", F.col("embedding").alias("_new")), "product_id", "left")
+    return joined.select(*[F.coalesce("_new", "embedding").alias(c) if c == "embedding" else F.col(c) for c in products.columns])
+
+
+def finish_checks(queue: DataFrame, verdicts: DataFrame, as_of) -> DataFrame:
+    """Queue rows after their check (domain, verdict): a NULL verdict is a failed try, which waits or ends as an error.
+
+    Every checked row counts an attempt; others pass unchanged.
+    """
+    found = dedupe_last(verdicts.select("domain", "verdict"), ["domain"]).withColumn("_done", F.lit(True))
+    joined = queue.join(found, "domain", "left")
+    hit = F.col("_done").isNotNull()
+    new = {
+        "status": F.when(hit, F.coalesce("verdict", retry_status(F.col("attempts")))).otherwise(F.col("status")),
+        "checked_at": F.when(hit, instant(as_of)).otherwise(F.col("checked_at")),
+        "attempts": F.when(hit, F.col("attempts") + 1).otherwise(F.col("attempts")),
+    }
+    return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in queue.columns])
+
+
 def append_request(requests: DataFrame, new: DataFrame, as_of) -> DataFrame:
     """Add removal requests as pending; the id is derived from what was asked and when."""
     stamped = new.withColumn("created_at", instant(as_of)).withColumn("status", F.lit("pending"))
@@ -285,9 +320,9 @@ def reset_categories(products: DataFrame) -> DataFrame:
 
 def save_context(stores: DataFrame, context: DataFrame, as_of) -> DataFrame:
     """Store the voted category (store_id, category, score); an undecided vote keeps the old primary category."""
+    found = dedupe_last(context.select("store_id", "category", "score"), ["store_id"], "score")
     joined = stores.join(
-        context.select("store_id", F.col("category").alias("_cat"), F.col("score").alias("_score"),
-                       F.lit(True).alias("_hit")),
+        found.select("store_id", F.col("category").alias("_cat"), F.col("score").alias("_score"), F.lit(True).alias("_hit")),
         "store_id", "left",
     )
     hit = F.col("_hit").isNotNull()
