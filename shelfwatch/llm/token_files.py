@@ -17,6 +17,7 @@ each other; null ids come first.  An empty table gives an empty index.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from shelfwatch.llm.common import child, hash_sample, open_folder
 
@@ -39,7 +41,7 @@ DICTIONARY_BYTES = 64 * 1024
 SAMPLE_DOCS = 512
 SAMPLE_PIECE = 4 * 1024
 LEVEL = 3
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 CACHED_BYTES = 200
 INDEX_DDL = (
     "doc_id long, part int, place long, file string, offset long, length long, n_tokens long, local_start long, "
@@ -51,6 +53,11 @@ INDEX = pa.schema([
 ])
 
 
+# Words of printable ASCII and precomposed Latin-1 letters need no normalisation but lower case.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PLAIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
 class WordEncoder:
     """Encodes a text word by word for tokenizers that drop white space and never join across it.
 
@@ -62,6 +69,9 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.word_wise = self._is_word_wise()
+        spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelling = {c: spell(chr(c))[0][0] for c in (*range(33, 127), *range(0xC0, 0x100))}
+        self.plain = self.word_wise and self._is_plain()
         self._clear()
 
     def _clear(self) -> None:
@@ -80,9 +90,28 @@ class WordEncoder:
             for p in probe
         )
 
+    def _is_plain(self) -> bool:
+        """Whether plain words may go straight to the tokenizer's merge model, tried on every plain character."""
+        probe = [*map(chr, self.spelling), "Plain,", "It's", "don'T", "x1y22", "ÉÀ.ß", "a''s", "(É)", "...'ll"]
+        return all(self._by_model(w) == ids for w, ids in zip(probe, self._raw(probe)))
+
+    def _by_model(self, word: str) -> list[int]:
+        tokenize, spelling = self.tokenizer.model.tokenize, self.spelling
+        return [t.id for piece in PLAIN_PIECES.findall(word.lower()) for t in tokenize(piece.translate(spelling))]
+
+    def _words(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word: plain ones through the merge model alone, others through the whole tokenizer."""
+        if not self.plain:
+            return self._raw(words)
+        out = [self._by_model(w) if PLAIN.fullmatch(w) and "<|" not in w else None for w in words]
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        for k, ids in zip(rest, self._raw([words[k] for k in rest])):
+            out[k] = ids
+        return out
+
     def _learn(self, words: list[bytes]) -> None:
         """Add words that are not in the cache yet."""
-        for word, ids in zip(words, self._raw([w.decode() for w in words])):
+        for word, ids in zip(words, self._words([w.decode() for w in words])):
             k, end = len(self.number), self.used + len(ids)
             while end > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -118,7 +147,7 @@ class WordEncoder:
         own = {}
         for at in range(0, len(new), 5_000):
             some = new[at:at + 5_000]
-            own.update(zip(some, (np.array(i, np.uint32) for i in self._raw([w.decode() for w in some]))))
+            own.update(zip(some, (np.array(i, np.uint32) for i in self._words([w.decode() for w in some]))))
         return np.concatenate([own[w] for w in words])
 
 
