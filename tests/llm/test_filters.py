@@ -131,6 +131,44 @@ def test_leaks_are_found(spark, leaks, bound, monkeypatch):
     assert sorted((r.doc_id for r in clean.collect()), key=repr) == sorted((i for i, _ in docs if i not in dirty), key=repr)
 
 
+def test_masks_miss_no_pattern():
+    assert decontaminate.missed() == []
+    assert (15, (1, 6, 11)) in decontaminate.missed(("111111", "11011011", "10101010101"))
+
+
+def brute_overlaps(docs, items):
+    """Every window of every alignment, without seeds: doc_id, item_id, first and last word."""
+    out = []
+    for d, text in docs:
+        w = text.lower().split()
+        for i, item in items:
+            b = item.lower().split()
+            size = min(15, len(b))
+            for shift in range(1 - len(b), len(w)) if size >= 6 else ():
+                good = [s for s in range(max(0, -shift), min(len(b), len(w) - shift) - size + 1)
+                        if 5 * sum(w[s + shift + k] == b[s + k] for k in range(size)) >= 4 * size]
+                if good:
+                    out.append((d, i, good[0] + shift, good[-1] + size - 1 + shift))
+    return sorted(out)
+
+
+def test_substitutions_are_found(spark):
+    rng = random.Random(5)
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in (5, 6, 7, 8, 9, 10, 15, 16, 60)]
+    items.append((100, " ".join(f"c{rng.randrange(3)}" for _ in range(30))))
+    swaps = []
+    for n, item in items:
+        w = item.split()
+        few = [{k} for k in range(n)] if n < 10 else [{0, 5, 10}, {1, 6, 11}, {3, 7, 11}, {0, 5}, {4, 9}, {1, 2, 3, 4}]
+        few += [set(range(k, n, 5)) for k in range(5)] + [set(rng.sample(range(len(w)), len(w) // 5)) for _ in range(20)]
+        swaps += [["swap" if k in bad else x for k, x in enumerate(w)] for bad in few]
+    docs = [(k, " ".join(["a", "b"] * (k % 3) + w + ["z"] * (k % 2))) for k, w in enumerate(swaps)]
+    docs += [(1000 + k, " ".join(f"c{rng.randrange(3)}" for _ in range(40))) for k in range(40)]
+    want = brute_overlaps(docs, items)
+    found = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert len(want) > 150 and sorted(tuple(r)[:4] for r in found.collect()) == want
+
+
 def test_overlaps_stay_native(spark, leaks):
     docs, items, _ = leaks
     df = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
