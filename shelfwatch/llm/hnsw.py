@@ -7,8 +7,10 @@
 3. Every vector queries every shard of its label: one task per pair of shards builds both
    graphs and sends each side's vectors through the other's.
 4. A query whose worst beam entry still reaches the threshold has its beam doubled until
-   it doesn't.  After that an audit compares a fixed sample of queries of every task with
-   exact products; below ``RECALL`` all beams of the task double and the search goes on.
+   it doesn't.  Every task has an audit: exact products of blocks of its queries, until
+   ``AUDIT_LINKED`` queries with links to others are seen.  Below ``RECALL`` on those all
+   beams of the task double and the search goes on.  Where links are so rare that the
+   audit gets through all queries, its links are the answer and no graph is built.
 5. Cosines are verified in double precision; links of a task are kept as one bit matrix, so
    that a dense group costs bits, not rows: a task returns link counts and a spanning forest.
 6. Forests are united into components.
@@ -34,7 +36,8 @@ SHARD_ROWS = 8_192
 NEIGHBOURS = 12
 BUILD_BEAM = 40
 SEARCH_BEAM = 32
-AUDIT_QUERIES = 64
+AUDIT_LINKED = 128
+AUDIT_BLOCK = 256
 RECALL = 0.98
 BLOCK = 1_024
 
@@ -182,13 +185,48 @@ class Graph:
         return self._search(queries, at, 0, beam)
 
 
+def _sure(exact_q: np.ndarray, exact_x: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the pairs of places reach the threshold in double precision."""
+    return np.concatenate([np.zeros(0, bool)] + [
+        np.einsum("ij,ij->i", exact_q[a[i:i + 65536]], exact_x[b[i:i + 65536]]) >= threshold for i in range(0, len(a), 65536)])
+
+
+def audit(exact_x: np.ndarray, exact_q: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Queries in the order they were compared with everything, and the bit matrix of their links.
+
+    A query that is itself among the vectors (``exact_q is exact_x``) doesn't link with itself.
+    Ends when ``AUDIT_LINKED`` queries have links, or after all queries.
+    """
+    order = np.random.default_rng(13).permutation(len(exact_q))
+    truth = np.zeros((len(exact_q), len(exact_x)), bool)
+    x, linked, done = exact_x.astype(np.float32), 0, 0
+    while done < len(order) and linked < AUDIT_LINKED:
+        some = order[done:done + AUDIT_BLOCK]
+        r, c = np.nonzero(exact_q[some].astype(np.float32) @ x.T >= threshold - 1e-4)
+        a = some[r]
+        sure = _sure(exact_q, exact_x, a, c, threshold)
+        if exact_q is exact_x:
+            sure &= a != c
+        truth[a[sure], c[sure]] = True
+        linked += len(np.unique(a[sure]))
+        done += len(some)
+    return order[:done], truth
+
+
+def _recall(found: np.ndarray, truth: np.ndarray) -> float:
+    """Recall over all links, or averaged over the queries that have any, whichever is lower."""
+    wanted = truth.sum(axis=1)
+    got = (found & truth).sum(axis=1)[wanted > 0]
+    wanted = wanted[wanted > 0]
+    return min(got.sum() / wanted.sum(), (got / wanted).mean()) if len(wanted) else 1.0
+
+
 def found_links(graph: Graph, queries: np.ndarray, exact_x: np.ndarray, exact_q: np.ndarray, threshold: float,
-                beam: int = SEARCH_BEAM, recall: float = RECALL) -> np.ndarray:
+                beam: int = SEARCH_BEAM, recall: float = RECALL, audited: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Bit matrix (queries x vectors) of verified links; beams widen until no query is cut off and the audit passes."""
     n = len(exact_x)
     out = np.zeros((len(queries), n), bool)
-    audit = np.linspace(0, len(queries) - 1, min(AUDIT_QUERIES, len(queries))).astype(int)
-    truth = exact_q[audit] @ exact_x.T >= threshold
+    seen, truth = audited or audit(exact_x, exact_q, threshold)
     todo = np.arange(len(queries))
     while True:
         while len(todo):
@@ -200,24 +238,32 @@ def found_links(graph: Graph, queries: np.ndarray, exact_x: np.ndarray, exact_q:
                 hit = (ids >= 0) & (sims >= threshold - 1e-4)
                 r, c = np.nonzero(hit)
                 a, b = some[r], ids[r, c]
-                sure = np.concatenate([np.einsum("ij,ij->i", exact_q[a[i:i + 65536]], exact_x[b[i:i + 65536]]) >= threshold
-                                       for i in range(0, len(a), 65536)]) if len(a) else np.zeros(0, bool)
+                sure = _sure(exact_q, exact_x, a, b, threshold)
                 out[a[sure], b[sure]] = True
                 if beam < n:
                     wide.append(some[hit[:, -1]])
             todo = np.concatenate(wide) if wide else np.zeros(0, int)
             if len(todo):
                 beam = min(2 * beam, n)
-        if beam >= n or not truth.any() or (out[audit] & truth).sum() >= recall * truth.sum():
+        if beam >= n or _recall(out[seen], truth[seen]) >= recall:
+            out[seen] |= truth[seen]
             return out
         beam, todo = min(2 * beam, n), np.arange(len(queries))
 
 
+def links_between(exact_x: np.ndarray, exact_q: np.ndarray, threshold: float) -> np.ndarray:
+    """Bit matrix (queries x vectors) of links: by a graph over the vectors unless the audit has them all."""
+    seen, truth = audit(exact_x, exact_q, threshold)
+    if len(seen) == len(exact_q):
+        return truth
+    return found_links(Graph(exact_x), exact_q.astype(np.float32), exact_x, exact_q, threshold, audited=(seen, truth))
+
+
 def shard_pair_links(left: pd.DataFrame, right: pd.DataFrame | None, threshold: float) -> pd.DataFrame:
     """Link counts and spanning forest of one pair of shards (``right`` None: within one)."""
     exact = [np.array(side["unit"].tolist(), np.float64) for side in (left, right) if side is not None]
     if right is None:
-        links = found_links(Graph(exact[0]), exact[0].astype(np.float32), exact[0], exact[0], threshold)
+        links = links_between(exact[0], exact[0], threshold)
         links |= links.T
         np.fill_diagonal(links, False)
         ids, weights = left["vec_id"].to_numpy(np.int64), left["copies"].to_numpy(np.int64)
@@ -226,8 +272,8 @@ def shard_pair_links(left: pd.DataFrame, right: pd.DataFrame | None, threshold:
         a, b = _forest(len(ids), a, b)
         return _answer(ids, counts, ids[a], ids[b])
     x, y = exact
-    links = found_links(Graph(y), x.astype(np.float32), y, x, threshold)
-    links |= found_links(Graph(x), y.astype(np.float32), x, y, threshold).T
+    links = links_between(y, x, threshold)
+    links |= links_between(x, y, threshold).T
     ids = [side["vec_id"].to_numpy(np.int64) for side in (left, right)]
     weights = [side["copies"].to_numpy(np.int64) for side in (left, right)]
     counts = np.concatenate([links @ weights[1], links.T @ weights[0]])

@@ -237,3 +237,35 @@ def test_graph_recall():
     found = hnsw.found_links(graph, x.astype(np.float32), x, x, 0.75)
     truth = x @ x.T >= 0.75
     assert not (found & ~truth).any() and (found & truth).sum() >= 0.9 * truth.sum()
+
+
+def sparse_pairs(n, dims, pairs, seed=9):
+    """Unit vectors at random, of which the last ``pairs`` are near copies of the first."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = rng.standard_normal((pairs, dims))
+    x[n - pairs:] = x[:pairs] + 0.3 * off / np.linalg.norm(off, axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("within", [False, True])
+def test_audit_needs_evidence(within):
+    x = sparse_pairs(3_000, 48, 60)
+    y, q = (x, x) if within else (x[1_500:], x[:1_500])
+    truth = q @ y.T >= 0.93
+    assert truth.sum() - within * len(q) == (120 if within else 60)
+    if within:
+        np.fill_diagonal(truth, False)
+    found = hnsw.found_links(hnsw.Graph(y, m=2, beam=2), q.astype(np.float32), y, q, 0.93, beam=1)  # a graph that loses links
+    assert (found & truth).sum() >= 0.98 * truth.sum()
+
+
+def test_recall_of_sparse_pairs_across_shards(spark):
+    x = sparse_pairs(4_000, 32, 200)
+    truth = x @ x.T >= 0.93
+    np.fill_diagonal(truth, False)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    links = {r.vec_id: r.n_links for r in hnsw.near_duplicates(df, shard_rows=700).collect()}
+    assert truth.sum() >= 400 and sum(links.values()) >= 0.98 * truth.sum()
+    assert all(links[i] <= w for i, w in enumerate(truth.sum(axis=1)))
