@@ -169,6 +169,13 @@ def test_substitutions_are_found(spark):
     assert len(want) > 150 and sorted(tuple(r)[:4] for r in found.collect()) == want
 
 
+def test_rows_of_an_id_are_judged_by_their_texts(spark):
+    item = " ".join(f"i{k}" for k in range(20))
+    docs = [(None, "a " + item), (None, "clean words"), (None, None), (7, item), (7, "other clean words"), (8, item)]
+    clean = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(map(tuple, clean.collect()), key=repr) == sorted([docs[1], docs[2], docs[4]], key=repr)
+
+
 def test_overlaps_stay_native(spark, leaks):
     docs, items, _ = leaks
     df = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
