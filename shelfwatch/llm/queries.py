@@ -11,6 +11,7 @@ from shelfwatch.llm import sql
 from shelfwatch.llm.byte_bpe import round_trip
 from shelfwatch.llm.common import table
 from shelfwatch.llm.decontaminate import overlaps
+from shelfwatch.llm.filter_audit import filter_audit
 from shelfwatch.llm.hnsw import near_duplicates as vector_duplicates
 from shelfwatch.llm.jaccard import near_duplicates
 from shelfwatch.llm.quality import held_out, score_documents, train
@@ -99,3 +100,8 @@ def op3_embedding_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return removal_report(table(spark, folder, "documents"))
+
+
+@register
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))

@@ -126,10 +126,49 @@ SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
 FROM p JOIN firsts USING (payload)
 """
 
+# Every document is taken through every order, step by step.
+FILTER_AUDIT = f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {_WORDS.format('text')} AS w FROM documents),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+firsts AS (SELECT text, min(doc_id) AS first_id FROM d GROUP BY text),
+f AS (
+  SELECT d.doc_id, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: CASE x
+      WHEN 'A' THEN len(w) < 200
+      WHEN 'B' THEN 100 * len(list_distinct(w)) < 50 * len(w)
+      WHEN 'C' THEN 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 3 * length(text)
+      WHEN 'D' THEN regexp_matches(text, '[#$%&*|]')
+      ELSE coalesce(d.doc_id > first_id, false) END) AS fails
+  FROM d JOIN firsts USING (text) LEFT JOIN l ON l.doc_id = d.doc_id),
+x (x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.x, b.x, c.x, d.x, e.x] AS letters
+  FROM x a JOIN x b ON b.x <> a.x JOIN x c ON c.x NOT IN (a.x, b.x) JOIN x d ON d.x NOT IN (a.x, b.x, c.x)
+  JOIN x e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+alike AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+taken AS (
+  SELECT part, filter_order, step, letters[step] AS letter, n, good, toxic,
+    list_contains(fails, letters[step]) AS failing, fails = [letters[step]] AS alone,
+    list_has_any(fails, letters[1:step - 1]) AS gone
+  FROM alike CROSS JOIN (SELECT *, unnest(range(1, 6)) AS step FROM o)),
+steps AS (
+  SELECT part, filter_order, step, letter,
+    coalesce(sum(n) FILTER (NOT gone AND NOT failing), 0) AS kept, coalesce(sum(n) FILTER (NOT gone AND failing), 0) AS removed,
+    coalesce(sum(n) FILTER (gone AND failing), 0) AS redundant, coalesce(sum(n) FILTER (alone), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (NOT gone AND failing), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (NOT gone AND failing), 0) AS toxic_lost
+  FROM taken GROUP BY part, filter_order, step, letter)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM steps
+"""
+
 QUERIES = {
     "op1_ngram_jaccard": NGRAM_JACCARD,
     "op2_url_filters": URL_FILTERS,
     "op7_substring_dedup": SUBSTRING_DEDUP,
     "op9_decontamination": DECONTAMINATION,
     "op10_warc": WARC,
+    "op13_filter_audit": FILTER_AUDIT,
 }
