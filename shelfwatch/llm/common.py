@@ -1,6 +1,8 @@
 """Table access, batch settings and shared-folder files of the corpus operators."""
 from __future__ import annotations
 
+import ctypes
+import gc
 import posixpath
 from collections.abc import Callable
 from urllib.parse import urlsplit
@@ -56,14 +58,43 @@ def child(path: str, name: str) -> str:
 
 
 class Memo(dict):
-    """Worker cache with a bounded number of entries; a miss is computed by ``make``."""
+    """Worker cache bounded in entries and in bytes; a miss is computed by ``make``.
 
-    def __init__(self, make: Callable, limit: int = 300_000):
+    Keys longer than ``longest`` are computed each time anew, so ``limit`` entries never
+    hold more than ``limit`` short keys and what comes of them.
+    """
+
+    def __init__(self, make: Callable, limit: int = 300_000, longest: int = 100):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.longest = make, limit, longest
 
     def __missing__(self, key):
+        value = self.make(key)
+        if isinstance(key, (str, bytes)) and len(key) > self.longest:
+            return value
         if len(self) >= self.limit:
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
+
+
+_state: dict[tuple[str, object], object] = {}
+
+
+def worker_state(owner: str, key, make: Callable):
+    """What a Python worker keeps between tasks (encoders, caches) for the operator ``owner``.
+
+    Workers are reused by every stage of an application.  What another operator left behind is
+    dropped, memory included, as soon as this one needs a place.
+    """
+    if (owner, key) not in _state:
+        if any(o != owner for o, _ in _state):
+            for other in [k for k in _state if k[0] != owner]:
+                del _state[other]
+            gc.collect()
+            try:  # hand freed pages back to the system where the C library can
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):
+                pass
+        _state[owner, key] = make()
+    return _state[owner, key]

@@ -14,6 +14,7 @@ from shelfwatch.llm.decontaminate import overlaps
 from shelfwatch.llm.filter_audit import filter_audit
 from shelfwatch.llm.hnsw import near_duplicates as vector_duplicates
 from shelfwatch.llm.jaccard import near_duplicates
+from shelfwatch.llm.packing import pack_documents
 from shelfwatch.llm.quality import held_out, score_documents, train
 from shelfwatch.llm.substring import removal_report
 from shelfwatch.llm.token_counts import token_counts
@@ -105,3 +106,8 @@ def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@register
+def op12_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1)
