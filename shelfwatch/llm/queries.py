@@ -16,6 +16,7 @@ from shelfwatch.llm.hnsw import near_duplicates as vector_duplicates
 from shelfwatch.llm.jaccard import near_duplicates
 from shelfwatch.llm.packing import pack_documents
 from shelfwatch.llm.quality import held_out, score_documents, train
+from shelfwatch.llm.spelling import spelling_variants
 from shelfwatch.llm.substring import removal_report
 from shelfwatch.llm.token_counts import token_counts
 from shelfwatch.llm.token_files import read_token_files, write_token_files
@@ -111,3 +112,8 @@ def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def op12_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1)
+
+
+@register
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants(table(spark, folder, "documents"))

