@@ -4,21 +4,21 @@ For every byte prefix of a piece there is exactly one token that can come last i
 prefix's encoding.  ``last_tokens`` stores it: the token ending at position ``i`` whose
 neighbour, the stored token of the position where it starts, stays apart from it under
 the merge ranks.  Walking back from the end gives the encoding.  The table of a prefix
-never changes when bytes follow, so appends continue it, and an edit recomputes only
-from its position until the old and the new table agree again.
+never changes when bytes follow, so appends continue it, and an edit splits and recomputes
+only from shortly before its position until the old and the new table agree again.
 
 The result equals rank-by-rank merging of each match of the split pattern on its own.
 Null texts count as empty: no ids.  Repeated rows stay repeated, an empty table gives an
-empty result, other columns are ignored.
+empty result, other columns, whatever their names, are ignored.  Very long texts are encoded
+whole; digests are taken a block of ids at a time.
 """
 from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -27,11 +27,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.llm.common import Memo
+from shelfwatch.llm.common import Chunks, Memo, worker_state
 
-# Longer words are encoded each time anew, so that a cache holds short keys only.
-CACHED_CHARS = 200
-SAFE_CUT = regex.compile(r"(?<=\P{White_Space}) (?=\P{White_Space})")
+BLOCK = 1 << 17  # ids decoded at a time
 
 
 @dataclass
@@ -39,6 +37,7 @@ class Encoded:
     """Ids of a text with what an append or an edit needs to go on from it."""
 
     text: str
+    starts: list[int]
     pieces: list[bytes]
     tables: list[list[int]]
 
@@ -46,50 +45,120 @@ class Encoded:
         return [t for p, table in zip(self.pieces, self.tables) for t in bpe.walk_back(p, table)]
 
 
+def _merge(data: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """Parts after merging by rank, stopped at two parts that would merge into ``data``."""
+    parts = [data[i:i + 1] for i in range(len(data))]
+    while len(parts) > 2:
+        best, at = None, -1
+        for i in range(len(parts) - 1):
+            rank = ranks.get(parts[i] + parts[i + 1])
+            if rank is not None and (best is None or rank < best):
+                best, at = rank, i
+        if best is None:
+            break
+        parts[at:at + 2] = [parts[at] + parts[at + 1]]
+    return parts
+
+
+def last_merges(ranks: dict[bytes, int]) -> np.ndarray:
+    """For each id the two tokens its last merge joins; -1 for single bytes, -2 for tokens merging can't build."""
+    out = np.full((max(ranks.values(), default=-1) + 1, 2), -2, np.int32)
+    for data, i in ranks.items():
+        if len(data) == 1:
+            out[i] = -1
+        else:
+            parts = _merge(data, ranks)
+            if len(parts) == 2 and parts[0] in ranks and parts[1] in ranks:
+                out[i] = ranks[parts[0]], ranks[parts[1]]
+    return out
+
+
+class Spelling:
+    """Bytes of each id, one after the other in one table; gives those of many ids at once."""
+
+    def __init__(self, of_id: dict[int, bytes]):
+        size = max(of_id, default=-1) + 1
+        self.length = np.zeros(size, np.int64)
+        for i, data in of_id.items():
+            self.length[i] = len(data)
+        self.start = np.cumsum(self.length) - self.length
+        self.table = np.frombuffer(b"".join(of_id.get(i, b"") for i in range(size)), np.uint8)
+
+    def blocks(self, ids: np.ndarray) -> Iterator[np.ndarray]:
+        for at in range(0, len(ids), BLOCK):
+            some = ids[at:at + BLOCK]
+            length = self.length[some]
+            ends = np.cumsum(length)
+            yield self.table[np.arange(ends[-1]) + np.repeat(self.start[some] - (ends - length), length)]
+
+
 class ByteBpe:
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, merges: np.ndarray | None = None):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
+        merges = last_merges(ranks) if merges is None else merges
+        self.head, self.tail = merges[:, 0].tolist(), merges[:, 1].tolist()
         # Tokens that merging can build; others only stand for a whole piece.
-        self.built = {b: i for b, i in ranks.items() if self._merge(b) == 1}
+        self.built = {b: i for b, i in ranks.items() if self.head[i] != -2}
         self.longest = max(map(len, self.built), default=1)
         self.endings = ahocorasick.Automaton()  # finds every token that ends at each byte, longest first
         for b, i in self.built.items():
             self.endings.add_word(b.decode("latin-1"), (i, len(b)))
         self.endings.make_automaton()
+        self.width = np.dtype("<u2" if len(self.head) <= 1 << 16 else "<u4")
         self._apart = Memo(self._stay_apart, 400_000)
-        self._pieces = Memo(self._piece, 150_000)
-        self._words = Memo(self._after_space, 250_000)
-
-    def _merge(self, data: bytes, wall: int = -1) -> int:
-        """Parts left after merging by rank; 0 as soon as a merge would cross ``wall``."""
-        parts = [data[i:i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                rank = self.ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
-                break
-            if wall >= 0 and sum(map(len, parts[:at + 1])) == wall:
-                return 0
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return len(parts)
+        self._pieces = Memo(self._piece, 200_000)
+        self._chunks = Chunks(self._direct, 500_000)
+        self.spelling = Spelling(self.bytes_of)
+        self.decimals = Spelling({i: b"%d," % i for i in self.bytes_of})
 
     def _stay_apart(self, pair: tuple[int, int]) -> bool:
-        left, right = self.bytes_of[pair[0]], self.bytes_of[pair[1]]
-        return self._merge(left + right, len(left)) > 0
-
-    def last_tokens(self, piece: bytes, table: list[int] | None = None) -> list[int]:
-        """The last token of every prefix; ``table`` holds those already known."""
+        """Whether no merge crosses the border between two neighbouring tokens.
+
+        Goes back in time: of the two tokens at the border the later one is taken apart, and
+        what then touches the border must not have merged before that.  Of equal ranks the
+        left one merges first.
+        """
+        (left, right), before = pair, len(self.head)
+        while True:
+            rank = self.ranks.get(self.bytes_of[left] + self.bytes_of[right])
+            if rank is not None and rank < before:
+                return False
+            left_whole, right_whole = self.head[left] < 0, self.head[right] < 0
+            if left_whole and right_whole:
+                return True
+            if right_whole or not left_whole and left > right:
+                before, left = left, self.tail[left]
+            else:
+                before, right = right + 1, self.head[right]
+
+    def last_tokens(self, piece: bytes, table: list[int] | None = None, old: bytes = b"", old_table: list[int] | None = None) -> list[int]:
+        """The last token of every prefix; ``table`` holds those already known.
+
+        ``old`` is a piece with the same end: as soon as the table has agreed with its table
+        for as long as any token reaches back, the rest is taken from there.
+        """
         table = [-1] if table is None else table
         known, apart = len(table), self._apart
-        table.extend([-1] * (len(piece) + 1 - known))
         first = max(0, known - self.longest)
+        shift = len(old) - len(piece)
+        common = 0
+        if old_table is not None:
+            while common < min(len(old), len(piece)) and old[-1 - common] == piece[-1 - common]:
+                common += 1
+        settled = len(piece) - common + self.longest if old_table is not None else len(piece) + 1
+        table.extend([-1] * (len(piece) + 1 - known))
+        same, at = 0, known
         for end, (here, size) in self.endings.iter(piece[first:].decode("latin-1")):
             end += first + 1
+            if end > at:
+                if at >= settled:
+                    same = same + 1 if table[at] == old_table[at + shift] else 0
+                    if same >= self.longest:
+                        table[at + 1:] = old_table[at + 1 + shift:]
+                        return table
+                at = end
             if end >= known and table[end] < 0:
                 left = end - size
                 if left == 0 or apart[table[left], here]:
@@ -106,66 +175,65 @@ class ByteBpe:
             at -= len(self.bytes_of[table[at]])
         return out[::-1]
 
-    def _piece(self, piece: bytes) -> tuple[int, ...]:
-        whole = self.ranks.get(piece)
-        return (whole,) if whole is not None else tuple(self.walk_back(piece, self.last_tokens(piece)))
-
-    def split(self, text: str) -> list[bytes]:
-        return [m.encode() for m in self.pattern.findall(text)]
-
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
-        out = []
-        for piece in self.split(chunk):
-            out.extend(self._pieces[piece] if len(piece) <= CACHED_CHARS else self._piece(piece))
-        return tuple(out)
-
-    def _after_space(self, word: str) -> tuple[int, ...] | None:
-        """Ids of a space and ``word``; None where the space touches more white space."""
-        if not word or word[0].isspace() or word[-1].isspace():
-            return None
-        return self._chunk(" " + word)
-
-    def encode(self, text: str) -> list[int]:
-        """Ids of a whole text, chunk by chunk: no match crosses a lone space between two words."""
-        if not text:
-            return []
-        words = text.split(" ")
-        if len(words) > 1 and max(map(len, words)) <= CACHED_CHARS and words[0] and not words[0][-1].isspace():
-            found = list(map(self._words.__getitem__, words[1:]))
-            if None not in found and not words[-1][-1].isspace():
-                return list(chain(self._chunk(words[0]), chain.from_iterable(found)))
-        words = SAFE_CUT.split(text)
-        return list(chain.from_iterable(map(self._chunk, chain(words[:1], map(" ".__add__, words[1:])))))
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        data = piece.encode()
+        whole = self.ranks.get(data)
+        return (whole,) if whole is not None else tuple(self.walk_back(data, self.last_tokens(data)))
+
+    def _direct(self, text: str) -> bytes:
+        out: list[int] = []
+        for piece in self.pattern.findall(text):
+            out += self._pieces[piece]
+        return np.array(out, self.width).tobytes()
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a whole text."""
+        return np.frombuffer(self._chunks.encode(text), self.width)
 
     def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        return b"".join(part.tobytes() for part in self.spelling.blocks(np.asarray(ids, np.int64)))
+
+    def _split(self, text: str, at: int = 0) -> Iterator[tuple[int, bytes]]:
+        return ((m.start(), m.group().encode()) for m in self.pattern.finditer(text, at))
 
     def start(self, text: str) -> Encoded:
-        pieces = self.split(text)
-        return Encoded(text, pieces, [self.last_tokens(p) for p in pieces])
+        found = list(self._split(text))
+        return Encoded(text, [s for s, _ in found], [p for _, p in found], [self.last_tokens(p) for _, p in found])
 
     def append(self, old: Encoded, more: str) -> Encoded:
         """Encoding of ``old.text + more``."""
         return self.edit(old, len(old.text), len(old.text), more)
 
     def edit(self, old: Encoded, start: int, end: int, put: str) -> Encoded:
-        """Encoding after the characters start..end are replaced: only pieces near the edit are done anew."""
+        """Encoding after the characters start..end are replaced: only pieces near the edit are done anew.
+
+        Splitting starts three pieces before the edit, as far as a match can look ahead, and
+        stops at the first old piece behind it that begins where a new one does.
+        """
         text = old.text[:start] + put + old.text[end:]
-        pieces = self.split(text)
-        head = 0
-        while head < min(len(pieces), len(old.pieces)) and pieces[head] == old.pieces[head]:
-            head += 1
-        tail = 0
-        while tail < min(len(pieces), len(old.pieces)) - head and pieces[-1 - tail] == old.pieces[-1 - tail]:
-            tail += 1
-        middle = []
-        for k, piece in enumerate(pieces[head:len(pieces) - tail]):
-            known = old.pieces[head] if k == 0 and head < len(old.pieces) else b""
+        moved = len(put) - (end - start)
+        head = max(0, bisect_right(old.starts, start) - 4)
+        new, tail = [], len(old.starts)
+        for at, piece in self._split(text, old.starts[head] if old.starts else 0):
+            if at >= start + len(put):
+                k = bisect_left(old.starts, at - moved)
+                if k < len(old.starts) and old.starts[k] == at - moved:
+                    tail = k
+                    break
+            new.append((at, piece))
+        near, tables = old.pieces[head:tail], []
+        for k, (_, piece) in enumerate(new):
+            before = near[k] if k < len(near) else b""
             same = 0
-            while same < min(len(known), len(piece)) and known[same] == piece[same]:
+            while same < min(len(before), len(piece)) and before[same] == piece[same]:
                 same += 1
-            middle.append(self.last_tokens(piece, old.tables[head][:same + 1] if same else None))
-        return Encoded(text, pieces, old.tables[:head] + middle + (old.tables[-tail:] if tail else []))
+            behind = len(near) - (len(new) - k)  # the old piece as far from the end of the edit
+            there = head + behind
+            tables.append(self.last_tokens(
+                piece, old.tables[head + k][:same + 1] if same else None,
+                *((old.pieces[there], old.tables[there]) if 0 <= behind else ())))
+        return Encoded(text, old.starts[:head] + [at for at, _ in new] + [s + moved for s in old.starts[tail:]],
+                       old.pieces[:head] + [p for _, p in new] + old.pieces[tail:], old.tables[:head] + tables + old.tables[tail:])
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -173,25 +241,25 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str, pattern: str) -> ByteBpe:
+def encoder(path: str, pattern: str, merges: np.ndarray | None = None) -> ByteBpe:
     """One encoder, with its caches, per Python worker."""
-    return ByteBpe(read_ranks(path), pattern)
+    return worker_state("byte_bpe", (path, pattern), lambda: ByteBpe(read_ranks(path), pattern, merges))
 
 
-@lru_cache(maxsize=2)
-def _decimal(path: str, pattern: str) -> dict[int, str]:
-    return {i: str(i) for i in encoder(path, pattern).bytes_of}
+def _shared_merges(docs: DataFrame, path: str):
+    """The last merges of all tokens, found once and broadcast: two numbers per token."""
+    return docs.sparkSession.sparkContext.broadcast(last_merges(read_ranks(path)))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids (array of int) of every whole text."""
+    merges = _shared_merges(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path, pattern)
+        bpe = encoder(path, pattern, merges.value)
         for batch in batches:
             for i, text in enumerate(batch.column(1).to_pylist()):
-                ids = pa.array([bpe.encode(text or "")], pa.list_(pa.int32()))
+                ids = pa.array([bpe.encode(text or "").astype(np.int32)], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), ids], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
@@ -199,9 +267,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, data (bytes) of every row of ids."""
+    merges = _shared_merges(encoded, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path, pattern)
+        bpe = encoder(path, pattern, merges.value)
         for batch in batches:
             data = [bpe.decode(ids or ()) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["doc_id", "data"])
@@ -217,16 +286,23 @@ def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
                        + [("ids", pa.list_(pa.int32()))] * with_ids)
 
+    merges = _shared_merges(docs, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, decimal = encoder(path, pattern), _decimal(path, pattern)
+        bpe = encoder(path, pattern, merges.value)
         for batch in batches:
             rows, lists = [], []
             for text in batch.column(1).to_pylist():
                 ids = bpe.encode(text or "")
-                rows.append((len(ids), hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest(),
-                             hashlib.sha256(bpe.decode(ids)).hexdigest()))
+                numbers, decoded = hashlib.sha256(), hashlib.sha256()
+                for at in range(0, len(ids), BLOCK):
+                    for part in bpe.decimals.blocks(ids[at:at + BLOCK]):
+                        numbers.update(part if at + BLOCK < len(ids) else part[:-1])  # no comma behind the last id
+                for part in bpe.spelling.blocks(ids):
+                    decoded.update(part)
+                rows.append((len(ids), numbers.hexdigest(), decoded.hexdigest()))
                 if with_ids:
-                    lists.append(np.array(ids, np.int32))
+                    lists.append(ids.astype(np.int32))
             if rows:
                 columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), list(schema)[1:])]
                 yield pa.RecordBatch.from_arrays(

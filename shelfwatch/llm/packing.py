@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from shelfwatch.llm.common import Memo, worker_state
+from shelfwatch.llm.common import Chunks, worker_state
 from shelfwatch.session import cut_lineage
 
 CAPACITY = 2_048
@@ -43,19 +43,13 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _PROBES = ("It's 12 (words),  and\n\nmore\t é日本 😀  ", "  x\n\n\ny 's 'S", "\x00\x1c a b  ")
 
 
-class _Unsafe(Exception):
-    """A text whose white space reaches over more than one cached chunk."""
-
-
 class ByteLevelEncoder:
     """Ids of whole texts, word by word where a byte-level tokenizer lets itself be cut.
 
-    No match of the split pattern crosses a lone space or line break between two words, so
-    a text is the sum of its chunks: " word", or "\\nword" behind a line break.  A chunk's ids
-    are kept as bytes, so a text is one join.  Chunks are encoded by rank, which gives
-    what the tokenizer gives as long as its merges are listed in the order of their ids;
-    that, and the pattern, is tried out when the encoder is made.  Other tokenizers, texts
-    with special strings, and very long words go through the tokenizer itself.
+    Chunks are encoded by rank, which gives what the tokenizer gives as long as its merges
+    are listed in the order of their ids; that, and the pattern, is tried out when the encoder
+    is made.  Other tokenizers, texts with special strings, and very long words go through
+    the tokenizer itself.
     """
 
     def __init__(self, path: str):
@@ -63,7 +57,7 @@ class ByteLevelEncoder:
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.by_rank = self._ranked()
-        self.chunks = Memo(self._chunk, CACHED_WORDS)
+        self.chunks = Chunks(self._direct, CACHED_WORDS) if self.by_rank else None
 
     def _ranked(self) -> tiktoken.Encoding | None:
         # Byte-level vocabularies spell visible bytes as themselves, the others from 256 on in their order.
@@ -89,27 +83,11 @@ class ByteLevelEncoder:
             return self._whole(text).tobytes()
         return np.array(self.by_rank.encode_ordinary(text), self.width).tobytes()
 
-    def _chunk(self, word: str) -> bytes:
-        behind_break = word[:1] == "\0"
-        body = word[1:] if behind_break else word
-        if body[:1].isspace() or body[-1:].isspace() or not word:
-            raise _Unsafe
-        return self._direct(("\n" if behind_break else " ") + body)
-
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, ``width`` bytes each."""
-        if self.by_rank is None or any(s in text for s in self.special):
+        if self.chunks is None or any(t in text for t in self.special):
             return self._whole(text).tobytes()
-        if "\0" not in text:
-            marked = text.replace("\n", " \0")
-            words = marked.split(" ")
-            first = words[0]
-            if " \0 \0 " not in marked and not marked.endswith(" \0 \0") and not first[:1].isspace() and not first[-1:].isspace():
-                try:
-                    return self._direct(first) + b"".join(map(self.chunks.__getitem__, words[1:]))
-                except _Unsafe:
-                    pass
-        return self._direct(text)
+        return self.chunks.encode(text)
 
 
 def encoder(path: str) -> ByteLevelEncoder:

@@ -61,7 +61,29 @@ def test_prefix_tables_equal_the_library(tik, parts, more, data):
     old = bpe.start(text)
     assert old.ids(bpe) == tik.encode_ordinary(text)
     assert bpe.append(old, put).ids(bpe) == tik.encode_ordinary(text + put)
-    assert bpe.edit(old, start, end, put).ids(bpe) == tik.encode_ordinary(text[:start] + put + text[end:])
+    edited = bpe.edit(old, start, end, put)
+    assert edited.ids(bpe) == tik.encode_ordinary(text[:start] + put + text[end:])
+    assert edited == bpe.start(edited.text)
+
+
+def test_an_edit_stops_where_the_tables_agree(tik):
+    bpe = byte_bpe.encoder(BPE, public_tokenizers.PATTERN)
+    word = "intersubjectivity" * 2_000
+    old = bpe.start("some words before " + word + " and some behind")
+    looked, seen = bpe._apart, []
+    bpe._apart = type("Counted", (), {"__getitem__": lambda self, pair: seen.append(pair) or looked[pair]})()
+    try:
+        edited = bpe.edit(old, 1_000, 1_003, "xyz")
+    finally:
+        bpe._apart = looked
+    assert edited.ids(bpe) == tik.encode_ordinary(edited.text) and len(seen) < 2_000
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abeinorst", min_size=2, max_size=40))
+def test_borders_stand_where_merging_leaves_them(tik, word):
+    bpe = byte_bpe.encoder(BPE, public_tokenizers.PATTERN)
+    assert bpe.encode(word).tolist() == tik.encode_ordinary(word)
 
 
 def test_append_keeps_the_known_prefix():
