@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.llm.common import SMALL, Memo, small
+from shelfwatch.llm.common import SMALL, small, word_numbers
 from shelfwatch.operators.components import components
 from shelfwatch.session import cut_lineage
 
@@ -51,7 +51,6 @@ MAP_WORDS = 16
 _UPPER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
-_words = Memo(xxhash.xxh64_intdigest, 200_000)
 
 
 def spare(n, percent: int = PERCENT):
@@ -73,7 +72,7 @@ def shingles(text: str | None, n: int = N) -> np.ndarray:
     words = (text or "").encode().translate(_UPPER).split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(word_numbers().__getitem__, words), np.uint64, len(words))
     size = min(n, len(h))
     out = np.full(len(h) - size + 1, size, np.uint64)
     for k in range(size):

@@ -11,7 +11,9 @@ Only the text is ever looked at.  Null and empty texts have the features of no w
 are scored like any other.  Rows without a label, with a null label or id don't train;
 repeated label rows count as often as they are listed, within the bounded sample.  If
 nothing is labelled every score is 0.5.  Repeated rows stay repeated; null ids have a
-null ``held_out``.
+null ``held_out``.  Similarities are rounded to five digits and ties settled by the order of
+the labelled rows (id, label, text hash).  Words and texts of any length are read whole.
+Other columns stay, but ``score`` and ``predicted`` give way to the new ones.
 """
 from __future__ import annotations
 
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.llm.common import Memo, hash_sample
+from shelfwatch.llm.common import Memo, hash_sample, worker_state
 
 SAMPLE = 4_096
 RANK = 48
@@ -35,20 +37,18 @@ THRESHOLD = 0.7
 WORD_DIMS, SHAPE_DIMS = 1_024, 512
 SHARPNESS = 4
 
-_RUNS = (
-    (re.compile(r"[^\W\d_]*[a-zß-öø-ÿ][^\W\d_]*"), "w"),  # words with a lower-case letter
-    (re.compile(r"[^\W\d_]+"), "W"),
-    (re.compile(r"\d+"), "0"),
-    (re.compile(r"(.)\1+", re.S), r"\1+"),
-)
+_RUNS = re.compile(r"[^\W\d_]+|\d+|(.)\1+", re.S)  # runs of letters, digits and repeated marks
+
+
+def _mark(run: re.Match) -> str:
+    if run[1]:
+        return run[1] + "+"
+    return "0" if run[0][0].isdecimal() else "w" if run[0] != run[0].upper() else "W"
 
 
 def shape(word: str) -> str:
-    """Word shape: runs of letters, digits and repeated marks, each as one character or two."""
-    word = word[:40]
-    for pattern, mark in _RUNS:
-        word = pattern.sub(mark, word)
-    return word
+    """Shape of a whole word: each run of letters is w (some in lower case) or W, of digits 0, of a repeated mark the mark and +."""
+    return _RUNS.sub(_mark, word)
 
 
 def _places(word: str) -> tuple[int, int]:
@@ -56,9 +56,6 @@ def _places(word: str) -> tuple[int, int]:
     return zlib.crc32(lower) % WORD_DIMS, WORD_DIMS + zlib.crc32(shape(word).encode()) % SHAPE_DIMS
 
 
-_cache = Memo(_places, 200_000)
-
-
 def measures(text: str, words: list[str]) -> list[float]:
     """Measures of the text as a whole, each between 0 and 1."""
     n, lines = max(len(text), 1), [x for x in text.split("\n") if x.strip()]
@@ -76,11 +73,12 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Counts by hashed word and shape, and measures, of a block of texts."""
     counts = np.zeros((len(texts), WORD_DIMS + SHAPE_DIMS), np.float32)
     whole = np.zeros((len(texts), 8), np.float32)
+    places = worker_state("quality", None, lambda: Memo(_places, 200_000))
     for k, text in enumerate(texts):
         words = text.split()
         whole[k] = measures(text, words)
         if words:
-            at = np.array(list(map(_cache.__getitem__, words)), np.int64).ravel()
+            at = np.array(list(map(places.__getitem__, words)), np.int64).ravel()
             counts[k] = np.bincount(at, minlength=counts.shape[1])
     return counts, whole
 
@@ -109,10 +107,13 @@ class Model:
         """Share of label 1 among the nearest labelled vectors, weighted by similarity."""
         if not len(self.labels):
             return np.full(len(texts), 0.5)
-        near = self.project(*features(texts)) @ self.vectors.T
+        near = np.round((self.project(*features(texts)) @ self.vectors.T).astype(np.float64), 5)
         k = min(NEIGHBOURS, near.shape[1])
-        best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(near, best, axis=1).astype(np.float64), 1e-6) ** SHARPNESS
+        # Of equal similarities the earlier labelled row counts: those above the last one, then the first at it.
+        last = -np.partition(-near, k - 1, axis=1)[:, k - 1:k]
+        rank = np.where(near > last, 0, np.where(near == last, 1, 2)).astype(np.int8)
+        best = np.argsort(rank, axis=1, kind="stable")[:, :k]
+        weight = np.maximum(np.take_along_axis(near, best, axis=1), 1e-6) ** SHARPNESS
         return np.clip((weight * self.labels[best]).sum(axis=1) / weight.sum(axis=1), 0.0, 1.0)
 
 
@@ -149,7 +150,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select(
         F.col("doc_id").cast("long").alias("label_id"), F.col("quality").cast("int").alias("quality"))
     chosen = F.broadcast(hash_sample(usable, "label_id", sample))
-    rows = docs.join(chosen, docs["doc_id"].cast("long") == chosen["label_id"]).select("text", "quality").limit(sample)
+    # Ids may repeat in either table; the order makes the bounded choice, and the fit, the same in every run.
+    rows = docs.join(chosen, docs["doc_id"].cast("long") == chosen["label_id"]).select("label_id", "quality", "text").orderBy(
+        "label_id", "quality", F.xxhash64("text")).limit(sample).select("text", "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, quality = [], []

@@ -87,22 +87,17 @@ FROM p JOIN ruled USING (url) LEFT JOIN spread USING (url)
 """
 
 _SEED_WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+')"
-# Places of the marked words of each mask, and its length.
-_MASKS = "(VALUES (0, [0, 1, 2, 3, 4, 5], 6), (1, [0, 1, 3, 4, 6, 7], 8), (2, [0, 2, 4, 6, 8, 10], 11)) m(mask, marked, span)"
-_SEEDS = f"""SELECT {{id}}, w, pos, mask, span, array_to_string(list_transform(marked, lambda k: w[pos + k + 1]), ' ') AS seed
-  FROM (SELECT {{id}}, w, unnest(range(0, len(w) - 5)) AS pos FROM {{words}} WHERE len(w) >= 6) JOIN {_MASKS} ON pos + span <= len(w)"""
-
+# No seeds: a window with 80 % agreement has three agreeing words in a row, so every alignment that
+# shares three is laid side by side as a whole and all its windows are compared.
 DECONTAMINATION = f"""
 WITH d AS (SELECT doc_id, {_SEED_WORDS} AS w FROM documents),
 b AS (SELECT DISTINCT item_id, {_SEED_WORDS} AS w FROM benchmark),
-ds AS ({_SEEDS.format(id='doc_id', words='d')}),
-bs AS ({_SEEDS.format(id='item_id', words='b')}),
-hits AS (
-  SELECT doc_id, item_id, ds.w AS dw, bs.w AS iw, ds.pos - bs.pos AS shift, bs.pos AS place, ds.span, least(15, len(bs.w)) AS size
-  FROM ds JOIN bs USING (mask, seed)),
-starts AS (
-  SELECT *, unnest(range(greatest(0, -shift, place + span - size), least(place, len(iw) - size, len(dw) - shift - size) + 1)) AS s
-  FROM hits),
+dt AS (SELECT doc_id, w, pos, w[pos + 1:pos + 3] AS three FROM (SELECT doc_id, w, unnest(range(0, len(w) - 2)) AS pos FROM d WHERE len(w) >= 6)),
+bt AS (SELECT item_id, w, pos, w[pos + 1:pos + 3] AS three FROM (SELECT item_id, w, unnest(range(0, len(w) - 2)) AS pos FROM b WHERE len(w) >= 6)),
+laid AS (
+  SELECT DISTINCT doc_id, item_id, dt.w AS dw, bt.w AS iw, dt.pos - bt.pos AS shift, least(15, len(bt.w)) AS size
+  FROM dt JOIN bt USING (three)),
+starts AS (SELECT *, unnest(range(greatest(0, -shift), least(len(iw), len(dw) - shift) - size + 1)) AS s FROM laid),
 agreed AS (
   SELECT doc_id, item_id, shift, s, size FROM starts
   WHERE len(list_filter(range(0, size), lambda x: dw[s + shift + x + 1] = iw[s + x + 1])) >= ceil(size * 0.8)),

@@ -27,11 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.llm.common import Memo, small
+from shelfwatch.llm.common import small, word_numbers
 from shelfwatch.llm.fm_index import FmIndex
 from shelfwatch.session import cut_lineage
 
@@ -41,8 +40,8 @@ SHORT_ANCHOR = 5
 SHARD_WORDS = 500_000
 HOT_SHARE, HOT_LEAST = 1_000, 2_000
 SEEN_SEGMENTS = 200_000
+PENDING_ROWS, PENDING_BYTES = 10_000, 8 * 2**20  # of segments before a task hands them on
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_words = Memo(xxhash.xxh64_intdigest, 200_000)
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -50,7 +49,7 @@ def split_words(text: str | None) -> list[bytes]:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(word_numbers().__getitem__, words), np.uint64, len(words))
 
 
 def gram_hashes(h: np.ndarray, size: int) -> np.ndarray:
@@ -135,6 +134,10 @@ _SEGMENTS = pa.schema([("anchor", pa.int64()), ("segment", pa.binary()), ("words
                        ("doc_id", pa.int64()), ("h", pa.int64()), ("start", pa.int64())])
 
 
+def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SEGMENTS)], schema=_SEGMENTS)
+
+
 def segments(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     """anchor, segment (digest), words (once per task, else null), size, doc_id, h, start.
 
@@ -152,31 +155,35 @@ def segments(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     total = per.agg(F.sum("n")).first()[0] or 0
     hot = {r["anchor"] for r in per.filter(F.col("n") > max(total // HOT_SHARE, HOT_LEAST)).select("anchor").collect()}
 
+    def cut(doc_id: int, h: int, text: str, runs: list[dict]) -> Iterator[tuple]:
+        words = split_words(text)
+        hashes = word_hashes(words)
+        grams = gram_hashes(hashes, short).view(np.int64)
+        for anchor, first, last in zip(*(a.tolist() for a in _parts(hashes, runs, window))):
+            # Under a hot anchor every window is on its own, keyed by its two ends.
+            one_by_one = ((int(_ends(grams, s, window, short)), s, s) for s in range(first, last + 1))
+            for key, a, b in one_by_one if anchor in hot else ((anchor, first, last),):
+                yield key, b" ".join(words[a:b + window]), b - a + window, doc_id, h, a
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        rows, held = [], 0
         for batch in batches:
-            rows = []
-            for doc_id, h, text, runs in zip(*(c.to_pylist() for c in batch.columns)):
-                words = split_words(text)
-                hashes = word_hashes(words)
-                grams = gram_hashes(hashes, short).view(np.int64)
-                for anchor, first, last in zip(*(a.tolist() for a in _parts(hashes, runs, window))):
-                    if anchor in hot:  # every window on its own, keyed by its two ends
-                        parts = [(int(_ends(grams, s, window, short)), s, s) for s in range(first, last + 1)]
-                    else:
-                        parts = [(anchor, first, last)]
-                    for key, a, b in parts:
-                        data = b" ".join(words[a:b + window])
-                        digest = hashlib.blake2b(data, digest_size=16).digest()
-                        new = digest not in seen
-                        if new:
-                            if len(seen) >= SEEN_SEGMENTS:
-                                seen.clear()
-                            seen.add(digest)
-                        rows.append((key, digest, data if new else None, b - a + window, doc_id, h, a))
-            for at in range(0, len(rows), 20_000):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, f.type) for c, f in zip(zip(*rows[at:at + 20_000]), _SEGMENTS)], schema=_SEGMENTS)
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                for key, data, size, doc_id, h, start in cut(*row):
+                    digest = hashlib.blake2b(data, digest_size=16).digest()
+                    new = digest not in seen
+                    if new:
+                        if len(seen) >= SEEN_SEGMENTS:
+                            seen.clear()
+                        seen.add(digest)
+                        held += len(data)
+                    rows.append((key, digest, data if new else None, size, doc_id, h, start))
+                    if len(rows) >= PENDING_ROWS or held >= PENDING_BYTES:
+                        yield _as_batch(rows)
+                        rows, held = [], 0
+        if rows:
+            yield _as_batch(rows)
 
     return texts.mapInArrow(run, "anchor long, segment binary, words binary, size long, doc_id long, h long, start long")
 

@@ -21,7 +21,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.llm.common import Memo, hash_sample
+from shelfwatch.llm.common import Memo, hash_sample, worker_state
 
 SAMPLE_DOCS = 1_000
 FREQUENT = 50_000
@@ -57,15 +57,10 @@ def pre_tokens(text: str) -> list[str]:
     return [run[1:] for run in RUNS.findall(" " + text)]
 
 
-_caches: dict[str, Memo] = {}
-
-
 def _worker_cache(path: str) -> Memo:
-    if path not in _caches:
-        encode = model(path).encode
-        # A lone space mark is a run of spaces that ends the text: the text " " less its first space.
-        _caches[path] = Memo(lambda word: len(encode(word)) if word else 1)
-    return _caches[path]
+    encode = model(path).encode
+    # A lone space mark is a run of spaces that ends the text: the text " " less its first space.
+    return worker_state("token_counts", path, lambda: Memo(lambda word: len(encode(word)) if word else 1))
 
 
 def count_tokens(text: str, frequent: dict[str, int], path: str) -> int:

@@ -12,7 +12,8 @@ Layout of a folder in storage every executor can reach:
 
 Ids are little-endian and 2 bytes wide where the vocabulary allows it, else 4.  Null
 texts count as empty and hold the end id alone.  Rows with equal ids stay apart, next to
-each other; null ids come first.  An empty table gives an empty index.
+each other; null ids come first.  Very long texts are one frame each.  An empty table gives an
+empty index.  Other columns, whatever their names, are ignored.
 """
 from __future__ import annotations
 
@@ -22,7 +23,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from itertools import groupby
 from operator import itemgetter
 
@@ -35,14 +35,13 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-from shelfwatch.llm.common import child, hash_sample, open_folder
+from shelfwatch.llm.common import Memo, child, hash_sample, open_folder, worker_state
 
 DICTIONARY_BYTES = 64 * 1024
 SAMPLE_DOCS = 512
 SAMPLE_PIECE = 4 * 1024
 LEVEL = 3
-CACHED_WORDS = 500_000
-CACHED_BYTES = 200
+CACHED_WORDS, CACHED_PIECES = 600_000, 200_000
 INDEX_DDL = (
     "doc_id long, part int, place long, file string, offset long, length long, n_tokens long, local_start long, "
     "dictionary_sha256 string"
@@ -61,8 +60,8 @@ PLAIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z
 class WordEncoder:
     """Encodes a text word by word for tokenizers that drop white space and never join across it.
 
-    Each distinct word of a worker goes through the tokenizer once while it is cached.
-    ``word_wise`` tells whether a tokenizer is of that kind; others encode whole texts.
+    A word's ids are kept as bytes while it is cached, so a text is one join.  ``word_wise``
+    tells whether a tokenizer is of that kind; others encode whole texts.
     """
 
     def __init__(self, path: str):
@@ -71,14 +70,9 @@ class WordEncoder:
         self.word_wise = self._is_word_wise()
         spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.spelling = {c: spell(chr(c))[0][0] for c in (*range(33, 127), *range(0xC0, 0x100))}
+        self.pieces = Memo(self._piece, CACHED_PIECES)
         self.plain = self.word_wise and self._is_plain()
-        self._clear()
-
-    def _clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.ids = np.zeros(1 << 20, np.uint32)
-        self.starts = np.zeros(CACHED_WORDS + 1, np.int64)
-        self.used = 0
+        self.words = Memo(self._word, CACHED_WORDS)
 
     def _raw(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -93,71 +87,40 @@ class WordEncoder:
     def _is_plain(self) -> bool:
         """Whether plain words may go straight to the tokenizer's merge model, tried on every plain character."""
         probe = [*map(chr, self.spelling), "Plain,", "It's", "don'T", "x1y22", "ÉÀ.ß", "a''s", "(É)", "...'ll"]
-        return all(self._by_model(w) == ids for w, ids in zip(probe, self._raw(probe)))
-
-    def _by_model(self, word: str) -> list[int]:
-        tokenize, spelling = self.tokenizer.model.tokenize, self.spelling
-        return [t.id for piece in PLAIN_PIECES.findall(word.lower()) for t in tokenize(piece.translate(spelling))]
-
-    def _words(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word: plain ones through the merge model alone, others through the whole tokenizer."""
-        if not self.plain:
-            return self._raw(words)
-        out = [self._by_model(w) if PLAIN.fullmatch(w) and "<|" not in w else None for w in words]
-        rest = [k for k, ids in enumerate(out) if ids is None]
-        for k, ids in zip(rest, self._raw([words[k] for k in rest])):
-            out[k] = ids
-        return out
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Add words that are not in the cache yet."""
-        for word, ids in zip(words, self._words([w.decode() for w in words])):
-            k, end = len(self.number), self.used + len(ids)
-            while end > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.used:end] = ids
-            self.number[word] = k
-            self.starts[k + 1] = self.used = end
+        return all(self._by_model(w) == self._packed(ids) for w, ids in zip(probe, self._raw(probe)))
 
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a whole text."""
+    def _packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.width).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        return self._packed([t.id for t in self.tokenizer.model.tokenize(piece.translate(self.spelling))])
+
+    def _by_model(self, word: str) -> bytes:
+        """Ids of a plain word by the merge model alone."""
+        return b"".join(map(self.pieces.__getitem__, PLAIN_PIECES.findall(word.lower())))
+
+    def _word(self, data: bytes) -> bytes:
+        word = data.decode()
+        if self.plain and PLAIN.fullmatch(word) and "<|" not in word:
+            return self._by_model(word)
+        return self._packed(self._raw([word])[0])
+
+    def encode_bytes(self, text: str) -> bytes:
+        """Ids of a whole text, ``width`` bytes each."""
         if not self.word_wise:
-            return np.array(self._raw([text])[0], np.uint32)
-        words = text.encode().split()
-        if not words:
-            return np.zeros(0, np.uint32)
-        new = list({w for w in words if w not in self.number})
-        if new:
-            if len(new) > 2_000 or max(map(len, new)) > CACHED_BYTES:
-                return self._by_hand(words)
-            if len(self.number) + len(new) > CACHED_WORDS:
-                self._clear()
-                new = list(set(words))
-                if len(new) > 20_000:
-                    return self._by_hand(words)
-            self._learn(new)
-        k = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        first, size = self.starts[k], self.starts[k + 1] - self.starts[k]
-        ends = np.cumsum(size)
-        return self.ids[np.arange(ends[-1]) + np.repeat(first - (ends - size), size)]
-
-    def _by_hand(self, words: list[bytes]) -> np.ndarray:
-        """A text with very long or very many new words: they pass the cache by."""
-        new = list(dict.fromkeys(words))
-        own = {}
-        for at in range(0, len(new), 5_000):
-            some = new[at:at + 5_000]
-            own.update(zip(some, (np.array(i, np.uint32) for i in self._words([w.decode() for w in some]))))
-        return np.concatenate([own[w] for w in words])
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+            return self._packed(self._raw([text])[0])
+        return b"".join(map(self.words.__getitem__, text.encode().split()))
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(self.encode_bytes(text), self.width)
 
+    def serialize(self, text: str, end_id: int) -> bytes:
+        """Ids of a whole text and the end id."""
+        return self.encode_bytes(text) + self._packed([end_id])
 
-def serialize(ids: np.ndarray, end_id: int, width: np.dtype) -> bytes:
-    return np.append(ids, end_id).astype(width).tobytes()
+
+def encoder(path: str) -> WordEncoder:
+    return worker_state("token_files", path, lambda: WordEncoder(path))
 
 
 def train_dictionary(docs: DataFrame, path: str, end_id: int, sample: int = SAMPLE_DOCS,
@@ -172,7 +135,7 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, sample: int = SAMP
         coder, pieces = encoder(path), []
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                data = serialize(coder.encode(text or ""), end_id, coder.width)
+                data = coder.serialize(text or "", end_id)
                 pieces.extend(data[i:i + SAMPLE_PIECE] for i in range(0, len(data), SAMPLE_PIECE))
         try:
             data = zstandard.train_dictionary(size, pieces, level=LEVEL).as_bytes()
@@ -223,7 +186,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str) -> T
             for batch in batches:
                 rows = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    data = serialize(coder.encode(text or ""), end_id, coder.width)
+                    data = coder.serialize(text or "", end_id)
                     frame = packer.compress(data)
                     out = out or store.open_output_stream(child(child(root, "ids"), name))
                     out.write(frame)

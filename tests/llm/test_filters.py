@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import SMALL
-from shelfwatch.llm import decontaminate, quality, url_rules, warc
+from shelfwatch.llm import decontaminate, quality, sql, url_rules, warc
 from shelfwatch.llm.common import open_folder
 from shelfwatch.llm.queries import QUERIES, SQL, URL_RULES
 from shelfwatch.session import scratch_path
@@ -190,9 +190,83 @@ def test_nothing_to_decontaminate(spark, leaks):
     assert decontaminate.decontaminate(table, bench.limit(0)).count() == len(docs)
 
 
+def test_sql_knows_no_seeds(spark, leaks):
+    import duckdb
+    import pandas as pd
+
+    docs, items, _ = leaks
+    item = " ".join(f"t{k}" for k in range(60))
+    fifth = " ".join("other" if k % 5 == 4 else f"t{k}" for k in range(60))
+    docs = [d for d in docs if d[0] is not None and d[0] < 900] + [(1_000, fifth), (1_001, "lead " + fifth), (1_002, " ".join(f"t{k}" if k % 2 else "o" for k in range(60)))]
+    items = [*items, (60, item)]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
+    con.register("benchmark", pd.DataFrame(items, columns=["item_id", "text"]))
+    want = sorted(con.execute(sql.DECONTAMINATION).fetchall())
+    found = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(tuple(r) for r in found.collect()) == want
+    assert (1_001, 60, 1, 60, 60) in want and 1_002 not in {w[0] for w in want}
+
+
+def test_long_texts_on_the_shuffled_side(spark, leaks, monkeypatch):
+    """Shuffled positions hold no text, so the bytes follow the length of a text."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
+    text = " ".join(f"w{k % 977}" for k in range(60_000)) + " " + leaks[1][2][1]
+    docs = spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string")
+    found = decontaminate.overlaps(docs, spark.createDataFrame(leaks[1], "item_id long, text string"))
+    assert {(r.doc_id, r.last_word) for r in found.collect() if r.item_id == 2 and r.last_word >= 60_000} == {
+        (i, 60_000 + len(leaks[1][2][1].split()) - 1) for i in (1, None)}
+
+
 # --- quality ---------------------------------------------------------------------
 
 
+def test_scores_equal_a_plain_recomputation(spark):
+    """Features, projection and vote word by word and pair by pair, from the model's own numbers."""
+    import math
+    import re
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    model = quality.train(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    rows = {r.doc_id: r.text for r in docs.limit(40).collect()} | {-1: None, -2: "", -3: "x" * 300 + " 99!!--  Ab AB ab"}
+    table = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in quality.score_documents(table, model).collect()}
+
+    def plain_shape(word):
+        out, k = "", 0
+        while k < len(word):
+            kind = lambda c: "0" if c.isdecimal() else "a" if re.match(r"[^\W\d_]", c) else c
+            end = k
+            while end < len(word) and kind(word[end]) == kind(word[k]):
+                end += 1
+            run = word[k:end]
+            out += "0" if kind(run[0]) == "0" else ("w" if run != run.upper() else "W") if kind(run[0]) == "a" else run[0] + "+" * (len(run) > 1)
+            k = end
+        return out
+
+    for i, text in rows.items():
+        text = text or ""
+        counts = [0.0] * 1_536
+        for word in text.split():
+            counts[zlib.crc32(word.lower().encode()) % 1_024] += 1
+            counts[1_024 + zlib.crc32(plain_shape(word).encode()) % 512] += 1
+        first = [math.log1p(c) * float(w) for c, w in zip(counts[:1_024], model.idf)]
+        second = [math.sqrt(c * float(w)) for c, w in zip(counts[1_024:], model.idf[1_024:])]
+        norm = [math.sqrt(sum(x * x for x in part)) or 1.0 for part in (first, second)]
+        whole = (np.array(quality.measures(text, text.split())) - model.centre) / model.spread / 4
+        x = np.array([0.5 * v / norm[0] for v in first] + [v / norm[1] for v in second] + whole.tolist())
+        latent = x @ model.basis.astype(np.float64)
+        latent /= max(np.linalg.norm(latent), 1e-9)
+        near = sorted(((-round(float(latent @ v), 5), k) for k, v in enumerate(model.vectors.astype(np.float64))))[:15]
+        weight = [max(-s, 1e-6) ** 4 for s, _ in near]
+        assert abs(got[i] - sum(w * model.labels[k] for w, (_, k) in zip(weight, near)) / sum(weight)) < 0.02
+
+
+def test_shapes_of_whole_words():
+    shapes = {w: quality.shape(w) for w in ("hello", "Hello", "HELLO", "99!!", "a" * 40 + "99!!", "x_y", "--A1b", "日本")}
+    assert shapes == {"hello": "w", "Hello": "w", "HELLO": "W", "99!!": "0!+", "a" * 40 + "99!!": "w0!+", "x_y": "w_w", "--A1b": "-+W0w", "日本": "W"}
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SMALL.replace('sf0.001', 'sf0.01')}/documents.parquet")
     labels = spark.read.parquet(f"{SMALL.replace('sf0.001', 'sf0.01')}/labels.parquet")
@@ -276,7 +350,7 @@ def test_queries_match_their_sql(spark, name):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_stages(spark):
