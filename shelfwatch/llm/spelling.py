@@ -43,7 +43,8 @@ LOSES = 31
 BITS_PER_WORD = 24
 FILTER_BYTES = 64 * 2**20
 LONGEST_SHARD = 64
-SEGMENT = 16_384  # blocks of a filter that one group builds
+SEGMENT = 4_096  # blocks of a filter that one group builds
+PROBED_WORDS = 16_384  # words a task edits, about
 _PENDING_WORDS, _PENDING_BYTES = 200_000, 16 * 2**20
 _BLOCK = 1 << 18  # letters edited at a time
 
@@ -270,7 +271,8 @@ def near_pairs(words: DataFrame, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     passes = max(1, -(-sum(counts.values()) * BITS_PER_WORD // (8 * filter_bytes)))
     alphabet = "".join(sorted(r["letter"] for r in words.select(F.explode(F.array_distinct(F.split("word", ""))).alias("letter"))
                               .filter("letter <> ''").distinct().collect()))  # 90 letters at most
-    found = None
+    tasks = max(1, -(-sum(counts.values()) // PROBED_WORDS))  # edits cost far more than reading their words
+    dealt, found = words.repartition(tasks, "h"), None
     for residue in range(passes):
         part = sharded
         if passes > 1:  # the hash modulo passes, as an unsigned number
@@ -279,7 +281,7 @@ def near_pairs(words: DataFrame, filter_bytes: int = FILTER_BYTES) -> DataFrame:
         sizes = counts if passes == 1 else {
             r["shard"]: r["n"] for r in part.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
         filters = build_filters(part.select("h", "shard"), sizes)
-        one = candidates(words, filters, alphabet, residue, passes)
+        one = candidates(dealt, filters, alphabet, residue, passes)
         found = one if found is None else found.unionByName(one)
     targets = words.select(F.col("h").alias("edit"), F.col("word").alias("other"), F.col("n").alias("other_n"))
     spelt = F.expr("concat(substring(word, 1, place), put, substring(word, place + 2))")
