@@ -63,7 +63,10 @@ SELECT *, lag(price_cents) OVER w AS previous, row_number() OVER w AS rn FROM ob
 WHERE rn > 1 AND price_cents IS DISTINCT FROM previous""")
 
 
-def _changes(v, parts, per_trigger=None):
+EVER = 10_000  # days a feed may be late
+
+
+def _changes(v, parts, per_trigger=None, seed=None, **options):
     """The changes after each part was appended to the source and drained."""
     source, out, checkpoint = (scratch_path(v.spark, x) for x in ("obs", "changes", "prices"))
     key = ["store_id", "part_id"]
@@ -72,7 +75,7 @@ def _changes(v, parts, per_trigger=None):
         reader = v.spark.readStream.schema(v.obs.schema)
         if per_trigger:
             reader = reader.option("maxFilesPerTrigger", per_trigger)
-        drain(price_change_stream(reader.parquet(source), key, out, checkpoint))
+        drain(price_change_stream(reader.parquet(source), key, out, checkpoint, seed=seed, **options))
     return flat(read_changes(v.spark, out, v.obs, key))
 
 
@@ -91,14 +94,21 @@ def t4_price_changes_one_batch(v):
 @query(_CHANGES)
 def t4_price_changes_shuffled_days(v):
     """Days of a key spread at random over files that are read one by one, late ones among them."""
-    return _changes(v, [v.obs.repartition(5, F.xxhash64("store_id", "part_id", "observed_on"))], per_trigger=1)
+    return _changes(v, [v.obs.repartition(5, F.xxhash64("store_id", "part_id", "observed_on"))], per_trigger=1, keep_days=EVER)
 
 
 @query(_CHANGES)
 def t4_price_changes_backwards(v):
     """The later period arrives first."""
     early = F.col("observed_on") < day(SPLIT_DAY)
-    return _changes(v, [v.obs.filter(~early), v.obs.filter(early)])
+    return _changes(v, [v.obs.filter(~early), v.obs.filter(early)], keep_days=EVER)
+
+
+@query(f"SELECT * FROM ({_CHANGES}) WHERE observed_on >= '{SPLIT_DAY}'")
+def t4_price_changes_seeded(v):
+    """A new checkpoint that gets the first period as known history."""
+    early = F.col("observed_on") < day(SPLIT_DAY)
+    return _changes(v, [v.obs.filter(~early)], seed=v.obs.filter(early))
 
 
 @query(f"SELECT {iso('date_trunc(' + chr(39) + 'hour' + chr(39) + ', ts)')} AS hour, event_type AS kind, count(*) AS n FROM events GROUP BY ALL")

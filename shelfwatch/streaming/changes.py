@@ -1,74 +1,161 @@
-"""Price changes as observations arrive, whatever their order and however they are batched."""
+"""Price changes as observations arrive, whatever their order and however they are batched.
+
+The days known of a key are keyed state of the stream: a list sorted by day in a RocksDB store,
+so a micro-batch touches the state of its own keys and nothing else.  A late day corrects
+the statement about the day after it.
+
+State is bounded by ``keep_days``: a key keeps the days up to so long before its newest one and
+one day more, the one the oldest of them is compared with.  Rows older than that can't be
+judged any more and come out as late instead of being lost.  In a stream that runs on
+(``every``) keys without rows for ``keep_days`` of running time leave the state too; a drained
+stream has no running time.
+"""
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from shelfwatch.functions.policy import changed
-from shelfwatch.operators.ranking import prev_value
+from shelfwatch.constants import HISTORY_KEEP_DAYS
 from shelfwatch.streaming.folders import batch_folder, ensure_folder
 
-PARTS = 64
+ROCKSDB = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+_DAY_MS = 24 * 3600 * 1000
+Days = dict[dt.date, int | None]
+
+
+def _lower(a: int | None, b: int | None) -> int | None:
+    return b if a is None else a if b is None else min(a, b)
+
+
+def judge(known: Days, fresh: Days, keep_days: int) -> tuple[Days, list[tuple]]:
+    """Days to keep and statements (day, price, previous, is_change, late) about every day from the earliest fresh one on."""
+    # Days before the oldest kept one may have been dropped if it lies before the horizon.
+    cut = min(known) if known and min(known) < max(known) - dt.timedelta(days=keep_days) else dt.date.min
+    late = [(d, p, None, None, True) for d, p in sorted(fresh.items()) if d <= cut]
+    usable = {d: p for d, p in fresh.items() if d > cut}
+    days = dict(known)
+    for d, p in usable.items():
+        days[d] = _lower(days[d], p) if d in days else p
+    order = sorted(days)
+    first, stated = min(usable, default=None), []
+    for before, d in zip([None, *order], order):
+        if first is not None and d >= first:
+            previous = None if before is None else days[before]
+            stated.append((d, days[d], previous, before is not None and previous != days[d], False))
+    horizon = max(order) - dt.timedelta(days=keep_days) if order else dt.date.min
+    kept = [d for d in order if d < horizon][-1:] + [d for d in order if d >= horizon]
+    return {d: days[d] for d in kept}, late + stated
+
+
+class PriceDays(StatefulProcessor):
+    """Lowest price per day of one key; only the list of kept days is state."""
+
+    def __init__(self, key: list[str], keep_days: int, expire: bool):
+        self.key, self.keep_days, self.expire = key, keep_days, expire
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.days = handle.getListState("days", "observed_on date, price_cents long", self.keep_days * _DAY_MS if self.expire else None)
+
+    def _known(self) -> Days:
+        return {r[0]: None if r[1] is None else int(r[1]) for r in self.days.get()}
 
+    def _keep(self, days: Days) -> None:
+        self.days.put([(d, days[d]) for d in sorted(days)])
 
-def _fields(df: DataFrame, key: list[str]) -> str:
+    @staticmethod
+    def _fresh(rows: pd.DataFrame, into: Days) -> None:
+        for d, p in zip(rows["observed_on"], rows["price_cents"]):
+            p = None if pd.isna(p) else int(p)
+            into[d] = _lower(into[d], p) if d in into else p
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        days = self._known()
+        self._fresh(initialState, days)
+        self._keep(judge({}, days, self.keep_days)[0])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        fresh: Days = {}
+        for part in rows:
+            self._fresh(part, fresh)
+        kept, stated = judge(self._known(), fresh, self.keep_days)
+        self._keep(kept)
+        out = pd.DataFrame(stated, columns=["observed_on", "price_cents", "previous", "is_change", "late"], dtype=object)
+        for name, value in zip(reversed(self.key), reversed(key)):
+            out.insert(0, name, [value] * len(out))
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+def _schema(df: DataFrame, key: list[str]) -> str:
     kinds = dict(df.dtypes)
-    return ", ".join(f"{k} {kinds[k]}" for k in [*key, "observed_on", "price_cents"])
+    return ", ".join(f"{k} {kinds[k]}" for k in key) + ", observed_on date, price_cents long, previous long, is_change boolean, late boolean"
+
+
+def _stated(spark: SparkSession, path: str, observations: DataFrame, key: list[str]) -> DataFrame:
+    schema = f"{_schema(observations, key)}, step long"
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{path}/changes")
 
 
 def read_changes(spark: SparkSession, path: str, observations: DataFrame, key: list[str]) -> DataFrame:
     """The changes as they stand: of the statements about one key and day the newest counts."""
-    schema = f"{_fields(observations, key)}, previous long, is_change boolean, step long"
-    stated = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{path}/changes")
-    newest = stated.groupBy(*key, "observed_on").agg(F.max_by(F.struct("price_cents", "previous", "is_change"), "step").alias("s"))
+    newest = _stated(spark, path, observations, key).filter("NOT late").groupBy(*key, "observed_on").agg(
+        F.max_by(F.struct("price_cents", "previous", "is_change"), "step").alias("s"))
     return newest.filter("s.is_change").select(*key, "observed_on", "s.price_cents", "s.previous")
 
 
+def read_late(spark: SparkSession, path: str, observations: DataFrame, key: list[str]) -> DataFrame:
+    """Rows that came too late to be judged."""
+    return _stated(spark, path, observations, key).filter("late").select(*key, "observed_on", "price_cents")
+
+
+def compact_changes(spark: SparkSession, path: str, observations: DataFrame, key: list[str], target: str) -> None:
+    """The newest statement about each key and day, written as one table at ``target``; for between two runs."""
+    rows = _stated(spark, path, observations, key)
+    newest = rows.groupBy(*key, "observed_on", "late").agg(
+        F.max_by(F.struct("price_cents", "previous", "is_change", "step"), "step").alias("s"))
+    newest.select(*key, "observed_on", "s.price_cents", "s.previous", "s.is_change", "late", "s.step").write.parquet(f"{target}/changes")
+
+
 def price_change_stream(
     observations: DataFrame, key: list[str], path: str, checkpoint: str, every: str | None = None,
+    keep_days: int = HISTORY_KEEP_DAYS, seed: DataFrame | None = None,
 ) -> StreamingQuery:
-    """Keep, per key and day, whether the lowest price of the day differs from that of the day before it.
+    """State, per key and day, whether the lowest price of the day differs from that of the day before it.
 
-    Every micro-batch appends its lowest price per key and day to a log cut into parts by key
-    hash, reads the days known of the keys it touches (their parts only), and states anew
-    each of those days from the batch's earliest one on: a late day corrects the day after it.
-    A day that comes in twice keeps the lower price.  Folders belong to (checkpoint,
-    micro-batch), so a replay overwrites its own rows.
+    ``observations``: key, observed_on, price_cents.  ``seed`` (same columns) gives a new
+    checkpoint the days already known, such as a price history.  Folders of statements belong
+    to (checkpoint, micro-batch), so a replay overwrites its own rows.
     """
     spark = observations.sparkSession
-    schema = _fields(observations, key)
-    ensure_folder(spark, f"{path}/changes", f"{schema}, previous long, is_change boolean, step long")
-    ensure_folder(spark, f"{path}/days", schema)
+    schema = _schema(observations, key)
+    ensure_folder(spark, f"{path}/changes", f"{schema}, step long")
+    base = spark.read.schema("step long").option("recursiveFileLookup", True).parquet(f"{path}/changes").agg(F.max("step")).first()[0] or 0
+    columns = [*key, "observed_on", "price_cents"]
+    typed = [*key, F.col("observed_on").cast("date").alias("observed_on"), F.col("price_cents").cast("long").alias("price_cents")]
+    known = None if seed is None else seed.select(*columns).select(*typed).groupBy(*key)
+    stated = observations.select(*columns).select(*typed).groupBy(*key).transformWithStateInPandas(
+        PriceDays(key, keep_days, every is not None), schema, "Update", "ProcessingTime" if every else "None", known)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        session, folder = batch.sparkSession, batch_folder(batch, batch_id)
-        run = folder.split("/")[0].removeprefix("run=")
-        daily = batch.groupBy(*key, "observed_on").agg(F.min("price_cents").alias("price_cents")).withColumn(
-            "part", F.pmod(F.xxhash64(*key), F.lit(PARTS)).cast("int"))
-        daily.write.mode("overwrite").partitionBy("part").parquet(f"{path}/days/{folder}")
-        log = session.read.schema(f"{schema}, run string, batch_id long, part int").parquet(f"{path}/days")
-        own = (F.col("run") == run) & (F.col("batch_id") == batch_id)
-        fresh = log.filter(own).drop("run", "batch_id")
-        touched = [r["part"] for r in fresh.select("part").distinct().collect()]
-        first = fresh.groupBy(*key).agg(F.min("observed_on").alias("_from"))
-        known = log.filter(F.col("part").isin(touched)).join(first.select(*key), key, "left_semi")
-        days = known.groupBy(*key, "observed_on").agg(F.min("price_cents").alias("price_cents")).withColumn("_at", F.lit(1))
-        lagged = prev_value(prev_value(days, key, "observed_on", "price_cents"), key, "observed_on", "_at", "_seen")
-        stated = lagged.join(first, key).filter(F.col("observed_on") >= F.col("_from"))
-        number = F.lit(_next_step(session, path, schema, folder))
-        stated.select(
-            *key, "observed_on", "price_cents", "previous",
-            (F.col("_seen").isNotNull() & changed(F.col("price_cents"), F.col("previous"))).alias("is_change"), number.alias("step"),
-        ).write.mode("overwrite").parquet(f"{path}/changes/{folder}")
-
-    writer = observations.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
-
-
-def _next_step(spark: SparkSession, path: str, schema: str, folder: str) -> int:
-    """One more than the largest number in use outside ``folder``."""
-    stated = spark.read.schema("step long, run string, batch_id long").parquet(f"{path}/changes")
-    run, batch_id = (x.split("=")[1] for x in folder.split("/"))
-    others = stated.filter(~((F.col("run") == run) & (F.col("batch_id") == int(batch_id))))
-    return (others.agg(F.max("step")).first()[0] or 0) + 1
+        batch.withColumn("step", F.lit(base + 1 + batch_id)).write.mode("overwrite").parquet(f"{path}/changes/{batch_folder(batch, batch_id)}")
+
+    writer = stated.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint)
+    before = {k: spark.conf.get(k, None) for k in ROCKSDB}
+    for k, value in ROCKSDB.items():
+        spark.conf.set(k, value)
+    try:  # the query keeps the settings it was started with
+        return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    finally:
+        for k, value in before.items():
+            spark.conf.unset(k) if value is None else spark.conf.set(k, value)
