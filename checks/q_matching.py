@@ -6,8 +6,9 @@ from checks.tables_sql import with_views
 from checks.views import AS_OF
 from shelfwatch.operators.components import components
 from shelfwatch.operators.hamming import hamming_pairs, near_pairs
+from shelfwatch.operators.match_index import MatchIndex
 from shelfwatch.plans.matching import match_products, spread_job, spread_snapshot, valid_hashes
-from shelfwatch.session import cut_lineage
+from shelfwatch.session import cut_lineage, scratch_path
 
 # Groups of distinct hashes by reachability over near pairs, then of all products.
 _REACH = """edges AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
@@ -102,6 +103,16 @@ def q2_match_products(v):
     return flat(match_products(v.hashes))
 
 
+@query(with_views("near", f"WITH {_MATCHES} SELECT product_id, canonical_id, distance FROM found", recursive=True))
+def q2_matches_day_by_day(v):
+    """Products come in on three days, copies and neighbours of earlier ones among them; the last day comes twice."""
+    index = MatchIndex(v.spark, scratch_path(v.spark, "matches"), parts=32)
+    part = F.pmod(F.xxhash64("id"), F.lit(10))
+    for day, some in (("2024-01-01", part < 6), ("2024-01-02", (part >= 6) & (part < 8)), ("2024-01-03", part >= 8), ("2024-01-03", part >= 8)):
+        index.add_day(day, v.hashes.filter(some))
+    return flat(index.matches())
+
+
 @query(with_views("near", f"""WITH {_MATCHES} SELECT root AS component, count(DISTINCT store_id) AS stores FROM member GROUP BY root
 HAVING count(DISTINCT store_id) > 1""", recursive=True))
 def a15_stores_per_group(v):

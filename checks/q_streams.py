@@ -1,4 +1,5 @@
 """Streaming jobs, each drained to a table that is then read back."""
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks.q_functions import NORMALIZE
@@ -8,8 +9,9 @@ from checks.tables_sql import with_views
 from checks.views import SPLIT_DAY
 from shelfwatch.functions.domains import host_of
 from shelfwatch.functions.policy import day
-from shelfwatch.session import scratch_path
+from shelfwatch.session import cut_lineage, scratch_path
 from shelfwatch.sources.certs import read_ct_names
+from shelfwatch.sources.ct_log import archive_entries, stream_ct_logs
 from shelfwatch.sources.tables import stream
 from shelfwatch.streaming.changes import price_change_stream, read_changes
 from shelfwatch.streaming.counters import hourly_counts, read_counts
@@ -58,6 +60,32 @@ def t3_resume_from_checkpoint(v):
     return read_queue(v.spark, queue).groupBy("domain").agg(F.count(F.lit(1)).alias("times"))
 
 
+_LOGS = """e AS (SELECT 'https://log.example/' || lower(c_mktsegment) AS log_url,
+  row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS index, c_custkey FROM customer),
+s AS (SELECT log_url, count(*) * 2 // 3 AS size FROM e GROUP BY log_url)"""
+
+
+@query(f"WITH {_LOGS} SELECT log_url, index, c_custkey, 1 AS times FROM e JOIN s USING (log_url) WHERE index >= greatest(0, size - 40)")
+def t3_log_cursors(v):
+    """Logs followed from one batch before their tip; pages are shorter than a batch; then a third more arrives and the stream restarts."""
+    archive, out, checkpoint = (scratch_path(v.spark, x) for x in ("logs", "entries", "cursors"))
+    rank = Window.partitionBy("c_mktsegment").orderBy("c_custkey")
+    entries = cut_lineage(v.table("customer").select(
+        F.concat(F.lit("https://log.example/"), F.lower("c_mktsegment")).alias("log_url"),
+        (F.row_number().over(rank) - 1).cast("long").alias("index"), F.array(F.col("c_custkey").cast("string")).alias("names"),
+        F.floor(F.count(F.lit(1)).over(Window.partitionBy("c_mktsegment")) * 2 / 3).alias("size")))
+    for part in (F.col("index") < F.col("size"), F.col("index") >= F.col("size")):
+        archive_entries(entries.filter(part), archive, per_page=25)
+        followed = stream_ct_logs(v.spark, archive, batch=40).writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", checkpoint).start()
+        try:
+            followed.processAllAvailable()
+        finally:
+            followed.stop()
+    return v.spark.read.parquet(out).groupBy("log_url", "index", F.element_at("names", 1).cast("long").alias("c_custkey")).agg(
+        F.count(F.lit(1)).alias("times"))
+
+
 _CHANGES = with_views("obs", f"""SELECT store_id, part_id, {ymd('observed_on')} AS observed_on, price_cents, previous FROM (
 SELECT *, lag(price_cents) OVER w AS previous, row_number() OVER w AS rn FROM obs WINDOW w AS (PARTITION BY store_id, part_id ORDER BY observed_on))
 WHERE rn > 1 AND price_cents IS DISTINCT FROM previous""")

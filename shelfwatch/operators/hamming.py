@@ -87,6 +87,15 @@ def _deal_bits(bits: Column, groups: int) -> Column:
     return F.array(*[mask(g) for g in range(groups)])
 
 
+def _keys_of(plan: list[Band]) -> Column:
+    return F.array(*[F.col("h").bitwiseAND(F.lit(b.mask).cast("long")) for b in plan])
+
+
+def band_keys(distance: int, segments: int) -> Column:
+    """Keys of column ``h``, one per band of the plan."""
+    return _keys_of(band_plan(distance, segments))
+
+
 def distinct_hashes(df: DataFrame, row_id: str = "id", value: str = "h") -> DataFrame:
     """One row per hash value: smallest id and number of copies."""
     return df.groupBy(value).agg(F.min(row_id).alias("rep"), F.count(F.lit(1)).alias("copies"))
@@ -101,17 +110,21 @@ def _pairs(left: DataFrame, right: DataFrame, on: list[str], distance: int, also
 
 def near_pairs(
     reps: DataFrame, distance: int = MAX_HASH_DISTANCE, n: int | None = None,
-    segments: int | None = None, bucket_rows: int = BUCKET_ROWS,
+    segments: int | None = None, bucket_rows: int = BUCKET_ROWS, fresh: str | None = None,
 ) -> DataFrame:
-    """(a, b, distance) of all distinct hashes (rep, h) at most ``distance`` bits apart; a < b, each pair once."""
+    """(a, b, distance) of all distinct hashes (rep, h) at most ``distance`` bits apart; a < b, each pair once.
+
+    With ``fresh``, a boolean column, only pairs of which one side at least is fresh.
+    """
     if not 0 <= distance <= MAX_DISTANCE:
         raise ValueError(f"distance must be 0..{MAX_DISTANCE}")
-    reps = reps.select("rep", "h")
+    own = ["rep", "h", *([fresh] if fresh else [])]
+    reps = reps.select(*own)
     n = reps.count() if n is None else n
     plan = band_plan(distance, segments or segments_for(n, distance))
     h = F.col("h")
-    keys = F.array(*[h.bitwiseAND(F.lit(b.mask).cast("long")) for b in plan])
-    keyed = reps.select("rep", "h", F.posexplode(keys).alias("band", "key"))
+    keyed = reps.select(*own, F.posexplode(_keys_of(plan)).alias("band", "key"))
+    wanted = [F.col(f"l.{fresh}") | F.col(f"r.{fresh}")] if fresh else []
 
     skipped, most = _table([b.skipped for b in plan]), max(len(b.skipped) for b in plan)
     x = F.col("l.h").bitwiseXOR(F.col("r.h"))
@@ -130,14 +143,14 @@ def near_pairs(
         F.count(F.lit(1)).alias("size"), F.bit_or("h").bitwiseXOR(F.bit_and("h")).alias("varies")
     ).filter("size > 1").filter(_differs_on_all(F.col("varies"), F.get(skipped, F.col("band")), most)))
     calm = keyed.join(sizes.filter(F.col("size") <= bucket_rows).select(*bucket), bucket)
-    out = _pairs(calm, calm, bucket, distance, [ordered, owner]).select(*columns)
+    out = _pairs(calm, calm, bucket, distance, [ordered, owner, *wanted]).select(*columns)
 
     # Key crowded buckets again on d + 1 groups of their varying bits: two members within
     # d agree on at least one group.
     groups = distance + 1
     crowded = sizes.filter(F.col("size") > bucket_rows).select(*bucket, _deal_bits(F.col("varies"), groups).alias("masks"))
-    fine = keyed.join(crowded, bucket).select("rep", "h", *bucket, "masks", F.posexplode("masks").alias("part", "mask")).select(
-        "rep", "h", *bucket, "masks", "part", h.bitwiseAND(F.col("mask")).alias("sub")
+    fine = keyed.join(crowded, bucket).select(*own, *bucket, "masks", F.posexplode("masks").alias("part", "mask")).select(
+        *own, *bucket, "masks", "part", h.bitwiseAND(F.col("mask")).alias("sub")
     )
     place = [*bucket, "part", "sub"]
     chunks = fine.groupBy(*place).agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select(
@@ -146,14 +159,14 @@ def near_pairs(
     placed = fine.join(chunks, place).withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("chunks")).cast("int"))
     # Chunk i meets chunk j (i <= j) in cell (i, j): bounded work per cell, every pair in exactly one.
     cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "rep", "h", *place, "masks", "chunk",
+        *own, *place, "masks", "chunk",
         F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"),
     )
     same_cell = (F.col("l.lo") < F.col("l.hi")) | ordered
     first_group = _differs_on_all(x, F.col("l.masks"), groups, F.col("l.part"))
     dense = _pairs(
         cells.filter(F.col("chunk") == F.col("lo")), cells.filter(F.col("chunk") == F.col("hi")),
-        [*place, "lo", "hi"], distance, [same_cell, owner, first_group],
+        [*place, "lo", "hi"], distance, [same_cell, owner, first_group, *wanted],
     )
     return out.unionByName(dense.select(*columns))
 
