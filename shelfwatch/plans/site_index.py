@@ -4,7 +4,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwatch.constants import SITE_INDEX_ROWS
 from shelfwatch.plans.listing import iso
 from shelfwatch.plans.stats import distinct_values
 
@@ -23,8 +22,8 @@ def encode_uri(text: Column) -> Column:
     return out
 
 
-def site_index(stores: DataFrame, products: DataFrame, base_url: str, n: int = SITE_INDEX_ROWS) -> DataFrame:
-    """(url, last_modified, change_frequency, priority) of static, facet, store and product pages."""
+def site_index(stores: DataFrame, products: DataFrame, base_url: str, n: int | None = None) -> DataFrame:
+    """(url, last_modified, change_frequency, priority) of static, facet, store and product pages; ``n``: only the newest of each."""
     spark = stores.sparkSession
     base = base_url.rstrip("/")
     shown = stores.filter("NOT is_hidden")
@@ -38,12 +37,11 @@ def site_index(stores: DataFrame, products: DataFrame, base_url: str, n: int = S
 
     static = spark.createDataFrame(STATIC_PAGES, "path string, freq string, priority double")
     values = distinct_values(products)
-    newest_stores = shown.orderBy(F.col("first_seen_at").desc(), F.col("store_id").desc()).limit(n)
-    newest_products = (
-        products.join(shown.select("store_id"), "store_id", "left_semi")
-        .select("product_id", "first_seen_at", "last_seen_at")
-        .orderBy(F.col("first_seen_at").desc(), F.col("product_id").desc()).limit(n)
-    )
+    newest_stores = shown
+    newest_products = products.join(shown.select("store_id"), "store_id", "left_semi").select("product_id", "first_seen_at", "last_seen_at")
+    if n is not None:
+        newest_stores = newest_stores.orderBy(F.col("first_seen_at").desc(), F.col("store_id").desc()).limit(n)
+        newest_products = newest_products.orderBy(F.col("first_seen_at").desc(), F.col("product_id").desc()).limit(n)
     facet_priority = F.when(F.col("dim") == "category", 0.7).otherwise(0.6)
     return (
         rows(static, F.concat(F.lit(base), "path"), F.col("freq"), F.col("priority"))

@@ -22,10 +22,13 @@ def _dimension_counts(df: DataFrame, dims: list[tuple[str, str, str | None]]) ->
     ).agg(F.count(F.lit(1)).alias("count"))
 
 
-def facets(stores: DataFrame, products: DataFrame, include_hidden_products: bool = False) -> DataFrame:
-    """Filter options (dim, value, parent, count), most frequent first within each dimension.
+def facets(
+    stores: DataFrame, products: DataFrame, include_hidden_products: bool = False, limits: dict[str, int] | None = None,
+) -> DataFrame:
+    """Filter options (dim, value, parent, count).
 
-    Products of hidden stores count only with ``include_hidden_products``.
+    Products of hidden stores count only with ``include_hidden_products``.  With ``limits`` only
+    the most frequent options of each dimension, with their ``rank``.
     """
     shown = stores.filter("NOT is_hidden")
     if not include_hidden_products:
@@ -36,12 +39,14 @@ def facets(stores: DataFrame, products: DataFrame, include_hidden_products: bool
     product_dims = _dimension_counts(
         products, [("category", "category", None), ("niche", "niche", "category")]
     ).filter((F.col("dim") != "category") | (F.col("value") != K.UNCATEGORIZED))
+    options = store_dims.unionByName(product_dims)
+    if limits is None:
+        return options
     ranked = top_n(
-        store_dims.unionByName(product_dims), ["dim"],
-        [F.col("count").desc(), F.col("value").asc(), F.col("parent").asc_nulls_first()],
-        max(K.FACET_LIMITS.values()), "rank",
+        options, ["dim"], [F.col("count").desc(), F.col("value").asc(), F.col("parent").asc_nulls_first()],
+        max(limits.values()), "rank",
     )
-    limit = F.create_map(*[F.lit(x) for kv in K.FACET_LIMITS.items() for x in kv])
+    limit = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])
     return ranked.filter(F.col("rank") <= F.try_element_at(limit, F.col("dim")))
 
 

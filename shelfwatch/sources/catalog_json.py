@@ -68,12 +68,39 @@ def _elements(pages: DataFrame) -> DataFrame:
     return pages.select("store_id", "page_no", F.explode(items).alias("e"))
 
 
+# A whole wire product in one cast.  Casts are lenient, so types are looked at first: an element is
+# odd if a text field is no text, an id no whole number, or a list holds anything but objects.
+_WIRE = (
+    "struct<id: bigint, title: string, handle: string, vendor: string, product_type: string, tags: variant, published_at: string, "
+    "created_at: string, images: array<struct<src: string>>, image: struct<src: string>, "
+    "variants: array<struct<id: bigint, title: string, price: string, compare_at_price: string, available: boolean>>>"
+)
+_ODD = (
+    r"(?<![^<, ])(?:id: (?!BIGINT|VOID)|(?:title|handle|vendor|product_type|published_at|created_at|src): (?!STRING|VOID)"
+    r"|tags: (?!STRING|ARRAY|VOID)|(?:images|variants): (?!ARRAY<OBJECT|ARRAY<VOID|VOID)|image: (?!OBJECT|VOID))"
+)
+
+
+def _clean_product(typed: str) -> Column:
+    """The product struct of an element read in one cast."""
+    tags = F.col(f"{typed}.tags")
+    fields = [F.when(_kind(tags).startswith("ARRAY"), F.to_json(tags)).otherwise(F.try_variant_get(tags, "$", "string")).alias("tags")
+              if f.name == "tags" else F.col(f"{typed}.{f.name}").alias(f.name) for f in product_schema().fields]
+    return F.struct(*fields).cast(product_schema())
+
+
 def parse_catalog_pages(pages: DataFrame) -> DataFrame:
     """(store_id, page_no, body) to one typed product struct per row.
 
-    Broken pages give no rows; elements that are no objects are left out one by one.
+    Broken pages give no rows; elements that are no objects are left out one by one.  Elements
+    whose types are as expected are cast as a whole, only odd ones field by field.
     """
-    return _elements(pages).filter(_is_object(F.col("e"))).select("store_id", "page_no", _product(F.col("e")).alias("p"))
+    listed = _elements(pages).withColumn("kind", _kind(F.col("e"))).filter(F.col("kind").startswith("OBJECT"))
+    # Generators keep what is below them in one place: every element is cast once, whatever is selected later.
+    cast = listed.select("*", F.explode(F.array(F.try_variant_get("e", "$", _WIRE))).alias("typed"))
+    clean = F.col("typed").isNotNull() & ~F.col("kind").rlike(_ODD)
+    product = F.when(clean, _clean_product("typed")).otherwise(_product(F.col("e")))
+    return cast.select("store_id", "page_no", F.explode(F.array(product)).alias("p"))
 
 
 def page_report(pages: DataFrame) -> DataFrame:

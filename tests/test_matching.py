@@ -142,3 +142,21 @@ def test_hot_hash_joins_by_bounded_broadcast(spark):
     dim = fact.groupBy("k").agg(F.count(F.lit(1)).alias("w"))
     out = join_weighted(fact, dim, "k", "w", 1000, 400, min_rows=50)
     assert out.count() == 1000 and out.select("id").distinct().count() == 1000
+
+
+def test_days_add_up_to_a_full_run(spark):
+    """Close hashes, copies and repeated days: the stored groups equal those of one run over everything."""
+    from shelfwatch.operators.match_index import MatchIndex
+    from shelfwatch.session import scratch_path
+
+    rows = clustered(150, 17, spread=6)
+    rng = random.Random(4)
+    listed = [(10 * i + k, rng.randrange(5), signed(x)) for i, x in rows for k in range(rng.choice([1, 1, 2]))]
+    rng.shuffle(listed)
+    table = lambda some: spark.createDataFrame(some, "id long, store_id long, h long")
+    index = MatchIndex(spark, scratch_path(spark, "index"), parts=8)
+    index.add_day("2024-01-01", table(listed[:100]))
+    index.add_day("2024-01-02", table(listed[100:]))
+    index.add_day("2024-01-02", table(listed[100:]))
+    assert sorted(map(tuple, index.matches().collect())) == sorted(map(tuple, match_products(table(listed)).collect()))
+    assert {r["day"] for r in index.table("bands").select("day").distinct().collect()} == {"2024-01-01", "2024-01-02"}

@@ -41,3 +41,11 @@ def test_count_without_spread_facet_skips_match_tables(spark):
     v = Views(spark, SMALL)
     matches = v.matches.withColumn("canonical_id", F.expr("raise_error('read')").cast("long"))
     assert listing.count_products(v.products, v.stores, matches, v.spread, ProductFilter(q="ring")).first()["total"] > 0
+
+
+def test_catalog_elements_are_cast_once(spark):
+    from shelfwatch.sources import catalog_json
+
+    pages = spark.createDataFrame([], "store_id long, page_no int, body string")
+    products, _ = catalog_json.normalize_catalog(catalog_json.parse_catalog_pages(pages))
+    assert products._jdf.queryExecution().optimizedPlan().toString().count("try_variant_get") <= 40

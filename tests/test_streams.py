@@ -59,3 +59,26 @@ def test_late_rows_nulls_and_restarts(spark):
     compact_changes(spark, out, obs, ["shop"], target)
     assert sorted(tuple(r) for r in read_changes(spark, target, obs, ["shop"]).collect()) == want
     assert spark.read.parquet(f"{target}/changes").count() < spark.read.option("recursiveFileLookup", True).parquet(f"{out}/changes").count()
+
+
+def test_log_cursors_move_by_what_came(spark):
+    from pyspark.sql import functions as F
+
+    from shelfwatch.sources.ct_log import CtLogReader, archive_entries
+
+    path = scratch_path(spark, "logs")
+    entries = spark.range(100).select(F.lit("https://a/1").alias("log_url"), F.col("id").alias("index"), F.array(F.col("id").cast("string")).alias("names"))
+    archive_entries(entries.filter("index < 50"), path, per_page=20)
+    reader = CtLogReader(path, 30)
+    start = reader.initialOffset()
+    assert start == {"https://a/1": 20}
+    _, first = reader.read(start)
+    _, second = reader.read(first)
+    rows, third = reader.read(second)
+    assert [o["https://a/1"] for o in (first, second, third)] == [40, 50, 50] and not list(rows)
+    archive_entries(entries.filter("index >= 60"), path, per_page=20)
+    archive_entries(spark.range(5).select(F.lit("b").alias("log_url"), F.col("id").alias("index"), F.array(F.lit("x")).alias("names")), path)
+    rows, fourth = CtLogReader(path, 30).read(third)
+    assert fourth == {"https://a/1": 80, "b": 5} and sorted(r[2:] for r in rows) == [(0, 5), (60, 80)]
+    again = sorted((r[0], *r[2:]) for r in CtLogReader(path, 30).readBetweenOffsets(start, fourth))
+    assert again == [("b", 0, 5), ("https://a/1", 20, 40), ("https://a/1", 40, 50), ("https://a/1", 60, 80)]
