@@ -40,11 +40,10 @@ FROM d LEFT JOIN kept USING (doc_id)
 
 URL_FILTERS = rf"""
 WITH RECURSIVE p AS (SELECT page_id, coalesce(url, '') AS url, html FROM pages),
-links AS (
-  SELECT url, CASE
-    WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t
-    WHEN t LIKE '//%' THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || t
-    WHEN t LIKE '/%' THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || t END AS target
+named AS (
+  SELECT url, regexp_replace(t, '(?i)&(?:amp|#0*38|#x0*26);', '&', 'g') AS t,
+    regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS root,
+    regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
   FROM (
     SELECT url, unnest([
       regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0),
@@ -52,6 +51,27 @@ links AS (
       regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0),
                      '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS t
     FROM p WHERE url LIKE '%://%')),
+relative AS (
+  SELECT *, regexp_extract(t, '(?s)^[^?#]*(.*)', 1) AS tail,
+    CASE WHEN t LIKE '/%' THEN '' ELSE regexp_extract(path || '/', '(?s)^(.*/)[^/]*/\z', 1) END AS folder,
+    regexp_extract(t, '^[^?#]*', 0) AS way
+  FROM named WHERE t <> '' AND NOT starts_with(t, '#') AND NOT starts_with(t, '//')
+    AND NOT regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:')),
+rooted AS (
+  SELECT *, CASE WHEN way LIKE '/%' OR folder <> '' THEN folder ELSE '/' END || way AS plain FROM relative WHERE way <> ''),
+dots AS (
+  SELECT DISTINCT plain, regexp_replace(regexp_replace(regexp_replace(plain,
+    '/(\.\.?)\z', '/\1/'), '/(\./)+', '/', 'g'), '^(/\.\.)+/', '/') AS way
+  FROM rooted
+  UNION ALL
+  SELECT plain, regexp_replace(regexp_replace(way, '/[^/]*/\.\./', '/'), '^(/\.\.)+/', '/')
+  FROM dots WHERE regexp_matches(way, '/[^/]*/\.\./')),
+links AS (
+  SELECT url, t AS target FROM named WHERE regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://')
+  UNION ALL SELECT url, regexp_extract(url, '(?s)^(.*?:)//', 1) || t FROM named WHERE t LIKE '//%'
+  UNION ALL SELECT url, root || path || tail FROM relative WHERE way = ''
+  UNION ALL SELECT url, root || dots.way || tail FROM rooted JOIN dots USING (plain)
+  WHERE NOT regexp_matches(dots.way, '/[^/]*/\.\./')),
 spellings AS (
   SELECT url, 'https://' || {_LOWER.format("regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)")}
     || regexp_replace(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '(.)/+$', '\1')
@@ -60,7 +80,7 @@ spellings AS (
     SELECT url, array_to_string(list_filter(
       string_split(regexp_extract(url, '(?s)^[^?#]*\?([^#]*)', 1), '&'),
       lambda x: NOT starts_with(x, 'utm_') AND x <> ''), '&') AS q
-    FROM p WHERE url LIKE '%://%')),
+    FROM (SELECT url FROM p WHERE url LIKE '%://%' UNION SELECT target FROM links))),
 edges AS (
   SELECT DISTINCT url AS a, target AS b
   FROM (SELECT * FROM links UNION ALL SELECT * FROM spellings) WHERE target IS NOT NULL AND target <> url),

@@ -12,7 +12,9 @@ with very many pages costs one row per distinct url, and pages meet their url's
 a join whose other side has one row per url, which can be split.
 
 Null urls and urls without ``://`` have empty host and path, fit no rule, are nobody's
-alias and are allowed.  Repeated rows stay repeated; empty tables give empty results.
+alias and are allowed.  Null and empty html names nothing.  Repeated rows stay repeated;
+empty tables give empty results; html of any length is read whole, by regular expressions
+that look at its tags only; extra columns of any name are left out.
 """
 from __future__ import annotations
 
@@ -30,6 +32,8 @@ _REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 _HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 _TARGET = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
 _ABSOLUTE = r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://"
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+_AMPERSAND = r"(?i)&(?:amp|#0*38|#x0*26);"
 
 
 @dataclass(frozen=True)
@@ -61,21 +65,52 @@ def plain_spelling(url: Column) -> Column:
     return F.concat(F.lit("https://"), host_of(url), path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
 
 
+def without_dots(path: Column) -> Column:
+    """A path that starts with a slash, its ``.`` and ``..`` segments carried out."""
+    closed = F.regexp_replace(path, r"/(\.\.?)\z", "/$1/")
+    segments = F.aggregate(
+        F.split(closed, "/"), F.array().cast("array<string>"),
+        lambda kept, s: F.when(s == ".", kept).when(s == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1))))
+        .otherwise(F.array_append(kept, s)))
+    return F.when(path.rlike(r"/\.\.?(/|\z)"), F.array_join(segments, "/")).otherwise(path)
+
+
+def resolved(url: Column, target: Column) -> Column:
+    """``target`` as a page at ``url`` names it: whole, or relative to its scheme, host, folder or path.
+
+    Null for empty targets, bare fragments and other schemes (``mailto:``).  A page's
+    ``<base>`` is not looked at.
+    """
+    path = F.regexp_extract(target, r"(?s)^[^?#]*", 0)
+    tail = F.regexp_extract(target, r"(?s)^[^?#]*(.*)\z", 1)
+    root = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    folder = F.regexp_replace(path_of(url), r"[^/]*\z", "")
+    rooted = F.when(path.startswith("/"), path).otherwise(
+        F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path))
+    return (F.when(target.rlike(_ABSOLUTE), target)
+            .when(target.startswith("//"), F.concat(F.regexp_extract(url, r"(?s)^(.*?:)//", 1), target))
+            .when((target == "") | target.startswith("#") | target.rlike(_SCHEME), F.lit(None).cast("string"))
+            .when(path == "", F.concat(root, path_of(url), tail))
+            .otherwise(F.concat(root, without_dots(rooted), tail)))
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
-    """a, b: urls joined by a canonical link, a refresh redirect or a redirect to the plain spelling."""
+    """a, b: urls joined by a canonical link, a refresh redirect or a redirect to the plain spelling.
+
+    Link targets have a plain spelling of their own, so a page is met under any spelling of its url.
+    """
     url = F.col("url")
 
-    def absolute(target: Column) -> Column:
-        root = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
-        return (F.when(target.rlike(_ABSOLUTE), target)
-                .when(target.startswith("//"), F.concat(F.regexp_extract(url, r"(?s)^(.*?:)//", 1), target))
-                .when(target.startswith("/"), F.concat(root, target)))
-
-    canonical = F.regexp_extract(F.regexp_extract("html", _LINK, 0), _HREF, 1)
-    refresh = F.regexp_extract(F.regexp_extract("html", _REFRESH, 0), _TARGET, 1)
-    targets = F.array_compact(F.array(absolute(canonical), absolute(refresh), plain_spelling(url)))
-    rows = pages.filter(url.contains("://")).select(url.alias("a"), F.explode(targets).alias("b"))
-    return rows.filter(F.col("a") != F.col("b")).distinct()
+    def named(tag: str, attribute: str) -> Column:
+        value = F.regexp_extract(F.regexp_extract("html", tag, 0), attribute, 1)
+        return resolved(url, F.regexp_replace(value, _AMPERSAND, "&"))
+
+    targets = F.array_compact(F.array(named(_LINK, _HREF), named(_REFRESH, _TARGET), url))
+    rows = pages.filter(url.contains("://")).select("url", F.explode(targets).alias("target"))
+    target = F.col("target")
+    pairs = F.array(F.struct(url.alias("a"), target.alias("b")),
+                    F.struct(target.alias("a"), plain_spelling(target).alias("b")))
+    return rows.select(F.inline(pairs)).filter("a <> b").distinct()
 
 
 def own_rules(urls: DataFrame, rules: Iterable[Rule]) -> DataFrame:

@@ -5,7 +5,9 @@ import hashlib
 import random
 import re
 import zlib
+from urllib.parse import urljoin
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -76,6 +78,46 @@ def test_url_verdicts(spark):
     assert [verdict[k] for k in (4, 5, 6, 7, 8, 9, 11, 13, 14)] == ["block", "block", "block", "allow", "allow", "allow", "allow", "block", "block"]
 
 
+BASES = ["https://b.net/de/sub/p.html", "https://b.net/de/sub/", "http://b.net", "https://b.net?q=/x/y", "https://b.net/a/b/c?x#/y/z"]
+TARGETS = ["index.html", "../es/9", "../../../es/9", "./es/./9", "?p=2&x=3", "x/..", "x/.", "..", ".", "/de/../es/9?u=../v#w", "//net/es/x",
+           "a/../../b/", "http://b.net/es/1", "a..b/..c"]
+
+
+def test_targets_are_resolved(spark):
+    expected = {(b, t): urljoin(b, t) for b in BASES for t in TARGETS}
+    expected |= {(BASES[0], t): None for t in ("#top", "", "mailto:a@b.net")}
+    # Empty segments are segments (urljoin drops them).
+    expected |= {("https://b.net/a//b/c", "x"): "https://b.net/a//b/x", ("https://b.net/c", "/x//../y"): "https://b.net/x/y"}
+    df = spark.createDataFrame(list(expected), "u string, t string")
+    got = df.select("u", "t", url_rules.resolved(F.col("u"), F.col("t"))).collect()
+    assert {(r[0], r[1]): r[2] for r in got} == expected
+
+
+def test_aliases_by_any_spelling(spark):
+    """The SQL knows the same links; each of the pages 1 to 7 reaches a blocked page in another way."""
+    refresh = '<meta http-equiv="refresh" content="0; url={}">'
+    rows = [
+        (1, "https://b.net/de/1", LINK.format("../es/9")), (2, "https://b.net/de/a/2?x", refresh.format("../../es/index.html")),
+        (3, "https://b.net/de/3", LINK.format("https://b.net/es/?x=1&amp;y=2")), (4, "https://b.net/de/4", LINK.format("http://b.net/es/p/?utm_source=k")),
+        (5, "https://b.org/p", ""), (6, "https://b.org/es/6", LINK.format("http://b.org/p/?utm_source=k#f")),
+        (7, "https://b.org/d/7", LINK.format("?p=2")), (8, "https://b.org/d/7?p=2", LINK.format("//x.net/fr/./a")),
+        (9, "https://b.org/es/6", LINK.format("http://B.net/es/z")), (10, "https://b.org/d/10", LINK.format("mailto:x@b.net")), (11, None, None),
+        (12, "https://b.org/d/12", LINK.format("#es")), (13, "https://b.org/", refresh.format("x/../../y")), (14, "https://b.org/y/", ""),
+    ]
+    pages = pages_of(spark, rows)
+    edges = url_rules.link_edges(pages)
+    listed = [tuple(r) for r in edges.collect()]
+    assert {("https://b.org/", "https://b.org/y"), ("https://b.org/y/", "https://b.org/y"), ("https://b.net/de/3", "https://b.net/es/?x=1&y=2")} <= set(listed)
+    got = sorted((tuple(r) for r in url_rules.judge(pages, edges, URL_RULES).collect()), key=repr)
+    assert got == brute_verdicts(rows, listed)
+    assert {r[0] for r in got if r[4] == "block"} == set(range(1, 10))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    columns = "page_id, host, path, rule, verdict"
+    assert sorted(con.execute(f"SELECT {columns} FROM ({sql.URL_FILTERS})").fetchall(), key=repr) == got
+
+
 def test_no_pages(spark):
     none = pages_of(spark, [])
     assert url_rules.judge(none, url_rules.link_edges(none), URL_RULES).count() == 0
