@@ -1,4 +1,6 @@
 """Listing, detail, feed and statistics queries."""
+import functools
+
 from pyspark.sql import functions as F
 
 from checks.registry import flat, iso, query, ymd
@@ -6,8 +8,9 @@ from checks.tables_sql import with_views
 from checks.views import AS_OF
 from shelfwatch.constants import FACET_LIMITS, SITE_INDEX_ROWS
 from shelfwatch.operators.ranking import hash_sample, top_n, value_counts
-from shelfwatch.plans import categorise, crawl, details, listing, site_index, stats
+from shelfwatch.plans import categorise, crawl, details, listing, site_index, stats, title_index
 from shelfwatch.schemas import FeedFilter, ProductFilter, StoreFilter
+from shelfwatch.session import scratch_path
 
 _NOW = f"TIMESTAMP '{AS_OF} 00:00:00'"
 _STORE_SQL = f"""s.domain, s.name, s.country, s.currency, s.language, s.tld, {ymd('s.launch_date')} AS launch_date,
@@ -131,6 +134,39 @@ def f3_wildcard_search(v):
     return listing.filter_products(*tables(v), ProductFilter(q="d_r", store_count_min=2)).select("product_id")
 
 
+_SEARCHES = ("ring", "RED", "d_r", "me%in", "zzzz", "e")
+
+
+def _searched(spark, path):
+    found = [title_index.search_titles(spark, path, q).select(F.lit(q).alias("q"), "product_id") for q in _SEARCHES]
+    return functools.reduce(lambda a, b: a.unionByName(b), found)
+
+
+def _searches_sql(title):
+    listed = ", ".join(f"('{q}')" for q in _SEARCHES)
+    return f"SELECT q, product_id FROM products JOIN (VALUES {listed}) t(q) ON {title} ILIKE '%' || q || '%'"
+
+
+@query(with_views("products", _searches_sql("title")))
+def f3_title_index(v):
+    """Plain words, wildcards, a word nobody uses and one too short to look up."""
+    path = scratch_path(v.spark, "titles")
+    title_index.build_title_index(v.products, path)
+    return _searched(v.spark, path)
+
+
+@query(with_views("products", _searches_sql("CASE WHEN product_id % 3 = 0 THEN replace(title, 'r', 'ring') ELSE title END")))
+def f3_title_index_renamed(v):
+    """A third of the products come with a new title, another third for the first time, both twice."""
+    path = scratch_path(v.spark, "titles")
+    kind = F.pmod("product_id", F.lit(3))
+    title_index.build_title_index(v.products.filter(kind != 1), path)
+    title = F.when(kind == 0, F.replace("title", F.lit("r"), F.lit("ring"))).otherwise(F.col("title"))
+    for _ in range(2):
+        title_index.add_titles(v.products.filter(kind != 2).withColumn("title", title), path)
+    return _searched(v.spark, path)
+
+
 def _product_order(kind, sql_order):
     def run(v):
         return listing.page(listing.product_view(*tables(v)), listing.product_order(kind), 3, 20).select("product_id")
