@@ -1,15 +1,17 @@
 """Daily activity: as-of join, rollups, snapshots."""
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.registry import flat, iso, query, ymd
 from checks.tables_sql import with_views
-from checks.views import AS_OF, DAY
+from checks.views import AS_OF, DAY, SPLIT_DAY
 from shelfwatch.functions.policy import changed, day, since
-from shelfwatch.operators import rollup
+from shelfwatch.operators import price_history, rollup
 from shelfwatch.operators.joins import latest_prior
 from shelfwatch.operators.ranking import prev_value
 from shelfwatch.operators.state import replace_keys, snapshot_variants
-from shelfwatch.session import cut_lineage
+from shelfwatch.session import cut_lineage, scratch_path
 
 _D = f"DATE '{DAY}'"
 _CRAWLED = f"""crawled AS (SELECT store_id, max(observed_on) FILTER (observed_on < {_D}) AS previous_on
@@ -69,16 +71,32 @@ def a3_price_changes(v):
     return rollup.price_changes(products, as_variants(products), history(v), crawled(v), DAY)
 
 
-@query(with_views("obs", f"""WITH {_STATE} SELECT s.product_id, s.price_cents, p.price_cents AS previous, {ymd('p.observed_on')} AS previous_on
+_LATEST_PRIOR = with_views("obs", f"""WITH {_STATE} SELECT s.product_id, s.price_cents, p.price_cents AS previous, {ymd('p.observed_on')} AS previous_on
 FROM state s JOIN LATERAL (SELECT o.price_cents, o.observed_on FROM obs o
   WHERE o.store_id * 1000000000 + o.part_id = s.product_id AND o.observed_on < {_D}
-  ORDER BY o.observed_on DESC LIMIT 1) p ON TRUE"""))
+  ORDER BY o.observed_on DESC LIMIT 1) p ON TRUE""")
+
+
+@query(_LATEST_PRIOR)
 def j4_latest_prior(v):
     now = as_variants(until_day(v))
     out = latest_prior(now, history(v), "variant_id", "observed_on", "price_cents", day(DAY))
     return flat(out.select("product_id", "price_cents", "previous", "previous_on"))
 
 
+@query(_LATEST_PRIOR)
+def j4_latest_prior_bucketed(v):
+    """The history is written by halves, the newer half twice, and joined without moving it."""
+    table = f"history_{uuid.uuid4().hex}"
+    price_history.open_history(v.spark, table, scratch_path(v.spark, "history"), 8)
+    rows = history(v).withColumn("available", F.lit(True))
+    older = F.col("observed_on") < F.lit(SPLIT_DAY).cast("date")
+    for part in (older, ~older, ~older):
+        price_history.write_days(rows.filter(part), table, 8)
+    out = latest_prior(as_variants(until_day(v)), v.spark.table(table), "variant_id", "observed_on", "price_cents", day(DAY))
+    return flat(out.select("product_id", "price_cents", "previous", "previous_on"))
+
+
 @query(with_views("obs", f"""WITH {_CRAWLED}, {_STATE}, {_PRIOR},
 newp AS (SELECT store_id, count(*) AS n FROM state WHERE first_on = {_D} GROUP BY ALL),
 gone AS (SELECT s.store_id, count(*) AS n FROM state s JOIN crawled USING (store_id) WHERE last_on < {_D} AND last_on >= previous_on GROUP BY ALL),

@@ -36,8 +36,9 @@ def latest_prior(current: DataFrame, history: DataFrame, key: str, ts: str, valu
                  name: str = "previous") -> DataFrame:
     """As-of join: each current row with the last history value strictly before ``before``.
 
-    One row per key survives the map-side hash aggregate, so a long history never
-    travels; rows without any earlier observation drop out (inner join).
+    A history in the buckets of ``price_history`` stays where it lies; any other layout is
+    shuffled by key, with one row per key left of what a task reads.  Rows without any
+    earlier observation drop out (inner join).
     """
     last = (
         history.filter(F.col(ts) < before)
