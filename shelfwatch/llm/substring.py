@@ -131,7 +131,7 @@ def _wanted(h: np.ndarray, runs: list[dict], window: int) -> tuple[np.ndarray, n
 
 
 _SEGMENTS = pa.schema([("anchor", pa.int64()), ("segment", pa.binary()), ("words", pa.binary()), ("size", pa.int64()),
-                       ("doc_id", pa.int64()), ("h", pa.int64()), ("start", pa.int64())])
+                       ("doc_id", pa.int64()), ("h", pa.int64()), ("starts", pa.list_(pa.int64()))])
 
 
 def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -139,7 +139,10 @@ def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def segments(texts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """anchor, segment (digest), words (once per task, else null), size, doc_id, h, start.
+    """anchor, segment (digest), words (once per task, else null), size, doc_id, h, starts.
+
+    A segment that a document holds many times is one row with all its starts, so text that
+    repeats in itself travels once (a document of more than ``PENDING_ROWS`` segments may give it again).
 
     ``texts``: doc_id, h, text, runs.
     """
@@ -170,22 +173,28 @@ def segments(texts: DataFrame, window: int = WINDOW) -> DataFrame:
         rows, held = [], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
+                starts: dict[tuple[int, bytes], list[int]] = {}
                 for key, data, size, doc_id, h, start in cut(*row):
                     digest = hashlib.blake2b(data, digest_size=16).digest()
+                    if (key, digest) in starts:
+                        starts[key, digest].append(start)
+                        continue
+                    starts[key, digest] = [start]
                     new = digest not in seen
                     if new:
                         if len(seen) >= SEEN_SEGMENTS:
                             seen.clear()
                         seen.add(digest)
                         held += len(data)
-                    rows.append((key, digest, data if new else None, size, doc_id, h, start))
+                    rows.append((key, digest, data if new else None, size, doc_id, h, starts[key, digest]))
                     if len(rows) >= PENDING_ROWS or held >= PENDING_BYTES:
                         yield _as_batch(rows)
                         rows, held = [], 0
+                        starts.clear()
         if rows:
             yield _as_batch(rows)
 
-    return texts.mapInArrow(run, "anchor long, segment binary, words binary, size long, doc_id long, h long, start long")
+    return texts.mapInArrow(run, "anchor long, segment binary, words binary, size long, doc_id long, h long, starts array<long>")
 
 
 def _parts(hashes: np.ndarray, runs: list[dict], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -235,10 +244,12 @@ def repeated_spans(docs: DataFrame, profiles: DataFrame, window: int = WINDOW) -
     statistics = sharded.groupBy("shard").applyInPandas(
         lambda group: shard_statistics(group.sort_values(["anchor", "segment"], kind="stable").reset_index(drop=True), window),
         "anchor long, segment binary, first long, last long, smallest long")
-    lost = found.select("anchor", "segment", "doc_id", "h", "start").join(cut_lineage(statistics), ["anchor", "segment"]).filter(
+    lost = found.select("anchor", "segment", "doc_id", "h", "starts").join(cut_lineage(statistics), ["anchor", "segment"]).filter(
         "smallest < doc_id")
-    return lost.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(F.struct(
-        (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last") + window - 1).alias("last")))).alias("spans"))
+    spans = F.transform("starts", lambda s: F.struct(
+        (s + F.col("first")).alias("first"), (s + F.col("last") + window - 1).alias("last")))
+    return lost.select("doc_id", "h", spans.alias("spans")).groupBy("doc_id", "h").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
 
 
 def keep_words(words: list[bytes], spans: list[dict]) -> list[bytes]:

@@ -161,6 +161,24 @@ def test_substring_removal(docs, corpus, least, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted((r[:4] for r in want), key=repr)
 
 
+@pytest.mark.parametrize("pending", [10_000, 7])
+def test_substring_line_repeated_in_one_text(spark, pending, monkeypatch):
+    """A line over and over in many texts: a row per text and distinct window, not per window."""
+    monkeypatch.setattr(substring, "HOT_LEAST", 3)
+    monkeypatch.setattr(substring, "HOT_SHARE", 10**9)
+    monkeypatch.setattr(substring, "PENDING_ROWS", pending)
+    line = " ".join(f"w{i}" for i in range(12))
+    corpus = [(i, f"own{i} " + f"{line} " * (20 + i % 7) + " ".join(f"t{i}x{j}" for j in range(60)) + f" {line}" * (i % 9)) for i in range(30)]
+    corpus.append((7, corpus[7][1]))
+    docs = spark.createDataFrame(corpus, "doc_id long, text string")
+    want = brute_removal(corpus)
+    assert sorted(map(tuple, substring.removal_report(docs).collect())) == sorted(r[:4] for r in want)
+    runs = substring.candidate_windows(substring.profile(docs))
+    found = substring.segments(substring._keyed(docs).join(runs, ["doc_id", "h"]).select("doc_id", "h", "text", "runs"))
+    if pending > 7:
+        assert found.count() < 31 * 40 < found.selectExpr("sum(size(starts))").first()[0]
+
+
 def test_substring_texts(docs, corpus):
     cut = substring.remove_repeats(docs)
     assert cut.columns == docs.columns
