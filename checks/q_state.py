@@ -1,4 +1,6 @@
 """Table mutations."""
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.q_functions import NORMALIZE
@@ -7,7 +9,7 @@ from checks.tables_sql import with_views
 from checks.views import AS_OF, SPLIT_DAY
 from shelfwatch import constants as K
 from shelfwatch.functions.policy import day
-from shelfwatch.operators import buckets, state
+from shelfwatch.operators import buckets, price_history, retention, state
 from shelfwatch.plans.categorise import primary_category, refresh_primary
 from shelfwatch.session import scratch_path
 from shelfwatch.sources.certs import distinct_domains
@@ -229,6 +231,31 @@ def w10_prune(v):
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
+@query(with_views("spread", f"""SELECT canonical_id, {ymd('observed_on')} AS observed_on, store_count FROM spread
+WHERE observed_on >= DATE '{AS_OF}' - {K.SPREAD_KEEP_DAYS}"""))
+def w10_drop_days(v):
+    """Snapshots stored by day; expired days go by folder name, twice."""
+    path = scratch_path(v.spark, "spread")
+    state.write_partition(v.spread, path, "observed_on")
+    for _ in range(2):
+        retention.drop_days(v.spark, path, "observed_on", K.SPREAD_KEEP_DAYS, AS_OF)
+    stored = v.spark.read.schema("canonical_id long, store_count long, observed_on date").parquet(path)
+    return flat(stored, "canonical_id", "observed_on", "store_count")
+
+
+@query(with_views("obs", f"""SELECT part_id * 10000000 + store_id AS variant_id, {ymd('observed_on')} AS observed_on, price_cents FROM obs
+WHERE observed_on >= DATE '{AS_OF}' - {K.HISTORY_KEEP_DAYS}"""))
+def w10_drop_history_days(v):
+    """A history of months: whole months go by name, the month of the boundary is rewritten."""
+    table = f"history_{uuid.uuid4().hex}"
+    price_history.open_history(v.spark, table, scratch_path(v.spark, "history"), 8)
+    rows = v.obs.select((F.col("part_id") * 10_000_000 + F.col("store_id")).alias("variant_id"), "observed_on", "price_cents", F.lit(True).alias("available"))
+    price_history.write_days(rows, table, 8)
+    for _ in range(2):
+        price_history.drop_days(v.spark, table, 8, K.HISTORY_KEEP_DAYS, AS_OF)
+    return flat(v.spark.table(table), "variant_id", "observed_on", "price_cents")
+
+
 @query(with_views("products", """SELECT product_id, CASE WHEN image_url IS NOT NULL AND p_size <= 40 THEN substr(md5(handle), 1, 16) ELSE image_hash END AS image_hash,
 CASE WHEN p_size <= 40 THEN image_url END AS image_url FROM products"""))
 def w14_apply_hashes(v):

@@ -9,9 +9,12 @@ retention fits a task.
 """
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfwatch.operators.retention import delete_dates, first_kept, partition_dates
 from shelfwatch.session import cut_lineage
 
 COLUMNS = {"variant_id": "bigint", "price_cents": "bigint", "available": "boolean", "observed_on": "date", "month": "date"}
@@ -46,6 +49,34 @@ def write_days(snapshots: DataFrame, table: str, buckets: int) -> None:
     old = spark.table(table).filter(F.col("month").isin(months)).join(
         new.select("observed_on").distinct(), "observed_on", "left_anti").select(*COLUMNS)
     # Written aside first: the months that are read are the ones overwritten.
-    merged = cut_lineage(old.unionByName(new))
-    placed = merged.repartition(buckets, "variant_id").sortWithinPartitions("month", "variant_id")
-    placed.write.insertInto(table, overwrite=True)
+    _place(cut_lineage(old.unionByName(new)), table, buckets)
+
+
+def _place(rows: DataFrame, table: str, buckets: int) -> None:
+    """Overwrite the months of ``rows``, one file per month and bucket."""
+    rows.repartition(buckets, "variant_id").sortWithinPartitions("month", "variant_id").write.insertInto(table, overwrite=True)
+
+
+def drop_days(spark: SparkSession, table: str, buckets: int, keep_days: int, as_of) -> list[dt.date]:
+    """Drop what is older than the retention; returns the months that went whole.
+
+    Months before the boundary go by name.  The month the boundary falls in is rewritten, and
+    only if it still holds expired days: a second run touches nothing.
+    """
+    path = spark.sql(f"DESCRIBE FORMATTED {table}").filter("col_name = 'Location'").first()["data_type"]
+    cut = first_kept(keep_days, as_of)
+    boundary = cut.replace(day=1)
+    months = partition_dates(spark, path, "month")
+    gone = [m for m in months if m < boundary]
+    rows = spark.table(table).filter(F.col("month") == F.lit(boundary))
+    if boundary in months and not rows.filter(F.col("observed_on") < F.lit(cut)).isEmpty():
+        kept = cut_lineage(rows.filter(F.col("observed_on") >= F.lit(cut)).select(*COLUMNS))
+        if kept.isEmpty():
+            gone.append(boundary)
+        else:
+            _place(kept, table, buckets)
+    # Out of the catalog first: a folder that outlives a failure is found again by its name.
+    for month in gone:
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (month = DATE'{month}')")
+    delete_dates(spark, path, "month", gone)
+    return gone
