@@ -8,7 +8,7 @@ from checks.tables_sql import with_views
 from checks.views import AS_OF
 from shelfwatch.constants import FACET_LIMITS, SITE_INDEX_ROWS
 from shelfwatch.operators.ranking import hash_sample, top_n, value_counts
-from shelfwatch.plans import categorise, crawl, details, listing, site_index, stats, title_index
+from shelfwatch.plans import categorise, crawl, deep_pages, details, listing, site_index, stats, title_index
 from shelfwatch.schemas import FeedFilter, ProductFilter, StoreFilter
 from shelfwatch.session import scratch_path
 
@@ -189,6 +189,16 @@ def l3_products_by_spread(v):
     return listing.products_page(*tables(v), ProductFilter(q="ring"), "spread", 2)
 
 
+@query(with_views("product_view", """SELECT product_id, store_count FROM product_view
+ORDER BY store_count DESC NULLS LAST, product_id DESC LIMIT 20 OFFSET 1980"""))
+def l3_stored_deep_page(v):
+    """Page 100 of all products by spread, from a list stored in ranges of about a thousand rows."""
+    path, order = scratch_path(v.spark, "list"), listing.product_order("spread")
+    view = listing.product_view(*tables(v)).select("product_id", "store_count")
+    deep_pages.store_list(view, path, order, rows_per_part=1_000)
+    return deep_pages.stored_page(v.spark, path, view.schema, order, 100, 20)
+
+
 @query(with_views("product_view", f"SELECT count(*) AS total, 2 AS page, 24 AS per_page, greatest(1, CAST(ceil(count(*) / 24) AS BIGINT)) AS total_pages FROM product_view WHERE {_PRODUCT_WHERE}"))
 def a17_product_count(v):
     return listing.count_products(*tables(v), _PRODUCT_FILTER, 2)
