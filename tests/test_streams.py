@@ -82,3 +82,51 @@ def test_log_cursors_move_by_what_came(spark):
     assert fourth == {"https://a/1": 80, "b": 5} and sorted(r[2:] for r in rows) == [(0, 5), (60, 80)]
     again = sorted((r[0], *r[2:]) for r in CtLogReader(path, 30).readBetweenOffsets(start, fourth))
     assert again == [("b", 0, 5), ("https://a/1", 20, 40), ("https://a/1", 40, 50), ("https://a/1", 60, 80)]
+
+
+def test_many_keys_at_once_are_judged_as_one_by_one():
+    import pandas as pd
+
+    from shelfwatch.streaming.changes import judge_keys
+
+    rng, keep = random.Random(3), 40
+    days = {("a", None): {}, (None, "b"): {}, ("a", "b"): {}, (None, None): {}}
+    columns = ["x", "y", "day", "price", "missing", "seen"]
+    known = pd.DataFrame({c: [] for c in columns}).astype({"x": object, "y": object, "day": "int64", "price": "int64", "missing": bool, "seen": "int64"})
+    lates = 0
+    for _ in range(60):
+        rows, want = [], set()
+        for k in list(days):
+            fresh = {}
+            for _ in range(rng.randrange(5)):
+                d, p = rng.randrange(200), rng.choice([None, 1, 2, 2**60 + 1])
+                rows.append((*k, d, p or 0, p is None, 0))
+                fresh[at(d)] = min((x for x in (p, fresh.get(at(d))) if x is not None), default=None)
+            if fresh:
+                days[k], stated = judge(days[k], fresh, keep)
+                want |= {(*k, *s[:3], None if s[4] else s[3], s[4]) for s in stated}
+        given = pd.DataFrame(rows, columns=columns).astype(known.dtypes)
+        known, stated = judge_keys(known, given, ["x", "y"], keep)
+        got = {(r.x, r.y, at(r.day), None if r.missing else r.price, None if r.before_missing else r.before, None if r.late else r.is_change, r.late)
+               for r in stated.itertuples()}
+        assert got == {(*w[:6], w[6]) for w in want} and len(stated) == len(want)
+        assert {(r.x, r.y, at(r.day), None if r.missing else r.price) for r in known.itertuples()} == {
+            (*k, d, p) for k, of in days.items() for d, p in of.items()}
+        lates += int(stated["late"].sum())
+    assert lates
+
+
+def test_prices_of_many_keys_call_python_once_a_bucket(spark):
+    """A stream of 60,000 keys; null parts of keys, whole numbers beyond 2**53 and rows without a day among them."""
+    from pyspark.sql import functions as F
+
+    source, out, checkpoint = (scratch_path(spark, x) for x in ("obs", "changes", "cp"))
+    rows = spark.range(60_000).select(
+        F.when(F.col("id") != 7, F.col("id") + 2**60).alias("a"), F.lit("x").alias("b"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    rows = rows.select("a", "b", F.date_add(F.lit(DAY), F.col("k")).alias("observed_on"), (F.col("k") * 5 + 2**55).alias("price_cents"))
+    rows.unionByName(rows.limit(3).withColumn("observed_on", F.lit(None).cast("date"))).write.parquet(source)
+    price_change_stream(spark.readStream.schema(rows.schema).parquet(source), ["a", "b"], out, checkpoint, buckets=16).awaitTermination()
+    got = read_changes(spark, out, rows, ["a", "b"])
+    assert got.schema["a"].dataType == rows.schema["a"].dataType
+    assert got.filter("a is null").count() == 1
+    assert got.filter("price_cents - previous = 5").agg(F.count_distinct("a"), F.min("a")).first()[:] == (59_999, 2**60)
