@@ -173,8 +173,24 @@ def x11_embedding_text(v):
     return v.products.select("product_id", titles.embedding_text(_noisy_title(), F.col("product_type"), tags, F.col("vendor")).alias("text"))
 
 
-@query("""SELECT doc_id, regexp_replace(trim(regexp_replace(text, '[\\s,;|/·•\\-–—]{2,}', ' ', 'g'), ' ,;-'), '^\\s+|\\s+$', '', 'g') AS text FROM (
-SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)""" + _MEASURE + "', ' ', 'g'), '" + _MODEL + """', ' ', 'g') AS text FROM documents)""")
+# DuckDB's \b, \d and \s know ASCII only; the rule means letters, digits and spaces of any script.  Runs of other
+# word characters get an underscore and a noncharacter on both sides, so that \b sees word characters there.
+_OTHER_DIGITS = r"[^\x00-\x7F\PN\p{Nl}\p{No}]+"
+_OTHER_WORDS = (r"(?:[^\x00-\x7F\PL]|[\p{Nl}\p{M}\x{203F}\x{2040}\x{2054}\x{FE33}\x{FE34}\x{FE4D}-\x{FE4F}\x{FF3F}\x{200C}\x{200D}"
+                r"\x{24B6}-\x{24E9}\x{1F130}-\x{1F149}\x{1F150}-\x{1F169}\x{1F170}-\x{1F189}])+")
+_ANY_SPACE = r"\t-\r \x{85}\p{Z}"
+_ANY_MEASURE = _MEASURE.replace(r"\d+", r"(?:[0-9]|_\x{FDD0}\p{Nd}+\x{FDD1}_)+").replace(r"\s", f"[{_ANY_SPACE}]")
+_ANY_PUNCT = K.PUNCT_RUN_PATTERN.replace(r"\s", _ANY_SPACE)
+_EDGES = "|".join((rf"^[{_ANY_SPACE}\x1C-\x1F]+", rf"[{_ANY_SPACE}\x1C-\x1F]+$"))
+
+
+def _around(text: str, pattern: str) -> str:
+    return f"regexp_replace({text}, '({pattern})', '_' || chr(64976) || '\\1' || chr(64977) || '_', 'g')"
+
+
+@query(f"""SELECT doc_id, regexp_replace(trim(regexp_replace(text, '{_ANY_PUNCT}', ' ', 'g'), ' ,;-'), '{_EDGES}', '', 'g') AS text FROM (
+SELECT doc_id, replace(replace(regexp_replace(regexp_replace(text, '(?i){_ANY_MEASURE}', ' ', 'g'), '{_MODEL}', ' ', 'g'), '_' || chr(64976), ''), chr(64977) || '_', '') AS text
+FROM (SELECT doc_id, {_around(_around("coalesce(text, '')", _OTHER_DIGITS), _OTHER_WORDS)} AS text FROM documents))""")
 def n2_clean_documents(v):
     """Title cleaning over the whole text of every document."""
     return v.table("documents").select("doc_id", titles.clean_title(F.col("text")).alias("text"))

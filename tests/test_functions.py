@@ -86,3 +86,24 @@ def test_cursor(spark):
 @pytest.mark.parametrize("text,want", [("2024-01-02T03:04:05Z", 1704164645), ("2024-01-02T03:04:05+01:00", 1704161045), ("soon", None), ("2024", None)])
 def test_parse_ts(spark, text, want):
     assert run(spark, lambda c: F.unix_seconds(catalog.parse_ts(c)), [text]) == [want]
+
+
+def test_document_cleaning_sql_knows_every_script(spark, tmp_path):
+    """The SQL and the query agree where letters, digits and spaces beyond ASCII meet a pattern."""
+    import duckdb
+
+    from checks.all import QUERIES, SQL
+    from checks.views import Views
+
+    texts = ["212.161 in\u00dflich", "\u00df5 cm", "5\u00a0cm x", "\u0663 cm b", "a \u0663\u0664x7 mm", "7 cm\u00e9", '5"\u00e9t', "ABC12\u00e9", "\u00c9ABC12",
+             "ABC12\u0663", "ABC12-\u00e9", "e\u0301 5 m", "5 m\u0301", "\u2003x\u2003", "x\u2028", "a\u00a0,\u00a0b", "snake_5 cm", "\u5b575 cm", "3\u00d74 cm",
+             "\u203f5 cm", "\u24b65 cm", "\u00bd5 cm", "x y", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    folder = tmp_path / "d"
+    rows.select("doc_id", "text", *[F.lit(None).cast(k).alias(c) for c, k in (("lang", "string"), ("source", "string"), ("n_chars", "long"))]).coalesce(1).write.parquet(str(folder / "documents.parquet"))
+    got = {r["doc_id"]: r["text"] for r in QUERIES["n2_clean_documents"](Views(spark, str(folder))).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    want = dict(con.execute(SQL["n2_clean_documents"]).fetchall())
+    assert {i: (texts[i], got[i], want[i]) for i in got if got[i] != want[i]} == {}
+    assert got[0] == "212.161 in\u00dflich" and got[2] == "x"
