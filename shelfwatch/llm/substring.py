@@ -41,6 +41,7 @@ SHARD_WORDS = 500_000
 HOT_SHARE, HOT_LEAST = 1_000, 2_000
 SEEN_SEGMENTS = 200_000
 PENDING_ROWS, PENDING_BYTES = 10_000, 8 * 2**20  # of segments before a task hands them on
+PENDING_ANCHORS = 200_000  # counted by a task before it hands them on
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -138,6 +139,25 @@ def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SEGMENTS)], schema=_SEGMENTS)
 
 
+def anchor_counts(batches: Iterator[pa.RecordBatch], window: int = WINDOW) -> Iterator[pa.RecordBatch]:
+    """anchor, n of the segments of rows doc_id, h, text, runs: added up in the task, so what its documents share is one row."""
+    held: dict[int, int] = {}
+
+    def handed_on() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int64()), pa.array(held.values(), pa.int64())], names=["anchor", "n"])
+
+    for batch in batches:
+        for text, runs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            anchors, n = np.unique(_wanted(word_hashes(split_words(text)), runs, window)[0].view(np.int64), return_counts=True)
+            for anchor, k in zip(anchors.tolist(), n.tolist()):
+                held[anchor] = held.get(anchor, 0) + k
+            if len(held) >= PENDING_ANCHORS:
+                yield handed_on()
+                held.clear()
+    if held:
+        yield handed_on()
+
+
 def segments(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     """anchor, segment (digest), words (once per task, else null), size, doc_id, h, starts.
 
@@ -148,13 +168,8 @@ def segments(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     short = min(SHORT_ANCHOR, window)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [_wanted(word_hashes(split_words(t)), r, window)[0] for t, r in
-                     zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["anchor"])
-
-    per = cut_lineage(texts.mapInArrow(count, "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")))
+    per = cut_lineage(texts.mapInArrow(lambda batches: anchor_counts(batches, window), "anchor long, n long").groupBy("anchor").agg(
+        F.sum("n").alias("n")))
     total = per.agg(F.sum("n")).first()[0] or 0
     hot = {r["anchor"] for r in per.filter(F.col("n") > max(total // HOT_SHARE, HOT_LEAST)).select("anchor").collect()}
 

@@ -426,3 +426,22 @@ def test_pipeline_stages(spark):
         assert (r.doc_id not in left) == any(tuple(w[k:k + 13]) in grams for k in range(len(w) - 12))
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
     assert {r.doc_id: r.decoded_sha256 for r in last} == {r.doc_id: hashlib.sha256((r.text or "").encode()).hexdigest() for r in docs.collect()}
+
+
+def test_anchors_of_a_shared_passage_are_counted_in_the_task(monkeypatch):
+    import pyarrow as pa
+
+    from shelfwatch.llm import substring
+
+    passage = " ".join(f"w{k}" for k in range(120))
+    texts = [f"{passage} own{d} {passage}" for d in range(40)]
+    runs = [[{"first": 0, "last": len(t.split()) - substring.WINDOW}] for t in texts]
+    rows = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "h": list(range(40)), "text": texts, "runs": runs})
+    every = [int(a) for t, r in zip(texts, runs) for a in substring._wanted(substring.word_hashes(substring.split_words(t)), r, substring.WINDOW)[0].view("int64")]
+    for limit in (substring.PENDING_ANCHORS, 5):
+        monkeypatch.setattr(substring, "PENDING_ANCHORS", limit)
+        out = [(a, n) for batch in substring.anchor_counts(iter([rows, rows])) for a, n in zip(*(c.to_pylist() for c in batch.columns))]
+        summed = {a: sum(n for b, n in out if b == a) for a, _ in out}
+        assert summed == {a: 2 * every.count(a) for a in every}
+        if limit > 5:
+            assert len(out) == len(summed) < len(every) / 20
