@@ -88,11 +88,12 @@ def j4_latest_prior(v):
 def j4_latest_prior_bucketed(v):
     """The history is written by halves, the newer half twice, and joined without moving it."""
     table = f"history_{uuid.uuid4().hex}"
-    price_history.open_history(v.spark, table, scratch_path(v.spark, "history"), 8)
     rows = history(v).withColumn("available", F.lit(True))
+    buckets = price_history.buckets_for(rows.count())
+    price_history.open_history(v.spark, table, scratch_path(v.spark, "history"), buckets)
     older = F.col("observed_on") < F.lit(SPLIT_DAY).cast("date")
     for part in (older, ~older, ~older):
-        price_history.write_days(rows.filter(part), table, 8)
+        price_history.write_days(rows.filter(part), table, buckets)
     out = latest_prior(as_variants(until_day(v)), v.spark.table(table), "variant_id", "observed_on", "price_cents", day(DAY))
     return flat(out.select("product_id", "price_cents", "previous", "previous_on"))
 

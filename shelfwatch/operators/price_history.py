@@ -4,8 +4,8 @@ One partition per month, each hashed into the same buckets of ``variant_id``: th
 and the join of ``joins.latest_prior`` run bucket by bucket, and only the current rows are
 shuffled to the history's buckets.  Writing days rewrites their months without the days'
 earlier rows, so a repeated write changes nothing and a month has one file per bucket.
-``buckets`` is fixed for the life of a table: choose it so that one bucket of the whole
-retention fits a task.
+``buckets`` is fixed for the life of a table: one bucket of the whole retention must fit a task,
+``buckets_for`` gives the number for the rows that the retention will hold.
 """
 from __future__ import annotations
 
@@ -19,6 +19,16 @@ from shelfwatch.session import cut_lineage
 
 COLUMNS = {"variant_id": "bigint", "price_cents": "bigint", "available": "boolean", "observed_on": "date", "month": "date"}
 
+ROWS_PER_BUCKET = 2_000_000
+
+
+def buckets_for(rows: int, least: int = 8) -> int:
+    """``least``, doubled until a bucket has no more than ``ROWS_PER_BUCKET`` of ``rows`` on average."""
+    buckets = least
+    while buckets * ROWS_PER_BUCKET < rows:
+        buckets *= 2
+    return buckets
+
 
 def open_history(spark: SparkSession, table: str, path: str, buckets: int) -> DataFrame:
     """The history under ``path`` as ``table``; made if absent, its months found anew in a new session."""

@@ -61,3 +61,10 @@ def test_days_are_replaced(spark, history):
     again = f"history_{uuid.uuid4().hex}"
     assert price_history.open_history(spark, again, path, 4).count() == 4
     spark.sql(f"DROP TABLE {again}")
+
+
+def test_buckets_follow_the_rows():
+    from shelfwatch.operators.price_history import ROWS_PER_BUCKET, buckets_for
+
+    assert [buckets_for(n) for n in (0, 8 * ROWS_PER_BUCKET, 8 * ROWS_PER_BUCKET + 1)] == [8, 8, 16]
+    assert all(n / buckets_for(n) <= ROWS_PER_BUCKET for n in (10**6, 36 * 10**6, 216 * 10**6, 10**10))
