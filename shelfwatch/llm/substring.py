@@ -72,11 +72,20 @@ def anchor_runs(h: np.ndarray, window: int, size: int) -> tuple[np.ndarray, np.n
     return grams[place[first]], first, np.concatenate([first[1:], [len(views)]]) - 1
 
 
+def anchor_places(h: np.ndarray, window: int, size: int) -> tuple[list[int], list[list[int]], list[list[int]]]:
+    """Every distinct anchor hash once, with the first and last window starts of all its runs."""
+    anchors, first, last = anchor_runs(h, window, size)
+    order = np.argsort(anchors, kind="stable")
+    distinct, at = np.unique(anchors[order], return_index=True)
+    split = lambda starts: [part.tolist() for part in np.split(starts[order], at[1:])] if len(distinct) else []
+    return distinct.view(np.int64).tolist(), split(first), split(last)
+
+
 _PROFILE = pa.schema([
     ("doc_id", pa.int64()), ("h", pa.int64()), ("n_words", pa.int64()), ("sha256", pa.string()),
-    ("anchors", pa.list_(pa.int64())), ("first", pa.list_(pa.int32())), ("last", pa.list_(pa.int32())),
+    ("anchors", pa.list_(pa.int64())), ("first", pa.list_(pa.list_(pa.int32()))), ("last", pa.list_(pa.list_(pa.int32()))),
 ])
-_PROFILE_DDL = "doc_id long, h long, n_words long, sha256 string, anchors array<long>, first array<int>, last array<int>"
+_PROFILE_DDL = "doc_id long, h long, n_words long, sha256 string, anchors array<long>, first array<array<int>>, last array<array<int>>"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -85,7 +94,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def profile(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Word count, digest of all words and anchor runs of every row."""
+    """Word count, digest of all words and anchors of every row, an anchor once with all its runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,10 +102,9 @@ def profile(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 words = split_words(text)
                 anchors, first, last = (
-                    anchor_runs(word_hashes(words), window, min(ANCHOR, window)) if doc_id is not None and len(words) >= window
-                    else (np.zeros(0, np.uint64),) * 3)
-                rows.append((len(words), hashlib.sha256(b" ".join(words)).hexdigest(), anchors.view(np.int64),
-                             first.astype(np.int32), last.astype(np.int32)))
+                    anchor_places(word_hashes(words), window, min(ANCHOR, window)) if doc_id is not None and len(words) >= window
+                    else ([], [], []))
+                rows.append((len(words), hashlib.sha256(b" ".join(words)).hexdigest(), anchors, first, last))
             columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), list(_PROFILE)[2:])] if rows else []
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], schema=_PROFILE)
@@ -110,12 +118,16 @@ def _between_documents(runs: DataFrame) -> DataFrame:
 
 
 def candidate_windows(profiles: DataFrame) -> DataFrame:
-    """doc_id, h, runs: the window starts whose anchor another document holds."""
+    """doc_id, h, runs: the window starts whose anchor another document holds.
+
+    Text that repeats in itself is one row per anchor with all its runs, not one per repeat.
+    """
     runs = profiles.filter(F.size("anchors") > 0).select("doc_id", "h", F.explode(F.arrays_zip("anchors", "first", "last")).alias("r")).select(
         "doc_id", "h", F.col("r.anchors").alias("anchor"), F.col("r.first").alias("first"), F.col("r.last").alias("last"))
     shared = small(cut_lineage(_between_documents(runs)))
+    places = F.arrays_zip("first", "last")
     return runs.join(shared, "anchor", "left_semi").groupBy("doc_id", "h").agg(
-        F.sort_array(F.collect_set(F.struct("first", "last"))).alias("runs"))
+        F.flatten(F.collect_list(places)).alias("runs"))
 
 
 def _wanted(h: np.ndarray, runs: list[dict], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -161,6 +161,24 @@ def test_substring_removal(docs, corpus, least, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted((r[:4] for r in want), key=repr)
 
 
+def test_anchors_of_a_text_that_repeats_in_itself_are_one_row(spark):
+    """What a document repeats adds runs to its anchors, not rows to the join on them."""
+    line = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, " ".join([line] * 200)), (2, line), (3, None)], "doc_id long, text string")
+    profiles = substring.profile(docs).collect()
+    assert all(len(r["anchors"]) == len(set(r["anchors"])) <= 60 for r in profiles)
+    found = {r["doc_id"]: sorted(tuple(p) for p in r["runs"]) for r in substring.candidate_windows(substring.profile(docs)).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert set(found) == {1, 2}
+    for doc_id, runs in found.items():
+        h = substring.word_hashes(substring.split_words(texts[doc_id]))
+        other = substring.word_hashes(substring.split_words(texts[3 - doc_id]))
+        shared = set(substring.anchor_runs(other, 50, 25)[0].tolist())
+        assert runs == [(a, b) for g, a, b in zip(*(x.tolist() for x in substring.anchor_runs(h, 50, 25))) if g in shared]
+    removed = {r["doc_id"]: r["n_removed"] for r in substring.removal_report(docs).collect()}
+    assert removed == {1: 0, 2: 60, 3: 0}
+
+
 @pytest.mark.parametrize("pending", [10_000, 7])
 def test_substring_line_repeated_in_one_text(spark, pending, monkeypatch):
     """A line over and over in many texts: a row per text and distinct window, not per window."""
