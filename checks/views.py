@@ -5,6 +5,7 @@ pairs are listings, ship dates are observation days.
 """
 from __future__ import annotations
 
+import math
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from shelfwatch.sources.tables import load
 AS_OF = "2001-10-15"
 DAY = "2001-06-15"
 SPLIT_DAY = "2000-01-01"
+ROWS_PER_TASK = 100_000
 
 
 class Views:
@@ -30,13 +32,23 @@ class Views:
 
     # --- observations and listings -------------------------------------------
     @cached_property
-    def obs(self) -> DataFrame:
-        """One price per (store, part, day)."""
+    def items(self) -> DataFrame:
+        """Line items dealt by part: groups and joins on the part, with whatever else, need no further exchange.
+
+        The number of tasks follows the rows, so a task's maps and sorts are as large at any size of the table.
+        """
+        items = self.table("lineitem")
+        tasks = max(2, math.ceil(items.count() / ROWS_PER_TASK))
         price = F.round(F.col("l_extendedprice") / F.col("l_quantity") * 100).cast("long")
-        return self.table("lineitem").groupBy(
+        return items.select(
             F.col("l_suppkey").alias("store_id"), F.col("l_partkey").alias("part_id"),
-            F.col("l_shipdate").cast("date").alias("observed_on"),
-        ).agg(F.min(price).alias("price_cents"))
+            F.col("l_shipdate").cast("date").alias("observed_on"), price.alias("price_cents"),
+        ).repartition(tasks, "part_id")
+
+    @cached_property
+    def obs(self) -> DataFrame:
+        """One price per (store, part, day)."""
+        return self.items.groupBy("store_id", "part_id", "observed_on").agg(F.min("price_cents").alias("price_cents"))
 
     def listings(self, obs: DataFrame) -> DataFrame:
         per = obs.groupBy("store_id", "part_id").agg(
@@ -129,7 +141,7 @@ class Views:
     @cached_property
     def pairs(self) -> DataFrame:
         """Ids of all listings without their attributes."""
-        pairs = self.table("lineitem").select(F.col("l_suppkey").alias("store_id"), F.col("l_partkey").alias("part_id")).distinct()
+        pairs = self.items.select("store_id", "part_id").distinct()
         return pairs.withColumn("product_id", F.col("store_id") * 1000000000 + F.col("part_id"))
 
     @cached_property
@@ -140,11 +152,12 @@ class Views:
     def spread(self) -> DataFrame:
         """Month-end snapshots of the stores that listed a group in the month."""
         monthly = self.obs.join(self.groups, "part_id").groupBy(
-            "canonical_id", F.last_day("observed_on").alias("observed_on"), "store_id"
+            "part_id", "canonical_id", F.last_day("observed_on").alias("observed_on"), "store_id"
         ).agg(F.min("price_cents").alias("lo"), F.max("price_cents").alias("hi"))
-        return monthly.groupBy("canonical_id", "observed_on").agg(
+        # A group is a part: with the part among the keys its rows stay where they are.
+        return monthly.groupBy("part_id", "canonical_id", "observed_on").agg(
             F.count(F.lit(1)).alias("store_count"), F.min("lo").alias("min_price_cents"), F.max("hi").alias("max_price_cents")
-        ).filter("store_count > 1")
+        ).filter("store_count > 1").drop("part_id")
 
     @staticmethod
     def _hash():

@@ -49,3 +49,20 @@ def test_catalog_elements_are_cast_once(spark):
     pages = spark.createDataFrame([], "store_id long, page_no int, body string")
     products, _ = catalog_json.normalize_catalog(catalog_json.parse_catalog_pages(pages))
     assert products._jdf.queryExecution().optimizedPlan().toString().count("try_variant_get") <= 40
+
+
+def test_line_items_are_dealt_once_and_tasks_follow_their_number(spark, monkeypatch):
+    from checks import views
+
+    monkeypatch.setattr(views, "ROWS_PER_TASK", 1_000)
+    v = Views(spark, SMALL)
+    assert v.obs.rdd.getNumPartitions() == -(-v.table("lineitem").count() // 1_000)
+    part_by_broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # One exchange of line items; the other side of a join on the part is a table of parts.
+        assert plan(v.products).count("Exchange hashpartitioning") == 2
+        assert plan(v.matches).count("Exchange hashpartitioning") == 2
+        assert plan(v.spread).count("Exchange hashpartitioning") == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", part_by_broadcast)
