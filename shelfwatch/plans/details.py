@@ -5,7 +5,7 @@ whatever the size of the group behind them.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwatch.constants import CHART_DAYS
@@ -14,7 +14,7 @@ from shelfwatch.functions.policy import since
 from shelfwatch.operators.joins import resolve_canonical
 from shelfwatch.operators.ranking import top_n, value_counts
 from shelfwatch.plans.listing import (
-    in_visible_stores, iso, iso_day, product_order, product_summary, product_view, store_summary_columns, with_recent_activity,
+    in_visible_stores, iso, iso_day, latest_spread, product_order, product_summary, product_view, store_summary_columns, with_recent_activity,
 )
 
 
@@ -108,28 +108,39 @@ def first_store_count(history: DataFrame) -> DataFrame:
     return history.groupBy("product_id").agg(F.min_by("store_count", "observed_on").alias("was_in_stores"))
 
 
+def with_siblings(shown: DataFrame, n: int) -> DataFrame:
+    """Products of visible stores with the cheapest n of their group; products without a ``_group`` are in no list."""
+    group = Window.partitionBy("canonical_id")
+    matched = F.col("_group").isNotNull()
+    order = [matched.desc(), F.col("price_cents").asc_nulls_last(), F.col("product_id").asc()]
+    listed = F.struct(
+        F.col("store_domain"), F.col("store_name"), F.col("store_country"), F.col("product_id"), F.col("handle"),
+        to_units(F.col("price_cents")).alias("price"), F.col("currency"), iso(F.col("first_seen_at")).alias("first_seen_at"))
+    ranked = shown.withColumn("_rank", F.row_number().over(group.orderBy(*order)))
+    cheapest = F.collect_list(F.when(matched & (F.col("_rank") <= n), F.struct("_rank", listed.alias("v")))).over(group)
+    return ranked.withColumn("listings", F.transform(F.sort_array(cheapest), lambda e: e["v"])).drop("_rank")
+
+
 def product_details(
     products, stores, variants, matches, spread, as_of, days: int = CHART_DAYS, n_variants: int = 60, n_listings: int = 60,
 ) -> DataFrame:
     """One row per given product of a visible store: its summary, tags, type, variants[], listings[] and spread_history[]."""
-    base = resolve_canonical(product_view(products, stores, matches, spread), matches)
+    shown = in_visible_stores(products, stores).join(
+        matches.select("product_id", F.col("canonical_id").alias("_group")), "product_id", "left"
+    ).withColumn("canonical_id", F.coalesce("_group", "product_id"))
     options = collect_ranked(
         variants.join(products.select("product_id"), "product_id", "left_semi"), "product_id",
         [F.col("price_cents").asc_nulls_last(), F.col("variant_id").asc()], n_variants,
         [F.col("title"), to_units(F.col("price_cents")).alias("price"), F.col("available")], "variants",
     )
-    # Listings and history belong to the group: build them once per group, then hand them out.
-    groups = resolve_canonical(products.select("product_id"), matches).select("canonical_id").distinct()
-    siblings = collect_sorted(
-        group_listings(matches.join(groups, "canonical_id", "left_semi"), products, stores, n_listings), "canonical_id", "listing_rank",
-        [F.col("store_domain"), F.col("store_name"), F.col("store_country"), F.col("product_id"), F.col("handle"),
-         to_units(F.col("price_cents")).alias("price"), F.col("currency"), iso(F.col("first_seen_at")).alias("first_seen_at")], "listings",
-    )
+    # Listings, spread and history belong to the group: products meet there once, and its listings are taken from them.
+    full = with_siblings(shown.join(options, "product_id", "left"), n_listings)
     history = collect_sorted(
-        spread.filter(since(F.col("observed_on"), days, as_of)).join(groups, "canonical_id", "left_semi"),
-        "canonical_id", "observed_on", [iso_day(F.col("observed_on")).alias("date"), F.col("store_count")], "spread_history",
+        spread.filter(since(F.col("observed_on"), days, as_of)), "canonical_id", "observed_on",
+        [iso_day(F.col("observed_on")).alias("date"), F.col("store_count")], "spread_history",
     )
-    full = base.join(options, "product_id", "left").join(siblings, "canonical_id", "left").join(history, "canonical_id", "left")
+    full = full.join(latest_spread(spread), "canonical_id", "left").join(history, "canonical_id", "left").withColumns(
+        {c: F.when(F.col("_group").isNotNull(), F.col(c)) for c in ("store_count", "spread_min", "spread_max")})
     return product_summary(
         full.withColumn("tags", F.coalesce("tags", F.array().cast("array<string>"))).withColumns(
             {c: F.coalesce(c, F.array()) for c in ("variants", "listings", "spread_history")}),

@@ -66,3 +66,24 @@ def test_line_items_are_dealt_once_and_tasks_follow_their_number(spark, monkeypa
         assert plan(v.spread).count("Exchange hashpartitioning") == 2
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", part_by_broadcast)
+
+
+def test_details_take_listings_from_the_products_they_show(spark):
+    from checks.views import AS_OF
+    from shelfwatch.plans import details
+
+    v = Views(spark, SMALL)
+    text = plan(details.product_details(
+        v.products.withColumn("tags", F.array("vendor")), v.stores, v.variants, v.matches, v.spread, AS_OF))
+    assert text.count("supplier.parquet") == 1
+
+
+def test_products_without_a_group_are_in_no_list(spark):
+    from shelfwatch.plans import details
+
+    rows = [(1, None, 1, 5), (2, 1, 1, 7), (3, 1, 1, 6), (4, None, 4, 1)]
+    shown = spark.createDataFrame(rows, "product_id long, _group long, canonical_id long, price_cents long").select(
+        "*", *[F.lit("x").alias(c) for c in ("store_domain", "store_name", "store_country", "handle", "currency")],
+        F.lit("2001-01-01").cast("timestamp").alias("first_seen_at"))
+    found = {r["product_id"]: [x["product_id"] for x in r["listings"]] for r in details.with_siblings(shown, 1).collect()}
+    assert found == {1: [3], 2: [3], 3: [3], 4: []}
