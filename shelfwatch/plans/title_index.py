@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from shelfwatch.operators.buckets import bucket_of, merge_buckets, read_buckets, write_buckets
 from shelfwatch.operators.state import replace_keys
 from shelfwatch.plans.listing import escape_like
+from shelfwatch.session import cut_lineage
 
 GRAM = 3
 RAREST = 4
@@ -62,8 +63,11 @@ def _append_postings(titles: DataFrame, path: str) -> None:
 
 
 def build_title_index(products: DataFrame, path: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> None:
-    """Index the titles of ``products`` (unique product_id) under a new path."""
-    titles = products.select("product_id", "title")
+    """Index the titles of ``products`` (unique product_id) under a new path.
+
+    Titles are stored first: counting, ranging and writing read them several times.
+    """
+    titles = cut_lineage(products.select("product_id", "title"))
     buckets = max(1, math.ceil(titles.count() / rows_per_bucket))
     layout = products.sparkSession.range(1).select(F.lit(buckets).alias("buckets"), F.lit(dict(titles.dtypes)["product_id"]).alias("id_type"))
     layout.coalesce(1).write.parquet(f"{path}/layout")
@@ -83,7 +87,7 @@ def add_titles(products: DataFrame, path: str) -> None:
     repeated after a failure changes no result.
     """
     buckets, titles, _ = _layout(products.sparkSession, path)
-    batch = products.select("product_id", "title")
+    batch = cut_lineage(products.select("product_id", "title"))
     merge_buckets(products.sparkSession, f"{path}/titles", titles, batch, "product_id",
                   lambda old, new: replace_keys(old, new, ["product_id"]), buckets)
     _append_postings(batch, path)

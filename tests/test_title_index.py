@@ -68,3 +68,20 @@ def test_empty_table(spark):
 
 def test_literal_runs():
     assert title_index.literal_runs(r"%ab\%c_d%") == ["ab%c", "d"] and title_index.literal_runs("%%") == []
+
+
+def test_products_are_read_once_per_batch(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    products = spark.range(50).selectExpr("id AS product_id", "'red ring' AS title").mapInPandas(seen, "product_id long, title string")
+    path = str(tmp_path / "index")
+    title_index.build_title_index(products, path)
+    assert read.value == 50
+    title_index.add_titles(products, path)
+    assert read.value == 100
+    assert title_index.search_titles(spark, path, "ring").count() == 50
