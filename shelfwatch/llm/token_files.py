@@ -41,7 +41,7 @@ DICTIONARY_BYTES = 64 * 1024
 SAMPLE_DOCS = 512
 SAMPLE_PIECE = 4 * 1024
 LEVEL = 3
-CACHED_WORDS, CACHED_PIECES = 600_000, 200_000
+CACHED_WORDS, CACHED_PIECES = 200_000, 400_000
 INDEX_DDL = (
     "doc_id long, part int, place long, file string, offset long, length long, n_tokens long, local_start long, "
     "dictionary_sha256 string"
@@ -52,16 +52,17 @@ INDEX = pa.schema([
 ])
 
 
-# Words of printable ASCII and precomposed Latin-1 letters need no normalisation but lower case.
-PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-PLAIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+# Texts of printable ASCII, precomposed Latin-1 letters and blanks need no normalisation but lower case.
+PLAIN = re.compile("[ \t-\r!-~À-ÖØ-öø-ÿ]*")
+PLAIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9 \t-\r]+")
 
 
 class WordEncoder:
-    """Encodes a text word by word for tokenizers that drop white space and never join across it.
+    """Encodes a text piece by piece for tokenizers that drop white space and never join across it.
 
-    A word's ids are kept as bytes while it is cached, so a text is one join.  ``word_wise``
-    tells whether a tokenizer is of that kind; others encode whole texts.
+    The ids of a piece of a plain text, or of a word of any other, are kept as bytes while they are
+    cached, so a text is one join.  ``word_wise`` tells whether a tokenizer is of that kind, ``plain``
+    whether its pieces are those of ``PLAIN_PIECES``; others encode whole texts.
     """
 
     def __init__(self, path: str):
@@ -70,9 +71,10 @@ class WordEncoder:
         self.word_wise = self._is_word_wise()
         spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.spelling = {c: spell(chr(c))[0][0] for c in (*range(33, 127), *range(0xC0, 0x100))}
+        self.packed = [self._packed([i]) for i in range(self.tokenizer.get_vocab_size())]
         self.pieces = Memo(self._piece, CACHED_PIECES)
-        self.plain = self.word_wise and self._is_plain()
         self.words = Memo(self._word, CACHED_WORDS)
+        self.plain = self.word_wise and self._is_plain()
 
     def _raw(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -85,30 +87,40 @@ class WordEncoder:
         )
 
     def _is_plain(self) -> bool:
-        """Whether plain words may go straight to the tokenizer's merge model, tried on every plain character."""
-        probe = [*map(chr, self.spelling), "Plain,", "It's", "don'T", "x1y22", "ÉÀ.ß", "a''s", "(É)", "...'ll"]
+        """Whether pieces of plain texts may go straight to the tokenizer's merge model, tried on every plain character."""
+        if any(self.spelling[c] != chr(c) for c in range(33, 127)):
+            return False
+        probe = [*map(chr, self.spelling), "Plain,", "It's", "don'T", "x1y22", "ÉÀ.ß", "a''s", "(É)", "...'ll",
+                 " It's\t(x1) 'S\r\n\x0b\x0cÉ,, 'll 9.5% "]
         return all(self._by_model(w) == self._packed(ids) for w, ids in zip(probe, self._raw(probe)))
 
     def _packed(self, ids: list[int]) -> bytes:
         return np.array(ids, self.width).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        return self._packed([t.id for t in self.tokenizer.model.tokenize(piece.translate(self.spelling))])
+        spelt = piece if piece.isascii() else piece.translate(self.spelling)
+        return b"".join([self.packed[t.id] for t in self.tokenizer.model.tokenize(spelt)])
 
-    def _by_model(self, word: str) -> bytes:
-        """Ids of a plain word by the merge model alone."""
-        return b"".join(map(self.pieces.__getitem__, PLAIN_PIECES.findall(word.lower())))
+    def _by_model(self, text: str) -> bytes:
+        """Ids of a plain text by the merge model alone."""
+        return b"".join(map(self.pieces.__getitem__, PLAIN_PIECES.findall(text.lower())))
 
     def _word(self, data: bytes) -> bytes:
         word = data.decode()
-        if self.plain and PLAIN.fullmatch(word) and "<|" not in word:
+        if self.plain and self._may_go_plain(word):
             return self._by_model(word)
         return self._packed(self._raw([word])[0])
 
+    @staticmethod
+    def _may_go_plain(text: str) -> bool:
+        return PLAIN.fullmatch(text) is not None and "<|" not in text
+
     def encode_bytes(self, text: str) -> bytes:
         """Ids of a whole text, ``width`` bytes each."""
         if not self.word_wise:
             return self._packed(self._raw([text])[0])
+        if self.plain and self._may_go_plain(text):
+            return self._by_model(text)
         return b"".join(map(self.words.__getitem__, text.encode().split()))
 
     def encode(self, text: str) -> np.ndarray:
