@@ -107,9 +107,9 @@ class ByteBpe:
             self.endings.add_word(b.decode("latin-1"), (i, len(b)))
         self.endings.make_automaton()
         self.width = np.dtype("<u2" if len(self.head) <= 1 << 16 else "<u4")
-        self._apart = Memo(self._stay_apart, 400_000)
-        self._pieces = Memo(self._piece, 200_000)
-        self._chunks = Chunks(self._direct, 500_000)
+        self._apart = Memo(self._stay_apart, 200_000)
+        self._pieces = Memo(self._piece, 100_000)
+        self._chunks = Chunks(self._direct, 400_000)
         self.spelling = Spelling(self.bytes_of)
         self.decimals = Spelling({i: b"%d," % i for i in self.bytes_of})
 

@@ -36,6 +36,7 @@ NEIGHBOURS = 15
 THRESHOLD = 0.7
 WORD_DIMS, SHAPE_DIMS = 1_024, 512
 SHARPNESS = 4
+BLOCK_ROWS = 256  # rows weighed at a time when fitting
 
 _RUNS = re.compile(r"[^\W\d_]+|\d+|(.)\1+", re.S)  # runs of letters, digits and repeated marks
 
@@ -99,15 +100,15 @@ class Model:
         parts = [x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9) for x in (words, np.sqrt(shapes))]
         return np.hstack([0.5 * parts[0], parts[1], (whole - self.centre) / self.spread / 4]).astype(np.float32)
 
-    def project(self, counts: np.ndarray, whole: np.ndarray) -> np.ndarray:
-        latent = self.weigh(counts, whole) @ self.basis
+    def project(self, weighed: np.ndarray) -> np.ndarray:
+        latent = weighed @ self.basis
         return latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
 
     def score(self, texts: list[str]) -> np.ndarray:
         """Share of label 1 among the nearest labelled vectors, weighted by similarity."""
         if not len(self.labels):
             return np.full(len(texts), 0.5)
-        near = np.round((self.project(*features(texts)) @ self.vectors.T).astype(np.float64), 5)
+        near = np.round((self.project(self.weigh(*features(texts))) @ self.vectors.T).astype(np.float64), 5)
         k = min(NEIGHBOURS, near.shape[1])
         # Of equal similarities the earlier labelled row counts: those above the last one, then the first at it.
         last = -np.partition(-near, k - 1, axis=1)[:, k - 1:k]
@@ -125,15 +126,19 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         empty = np.zeros((0, RANK), np.float32)
         return Model(np.ones(dims, np.float32), np.zeros(8, np.float32), np.ones(8, np.float32),
                      np.zeros((dims + 8, RANK), np.float32), empty, np.zeros(0))
-    idf = (np.log((1 + n) / (1 + (counts > 0).sum(axis=0))) + 0.2).astype(np.float32)
+    idf = (np.log((1 + n) / (1 + np.count_nonzero(counts, axis=0))) + 0.2).astype(np.float32)
     model = Model(idf, whole.mean(axis=0), np.maximum(whole.std(axis=0), 1e-3), None, None, np.asarray(labels, np.float64))
-    x = model.weigh(counts, whole)
+    # Weighed a block at a time: the steps between would each be as large as the counts.
+    x = np.empty((n, dims + whole.shape[1]), np.float32)
+    for at in range(0, n, BLOCK_ROWS):
+        x[at:at + BLOCK_ROWS] = model.weigh(counts[at:at + BLOCK_ROWS], whole[at:at + BLOCK_ROWS])
+    del counts
     y = x @ np.random.default_rng(7).standard_normal((x.shape[1], min(RANK + 16, *x.shape))).astype(np.float32)
     for _ in range(3):
         y = x @ (x.T @ np.linalg.qr(y)[0])
     q = np.linalg.qr(y)[0]
     model.basis = np.linalg.svd(q.T @ x, full_matrices=False)[2][:RANK].T.copy()
-    model.vectors = model.project(counts, whole)
+    model.vectors = model.project(x)
     return model
 
 
