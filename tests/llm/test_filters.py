@@ -260,6 +260,25 @@ def test_long_texts_on_the_shuffled_side(spark, leaks, monkeypatch):
         (i, 60_000 + len(leaks[1][2][1].split()) - 1) for i in (1, None)}
 
 
+@pytest.mark.parametrize("bound", [10**6, 0])
+def test_items_of_equal_words_are_compared_once(spark, leaks, bound, monkeypatch):
+    """A seed is a few numbers whatever the length of its text, and copies of an item add none."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", bound)
+    docs, items, _ = leaks
+    long = " ".join(f"l{k}" for k in range(4_000))
+    base = [*items[:6], (70, long), (71, items[1][1] + " " + items[2][1]), (71, items[2][1])]
+    copies = [(i + 1_000 * c, t.upper() if c % 2 else t) for c in range(1, 5) for i, t in base] + [(None, items[0][1])]
+    corpus = spark.createDataFrame([*docs, (904, "x " + long)], "doc_id long, text string")
+    one, many = (spark.createDataFrame(x, "item_id long, text string") for x in (base, base + copies))
+    seeds = [decontaminate.benchmark_seeds(decontaminate.benchmark_texts(x)[0]) for x in (one, many)]
+    assert dict(seeds[0].dtypes) == {"mask": "int", "seed": "bigint", "text": "bigint", "place": "int"}
+    assert seeds[0].count() == seeds[1].count()
+    of_one = {tuple(r) for r in decontaminate.overlaps(corpus, one).collect()}
+    of_many = [tuple(r) for r in decontaminate.overlaps(corpus, many).collect()]
+    want = [(d, i + 1_000 * c, *rest) for d, i, *rest in of_one for c in range(5)] + [(d, None, *rest) for d, i, *rest in of_one if i == 0]
+    assert sorted(of_many, key=repr) == sorted(want, key=repr) and (904, 70, 1, 4_000, 4_000) in of_one
+
+
 # --- quality ---------------------------------------------------------------------
 
 
