@@ -1,5 +1,6 @@
 """Readers over files."""
 import json
+import os
 
 from shelfwatch.plans.categorise import context_parts
 from shelfwatch.sources import catalog_json, seeds, sitemap, taxonomy
@@ -93,3 +94,30 @@ def test_page_bundles(spark, tmp_path):
     assert {tuple(r) for r in catalog_json.read_page_bundles(spark, str(path)).select("store_id", "page_no", "body").collect()} == set(rows)
     products, _ = catalog_json.normalize_catalog(catalog_json.parse_catalog_pages(catalog_json.read_page_bundles(spark, str(path))))
     assert products.count() == 30
+
+
+def test_recorded_pages_take_a_small_part_of_their_length(spark):
+    from urllib.parse import urlsplit
+
+    from pyspark.sql import functions as F
+
+    from checks.q_sources import _spoilt_files
+    from checks.views import Views
+
+    pages = _spoilt_files(Views(spark, "/root/testdata/sf0.001"))
+    stored = sum(os.path.getsize(urlsplit(name).path) for name in pages.inputFiles())
+    assert 3 * stored < pages.agg(F.sum(F.length("body")).alias("n")).first()["n"]
+
+
+def test_compressed_page_bundles(spark, tmp_path):
+    rows = [(s, n, body) for s in range(30) for n, body in enumerate(['{"products": [{"id": 1}]}', "{broken\r\n", "", "\u2028", None])]
+    catalog_json.write_page_bundles(spark.createDataFrame(rows, catalog_json.BUNDLE).repartition(2), str(tmp_path / "pages"), "gzip")
+    assert sorted(map(tuple, catalog_json.read_page_bundles(spark, str(tmp_path / "pages")).collect()), key=repr) == sorted(rows, key=repr)
+
+
+def test_documents_are_made_behind_the_shuffle(spark):
+    from checks.views import Views
+
+    plan = Views(spark, "/root/testdata/sf0.001").catalog_pages._jdf.queryExecution().executedPlan().toString()
+    sent = [line for line in plan.splitlines() if "partial_collect_list" in line]
+    assert sent and not any("compare_at_price" in line for line in sent)
