@@ -1,8 +1,8 @@
 """Tables kept in hash buckets: a batch reads and rewrites only the buckets its keys fall in.
 
-A bucket is a directory ``bucket=<n>``; the table path holds nothing else.  The merged
-buckets are written to the shared folder first and moved in by a dynamic partition
-overwrite, so a run that is repeated after a failure ends in the same table.
+A bucket is a directory ``bucket=<n>``; the table path holds nothing else.  A merge reads
+the touched buckets and writes them once, by a dynamic partition overwrite: tasks write into
+a staging folder inside the table, and the old buckets are replaced when all of them are done.
 """
 from __future__ import annotations
 
@@ -11,8 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwatch.session import cut_lineage
-
 BUCKETS = 64
 
 
@@ -23,7 +21,7 @@ def bucket_of(by: str, buckets: int = BUCKETS) -> Column:
 def write_buckets(df: DataFrame, path: str, by: str, buckets: int = BUCKETS) -> None:
     """Write the buckets present in ``df``; others stay.  A large bucket is split over several files."""
     placed = df.withColumn("bucket", bucket_of(by, buckets)).hint("rebalance", "bucket")
-    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("bucket").parquet(path)
 
 
 def read_buckets(spark: SparkSession, path: str, schema: str, wanted: list[int] | None = None) -> DataFrame:
@@ -39,6 +37,5 @@ def merge_buckets(
     """Replace the touched buckets by ``merge(old rows, batch)``; returns the touched buckets, at most ``buckets``."""
     touched = sorted(r["b"] for r in batch.select(bucket_of(by, buckets).alias("b")).distinct().collect())
     if touched:
-        merged = cut_lineage(merge(read_buckets(spark, path, schema, touched), batch))
-        write_buckets(merged, path, by, buckets)
+        write_buckets(merge(read_buckets(spark, path, schema, touched), batch), path, by, buckets)
     return touched

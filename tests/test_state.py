@@ -137,3 +137,22 @@ def test_daily_replay_equals_backfill(spark):
         got |= {tuple(r) for r in plan.select("store_id", "observed_on", "new_products", "removed_products", "price_changes").collect()}
         latest = spark.createDataFrame(rollup.merge_latest(latest, today).collect(), latest.schema)
     assert got == want
+
+
+def test_merged_buckets_are_written_once(spark):
+    """A merge reads the table it overwrites and leaves no copy of it in the shared folder."""
+    import os
+
+    from shelfwatch.operators import buckets
+    from shelfwatch.session import scratch_path, shared_folder
+
+    path, schema = scratch_path(spark, "merged"), "k long, n long"
+    old = spark.range(2_000).selectExpr("id AS k", "id AS n")
+    buckets.write_buckets(old, path, "k", 8)
+    batch = spark.range(1_500, 2_500, 100).selectExpr("id AS k", "-id AS n")
+    before = set(os.listdir(shared_folder(spark)))
+    for _ in range(2):
+        touched = buckets.merge_buckets(spark, path, schema, batch, "k", lambda o, n: state.replace_keys(o, n, ["k"]), 8)
+    assert set(os.listdir(shared_folder(spark))) == before and 1 < len(touched) < 8
+    got = {r["k"]: r["n"] for r in buckets.read_buckets(spark, path, schema).collect()}
+    assert got == {k: k for k in range(2_000)} | {k: -k for k in range(1_500, 2_500, 100)}
