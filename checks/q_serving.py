@@ -10,7 +10,7 @@ from shelfwatch.constants import FACET_LIMITS, SITE_INDEX_ROWS
 from shelfwatch.operators.ranking import hash_sample, top_n, value_counts
 from shelfwatch.plans import categorise, crawl, deep_pages, details, listing, site_index, stats, title_index
 from shelfwatch.schemas import FeedFilter, ProductFilter, StoreFilter
-from shelfwatch.session import scratch_path
+from shelfwatch.session import cut_lineage, scratch_path
 
 _NOW = f"TIMESTAMP '{AS_OF} 00:00:00'"
 _STORE_SQL = f"""s.domain, s.name, s.country, s.currency, s.language, s.tld, {ymd('s.launch_date')} AS launch_date,
@@ -160,10 +160,11 @@ def f3_title_index_renamed(v):
     """A third of the products come with a new title, another third for the first time, both twice."""
     path = scratch_path(v.spark, "titles")
     kind = F.pmod("product_id", F.lit(3))
-    title_index.build_title_index(v.products.filter(kind != 1), path)
+    products = cut_lineage(v.products.select("product_id", "title"))
+    title_index.build_title_index(products.filter(kind != 1), path)
     title = F.when(kind == 0, F.replace("title", F.lit("r"), F.lit("ring"))).otherwise(F.col("title"))
     for _ in range(2):
-        title_index.add_titles(v.products.filter(kind != 2).withColumn("title", title), path)
+        title_index.add_titles(products.filter(kind != 2).withColumn("title", title), path)
     return _searched(v.spark, path)
 
 

@@ -71,8 +71,8 @@ def build_title_index(products: DataFrame, path: str, rows_per_bucket: int = ROW
     buckets = max(1, math.ceil(titles.count() / rows_per_bucket))
     layout = products.sparkSession.range(1).select(F.lit(buckets).alias("buckets"), F.lit(dict(titles.dtypes)["product_id"]).alias("id_type"))
     layout.coalesce(1).write.parquet(f"{path}/layout")
-    write_buckets(titles, f"{path}/titles", "product_id", buckets)
     _append_postings(titles, path)
+    write_buckets(titles, f"{path}/titles", "product_id", buckets)
 
 
 def _layout(spark: SparkSession, path: str) -> tuple[int, str, str]:
@@ -83,14 +83,22 @@ def _layout(spark: SparkSession, path: str) -> tuple[int, str, str]:
 def add_titles(products: DataFrame, path: str) -> None:
     """Take in new and renamed products; only their buckets are rewritten.
 
-    Postings of an earlier title stay and lose in the last comparison.  A batch that is
-    repeated after a failure changes no result.
+    Titles that the index holds already are left out: postings go in before titles, so whatever is
+    stored has its postings.  Postings of an earlier title stay and lose in the last comparison.
+    A batch that is repeated, after a failure too, changes no result.
     """
-    buckets, titles, _ = _layout(products.sparkSession, path)
+    spark = products.sparkSession
+    buckets, schema, _ = _layout(spark, path)
     batch = cut_lineage(products.select("product_id", "title"))
-    merge_buckets(products.sparkSession, f"{path}/titles", titles, batch, "product_id",
+    touched = sorted(r["b"] for r in batch.select(bucket_of("product_id", buckets).alias("b")).distinct().collect())
+    held = read_buckets(spark, f"{path}/titles", schema, touched)
+    same = (batch["product_id"] == held["product_id"]) & batch["title"].eqNullSafe(held["title"])
+    fresh = cut_lineage(batch.join(held, same, "left_anti"))
+    if fresh.isEmpty():
+        return
+    _append_postings(fresh, path)
+    merge_buckets(spark, f"{path}/titles", schema, fresh, "product_id",
                   lambda old, new: replace_keys(old, new, ["product_id"]), buckets)
-    _append_postings(batch, path)
 
 
 def candidates(spark: SparkSession, path: str, pattern: str) -> DataFrame | None:

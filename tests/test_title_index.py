@@ -85,3 +85,20 @@ def test_products_are_read_once_per_batch(spark, tmp_path):
     title_index.add_titles(products, path)
     assert read.value == 100
     assert title_index.search_titles(spark, path, "ring").count() == 50
+
+
+def test_held_titles_add_no_postings(spark):
+    products = spark.range(60).selectExpr("id AS product_id", "CASE WHEN id % 7 > 0 THEN concat('ring ', id) END AS title")
+    path = scratch_path(spark, "titles")
+    title_index.build_title_index(products.filter("product_id < 40"), path, rows_per_bucket=10)
+    batch = products.filter("product_id >= 20").withColumn("title", F.when(F.col("product_id") < 25, F.concat(F.lit("new "), "title")).otherwise(F.col("title")))
+    files = []
+    for _ in range(2):
+        title_index.add_titles(batch, path)
+        files.append(sorted(spark.read.parquet(f"{path}/{part}").inputFiles() for part in ("postings", "grams", "titles")))
+    assert files[0] == files[1]
+    assert ids(title_index.search_titles(spark, path, "new")) == [20, 22, 23, 24]
+    assert ids(title_index.search_titles(spark, path, "ring")) == [i for i in range(60) if i % 7]
+    # Postings of 20 (renamed) to 24 come twice, those of titles that stayed as they were once.
+    held = {r["product_id"]: r["count"] for r in spark.read.parquet(f"{path}/postings").filter("gram = 'rin'").groupBy("product_id").count().collect()}
+    assert {i for i, n in held.items() if n > 1} == {20, 22, 23, 24}
