@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from checks.registry import flat, query, ymd
 from checks.tables_sql import with_views
 from checks.views import AS_OF
-from shelfwatch.operators.components import components
+from shelfwatch.operators.components import components, group_components
 from shelfwatch.operators.hamming import hamming_pairs, near_pairs
 from shelfwatch.operators.match_index import MatchIndex
 from shelfwatch.plans.matching import match_products, spread_job, spread_snapshot, valid_hashes
@@ -93,8 +93,7 @@ hop(k, root) AS (SELECT k, k FROM (SELECT DISTINCT k FROM nodes) UNION
 SELECT count(DISTINCT k) AS nodes, count(DISTINCT root) AS components, min(root) AS smallest FROM (SELECT k, min(root) AS root FROM hop GROUP BY k)""")
 def n4_order_part_components(v):
     """Orders linked through shared parts: one dense graph over all line items."""
-    edges = v.table("lineitem").select("l_orderkey", (F.col("l_partkey") + 1000000000).alias("p"))
-    placed = components(edges, "l_orderkey", "p").filter("node < 1000000000")
+    placed = group_components(v.table("lineitem"), "l_orderkey", "l_partkey")
     return placed.agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("component").alias("components"), F.min("component").alias("smallest"))
 
 

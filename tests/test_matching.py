@@ -160,3 +160,42 @@ def test_days_add_up_to_a_full_run(spark):
     index.add_day("2024-01-02", table(listed[100:]))
     assert sorted(map(tuple, index.matches().collect())) == sorted(map(tuple, match_products(table(listed)).collect()))
     assert {r["day"] for r in index.table("bands").select("day").distinct().collect()} == {"2024-01-01", "2024-01-02"}
+
+
+@pytest.mark.parametrize("name", ["dense", "islands", "hubs"])
+def test_dense_components(spark, name):
+    """Rounds that start from two edges a node give the components of all edges."""
+    rng = random.Random(5)
+    pair = lambda a, b: (rng.randrange(a, b), rng.randrange(a, b))
+    edges = {
+        "dense": [pair(0, 40) for _ in range(900)],
+        # A node's first and last neighbour lie in its own island; only others lead out of it.
+        "islands": [pair(60 * k, 60 * k + 20) for k in range(6) for _ in range(160)] + [(60 * k + 9, 60 * k + 70) for k in (0, 1, 3)],
+        "hubs": [(h, 100 + k) for h in range(8) for k in range(120)] + [(900, 901)],
+    }[name]
+    edges = sorted({(min(e), max(e)) for e in edges if e[0] != e[1]})
+    got = components(spark.createDataFrame(edges, "a long, b long"), min_hot=1, dense_from=0).collect()
+    assert len(got) == len({r["node"] for r in got})
+    assert {r["node"]: r["component"] for r in got} == find_components(edges)
+
+
+def test_few_edges_of_a_dense_graph_enter_the_rounds(spark, monkeypatch):
+    from shelfwatch.operators import components as module
+
+    rows, stars = [], module._stars
+    monkeypatch.setattr(module, "_stars", lambda current, *rest: rows.append(current.count()) or stars(current, *rest))
+    edges = [(a, b) for a in range(60) for b in range(a + 1, 60)]
+    got = module.components(spark.createDataFrame(edges, "a long, b long"), dense_from=0).collect()
+    assert {r["component"] for r in got} == {0} and len(got) == 60 and sum(rows) <= 120
+
+
+@pytest.mark.parametrize("dense_from", [0, 1_000_000])
+def test_groups_linked_through_items(spark, dense_from):
+    from shelfwatch.operators.components import group_components
+
+    rng = random.Random(8)
+    rows = [(g, 40 * (g % 5) + rng.randrange(0, 30)) for g in range(300, 420) for _ in range(rng.randrange(1, 7))]
+    rows += [(500, 999), (500, 999), (501, 998), (502, 998), (0, 7)]
+    found = find_components([(g, 10**6 + i) for g, i in rows])
+    got = group_components(spark.createDataFrame([*rows, (None, 7), (503, None)], "o long, p long"), "o", "p", min_hot=1, dense_from=dense_from)
+    assert sorted(map(tuple, got.collect())) == sorted((n, c) for n, c in found.items() if n < 10**6)
