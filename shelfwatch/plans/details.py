@@ -16,6 +16,7 @@ from shelfwatch.operators.ranking import top_n, value_counts
 from shelfwatch.plans.listing import (
     in_visible_stores, iso, iso_day, latest_spread, product_order, product_summary, product_view, store_summary_columns, with_recent_activity,
 )
+from shelfwatch.session import cut_lineage
 
 
 def collect_ranked(df: DataFrame, key: str, order: list[Column], n: int, fields: list[Column], name: str) -> DataFrame:
@@ -125,7 +126,9 @@ def product_details(
     products, stores, variants, matches, spread, as_of, days: int = CHART_DAYS, n_variants: int = 60, n_listings: int = 60,
 ) -> DataFrame:
     """One row per given product of a visible store: its summary, tags, type, variants[], listings[] and spread_history[]."""
-    shown = in_visible_stores(products, stores).join(
+    # Stored, the few columns of stores are seen to be small and products need not move to them.
+    owners = cut_lineage(stores.select("store_id", "domain", "name", "country", "currency", "is_hidden"))
+    shown = in_visible_stores(products, owners).join(
         matches.select("product_id", F.col("canonical_id").alias("_group")), "product_id", "left"
     ).withColumn("canonical_id", F.coalesce("_group", "product_id"))
     options = collect_ranked(

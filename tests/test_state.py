@@ -156,3 +156,12 @@ def test_merged_buckets_are_written_once(spark):
     assert set(os.listdir(shared_folder(spark))) == before and 1 < len(touched) < 8
     got = {r["k"]: r["n"] for r in buckets.read_buckets(spark, path, schema).collect()}
     assert got == {k: k for k in range(2_000)} | {k: -k for k in range(1_500, 2_500, 100)}
+
+
+def test_products_do_not_move_to_their_stores(spark):
+    from shelfwatch.plans import details
+
+    v = Views(spark, SMALL)
+    products = v.products.withColumn("tags", F.array("vendor"))
+    plan = details.product_details(products, v.stores, v.variants, v.matches, v.spread, AS_OF)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(canonical_id" in plan and "hashpartitioning(store_id" not in plan
